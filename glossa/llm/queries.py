@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import bpe
+from glossa.llm import bpe, jaccard
 
 
 def table(spark, sf_dir, name):
@@ -13,5 +13,9 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard.clusters(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op9_byte_bpe": op9_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
