@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.llm import bpe, decontaminate, jaccard, shards, topk
+from pyspark.sql import Row
+
+from glossa.llm import bpe, chat, counts, decontaminate, jaccard, shards, topk
 
 
 def table(spark, sf_dir, name):
@@ -30,7 +32,17 @@ def op10_sharding(spark, sf_dir):
     return shards.sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_exact_top_k": op2_exact_top_k, "op7_decontamination": op7_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_sharding": op10_sharding}
+def op5_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([Row(conv_id=-1, turn=i, role=r, text="</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], turns.schema)
+    return chat.digests(chat.formatted(turns.unionAll(planted)))
+
+
+def op8_token_counts(spark, sf_dir):
+    return counts.counted(counts.sample_edits(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_exact_top_k": op2_exact_top_k, "op5_chat_formatting": op5_chat_formatting, "op7_decontamination": op7_decontamination, "op8_token_counts": op8_token_counts, "op9_byte_bpe": op9_byte_bpe, "op10_sharding": op10_sharding}
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {
@@ -48,6 +60,15 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op5_chat_formatting": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, 17 + length(role || text) + length(role || text) - length(replace(role || text, '\', ''))
+  + len(regexp_extract_all(role, '</?s>|\[/?INST\]')) + len(regexp_extract_all(text, '</?s>|\[/?INST\]')) AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, (3 + sum(n))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""".replace("\\\\", "\\"),
     "op7_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
