@@ -106,32 +106,36 @@ def class_key(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(docs, sketch, words, percent, text, key):
-    """key, n, node, twin; and for the first row of a class in a task the prefix of its tokens, rare first."""
+    """key, n, node, twin; and for the first row of a class in a task the prefixes of its tokens: rare first, and 16 bits each of those by the scrambles."""
 
     def run(batches):
         counts, seen = sketch.value, set()
         for batch in batches:
             for part, data, offs in chunks(batch, text):
-                cols, prefixes = [[], [], []], []
+                cols, orders = [[], [], []], [[], [], []]
                 for t in token_sets(data, offs, words):
                     k = class_key(t) if len(t) else (None, None)
                     fresh = len(t) > 0 and k not in seen
                     if fresh:
                         seen.add(k)
                         often = np.minimum(counts[_cells(t, 0)], counts[_cells(t, 1)])
-                        prefixes.append(t[np.lexsort((t, often))[: _prefix(len(t), percent)]].astype(np.int64))
+                        p = _prefix(len(t), percent)
+                        orders[0].append(t[np.lexsort((t, often))[:p]].astype(np.int64))
+                        for out, by in zip(orders[1:], _SCRAMBLE):
+                            out.append((np.sort(t * by)[:p] >> np.uint64(8)).astype(np.uint16).view(np.int16))
                     else:
-                        prefixes.append(None)
+                        for out in orders:
+                            out.append(None)
                     for c, x in zip(cols, (len(t), *k)):
                         c.append(x)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array(prefixes, pa.list_(pa.int64()))], [key, "n", "node", "twin", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols), *(pa.array(o, pa.list_(k)) for o, k in zip(orders, (pa.int64(), pa.int16(), pa.int16())))], [key, "n", "node", "twin", "prefix", "p2", "p3"])
 
     docs = docs.select(key, text)
-    return docs.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, node long, twin long, prefix array<long>")
+    return docs.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, node long, twin long, prefix array<long>, p2 array<short>, p3 array<short>")
 
 
-def _token_table(docs, nodes: DataFrame, words, percent, text):
-    """node, twin, n, p2, p3, tokens of the classes in nodes (told by a Bloom filter of fixed size; a few others may come along)."""
+def _token_table(docs, nodes: DataFrame, words, text):
+    """node, twin, tokens of the classes in nodes (told by a Bloom filter of fixed size; a few others may come along)."""
     spark = docs.sparkSession
     bit = F.expr(f"xxhash64(node) & {(1 << BLOOM) - 1}")
     bits = nodes.select(bit.alias("x")).groupBy(F.expr("x >> 6").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int)))").alias("w")).toArrow()
@@ -151,23 +155,27 @@ def _token_table(docs, nodes: DataFrame, words, percent, text):
                         continue
                     if has[xxhash.xxh64_intdigest((k[0] & (1 << 64) - 1).to_bytes(8, "little"), seed=42) & ((1 << BLOOM) - 1)]:
                         seen.add(k)
-                        p = _prefix(len(t), percent)
-                        some = [np.sort(t * s)[:p] for s in _SCRAMBLE]
-                        rows.append((*k, len(t), *((x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in some), t.astype(np.int64)))
+                        rows.append((*k, t.astype(np.int64)))
                 if rows:
-                    kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["node", "twin", "n", "p2", "p3", "tokens"])
+                    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["node", "twin", "tokens"])
+
+    out = docs.select(text).mapInArrow(run, "node long, twin long, tokens array<long>")
+    return out.groupBy("node", "twin").agg(F.any_value("tokens").alias("tokens"))
+
 
-    out = docs.select(text).mapInArrow(run, "node long, twin long, n long, p2 array<int>, p3 array<int>, tokens array<long>")
-    return out.groupBy("node", "twin").agg(*(F.any_value(c).alias(c) for c in ("n", "p2", "p3", "tokens")))
+def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of nodes whose prefixes meet under orders 2 and 3 as well."""
+    a, b = (classes.select(*(F.col(c).alias(c + s) for c in classes.columns)) for s in ("_a", "_b"))
+    met = pairs.join(a, F.col("a") == F.col("node_a")).select("a", "b", "p2_a", "p3_a").join(b, F.col("b") == F.col("node_b"))
+    return met.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs of nodes that pass the filters of orders 2 and 3 and then the similarity itself."""
-    a = tokens.select(*(F.col(c).alias(f"{c}_a") for c in tokens.columns))
-    b = tokens.select(*(F.col(c).alias(f"{c}_b") for c in tokens.columns))
-    met = pairs.join(a, F.col("a") == F.col("node_a")).select("b", "a", "p2_a", "p3_a", "tokens_a").join(b, F.col("b") == F.col("node_b"))
-    met = met.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
+    """The pairs of nodes whose token sets have the similarity."""
+    tokens = stored(_token_table(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), words, text), "tokens")
+    a, b = (tokens.select(F.col("node").alias("node" + s), F.col("tokens").alias("tokens" + s)) for s in ("_a", "_b"))
+    met = pairs.join(a, F.col("a") == F.col("node_a")).select("a", "b", "tokens_a").join(b, F.col("b") == F.col("node_b"))
     common = met.select("a", "b", F.size("tokens_a").alias("na"), F.size("tokens_b").alias("nb"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("i"))
     return common.where(f"100L * i >= {percent}L * (na + nb - i)").select("a", "b").distinct()
 
@@ -187,8 +195,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     heads = heads.select(F.col("token").alias("t"), F.col("band").alias("g"), "head")
     star = shared.join(heads, (F.col("token") == F.col("t")) & (F.col("band") == F.col("g"))).where("head <> node")
     star = stored(star.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    tokens = stored(_token_table(docs, shared.select("node").distinct(), words, percent, text), "tokens")
-    found = stored(_verified(star, tokens, percent), "found")
+    classes = signed.where("prefix is not null").select("node", "p2", "p3")
+    found = stored(_verified(stored(_filtered(star, classes), "near"), docs, words, percent, text), "found")
     roots = stored(components(found), "roots")
 
     placed = shared.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root"))
@@ -198,7 +206,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     may = x.join(y, (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {100 + percent} * (least(atx, aty) + 1 + least(nx - atx, ny - aty) - 1) >= {percent} * (nx + ny)"))
     may = may.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(may.join(tried, ["a", "b"], "left_anti"), tokens, percent)
+    near = stored(_filtered(may.join(tried, ["a", "b"], "left_anti"), classes), "near")
+    more = _verified(near, docs, words, percent, text)
     final = stored(components(stored(found.unionAll(more), "links")), "roots")
     return signed.select(key, "n", "node", "twin"), final
 
