@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Row
 
-from glossa.llm import bpe, chat, counts, decontaminate, jaccard, shards, topk
+from glossa.llm import bpe, chat, counts, decontaminate, jaccard, quality, shards, topk, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -42,7 +42,15 @@ def op8_token_counts(spark, sf_dir):
     return counts.counted(counts.sample_edits(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_exact_top_k": op2_exact_top_k, "op5_chat_formatting": op5_chat_formatting, "op7_decontamination": op7_decontamination, "op8_token_counts": op8_token_counts, "op9_byte_bpe": op9_byte_bpe, "op10_sharding": op10_sharding}
+def op3_toxicity(spark, sf_dir):
+    return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark, sf_dir):
+    return quality.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op5_chat_formatting": op5_chat_formatting, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_token_counts": op8_token_counts, "op9_byte_bpe": op9_byte_bpe, "op10_sharding": op10_sharding}
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {

@@ -32,9 +32,9 @@ SPAN, DECAY, TABLE = 5, 0.7, 1 << 16
 PAIRS = [(a, b, DECAY ** (b + 1)) for a, b in combinations(range(1, SPAN + 1), 2)]
 #: Bounds of the sample that a model is fitted on: documents of each label, and bytes of a document.
 SAMPLE, SAMPLE_BYTES = 2500, 20_000
-LANDMARKS, ROUNDS, LEAST_ODDS = 256, 3, 0.0
-#: A document is judged by its TOP greatest margins (of different segments), none taken below FLOOR.
-TOP, FLOOR = 3, -0.5
+LANDMARKS, ROUNDS, LEAST_ODDS = 256, 4, 1.5
+#: A document is judged by its TOP greatest margins (of different segments), each taken between FLOOR and CEILING.
+TOP, FLOOR, CEILING = 3, -0.5, 2.0
 #: Letters that digits and signs imitate.
 IMITATED = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 
@@ -197,8 +197,8 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
             seen.setdefault(w, [0, 0])[y[i]] += 1
     n = np.bincount(y[single], minlength=2)
     # Witnesses of toxic documents are taken among the segments whose log odds, bounded from below, stand out.
-    low = lambda c: np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1)) - 3 * np.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5))
-    odds = {w: x for w, c in seen.items() if c[1] >= 3 and (x := low(c)) > LEAST_ODDS}
+    mean = lambda c: np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1))
+    odds = {w: x for w, c in seen.items() if c[1] >= 3 and (x := mean(c)) > 2 * LEAST_ODDS and x - 3 * np.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5)) > 0.25 * LEAST_ODDS}
     clean = sorted({w for words, label in zip(docs, y) if not label for w in words})
     rest = [clean[i] for i in rng.permutation(len(clean))[:5000]]
     hard: list[bytes] = []
@@ -216,12 +216,12 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
         root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
         x = _kernel(best + more + negative, marked) @ root
         sign = np.array([1.0] * (len(best) + len(more)) + [-1.0] * len(negative))
-        weight = np.concatenate([np.full(len(best), 50.0), np.full(len(more), 2.0), [min(50.0, 2.0 + seen.get(w, (0, 0))[0]) for w in negative]])
+        weight = 20 * np.concatenate([np.full(len(best), 50.0), np.full(len(more), 2.0), [min(100.0, 2.0 + 5 * seen.get(w, (0, 0))[0]) for w in negative]])
         w, bias = _svm(x, sign, weight)
         table = (marked.T @ (root @ w)).astype(np.float32)
         m = margins(letters, starts, table, bias)
         score = dict(zip(every, m.tolist()))
-        hard = sorted(clean, key=lambda w: (-score[w], w))[:300]
+        hard = list(dict.fromkeys(hard + sorted(clean, key=lambda w: (-score[w], w))[:300]))
     return {"table": table, "bias": float(bias), "curve": _logistic(_top(m, of), y)}
 
 
@@ -237,7 +237,7 @@ def _top(m: np.ndarray, of: np.ndarray) -> np.ndarray:
     text, m = text[new], m[new]
     rank = np.arange(len(m)) - np.searchsorted(text, text)
     some = rank < TOP
-    out[text[some], rank[some]] = m[some]
+    out[text[some], rank[some]] = np.minimum(m[some], CEILING)
     return out
 
 
