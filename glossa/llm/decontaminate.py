@@ -64,19 +64,24 @@ def candidates(docs: DataFrame, wins: DataFrame) -> DataFrame:
     return held.groupBy("dk").agg(F.collect_list(F.struct("item", (F.col("shift") + F.col("off")).alias("start"), "term")).alias("found"))
 
 
-def matches(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, text, w (words), occ: (item, start, len) of every window's every occurrence, checked word by word."""
-    docs = docs.select(key, F.col(text).alias("text")).withColumn("dk", F.xxhash64(key, "text"))
-    found = stored(candidates(docs, windows(items, size, text)), "found")
-    met = docs.join(found, "dk", "left").withColumn("w", words(F.coalesce("text", F.lit(""))))
-    occ = F.filter("found", lambda c: F.slice("w", c["start"] + 1, F.size(c["term"])) == c["term"])
-    return met.select(key, "text", "w", F.transform(occ, lambda c: F.struct(c["item"].alias("item"), c["start"].alias("start"), F.size(c["term"]).alias("len"))).alias("occ"))
+def _matched(docs: DataFrame, items: DataFrame, size: int, text: str, key: str) -> DataFrame:
+    """docs with __w (words) and __occ: (item, start, len) of every window's every occurrence, checked word by word (null if none)."""
+    docs = docs.withColumn("__dk", F.xxhash64(key, text))
+    found = stored(candidates(docs.select(F.col("__dk").alias("dk"), F.col(text).alias("text")), windows(items, size)), "found").select(F.col("dk").alias("__d"), F.col("found").alias("__found"))
+    met = docs.join(found, F.col("__dk") == F.col("__d"), "left").withColumn("__w", words(F.coalesce(text, F.lit(""))))
+    occ = F.filter("__found", lambda c: F.slice("__w", c["start"] + 1, F.size(c["term"])) == c["term"])
+    return met.withColumn("__occ", F.transform(occ, lambda c: F.struct(c["item"].alias("item"), c["start"].alias("start"), F.size(c["term"]).alias("len")))).drop("__dk", "__d", "__found")
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, with their columns, in which no window occurs."""
+    return _matched(docs, items, size, text, key).where("coalesce(size(__occ), 0) <= 0").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def report(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
     empty = F.expr("cast(array() as array<struct<item: string, start: int, len: int>>)")
-    m = matches(docs, items, size, text, key).withColumn("occ", F.coalesce("occ", empty))
+    m = _matched(docs.select(key, text), items, size, text, key).select(key, F.col("__w").alias("w"), F.coalesce("__occ", empty).alias("occ"))
     names = F.array_sort(F.array_distinct(F.transform("occ", lambda o: o["item"])))
     hit = F.when(F.size("occ") == 0, 0).otherwise(F.size(F.array_distinct(F.flatten(F.transform("occ", lambda o: F.sequence(o["start"], o["start"] + o["len"] - 1))))))
     n = F.size("w") - F.expr("if(w[0] = '', 1, 0)") - F.expr("if(size(w) > 1 and w[size(w) - 1] = '', 1, 0)")

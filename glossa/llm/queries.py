@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Row
 
-from glossa.llm import bpe, chat, counts, decontaminate, jaccard, quality, shards, topk, toxicity
+from glossa.llm import bpe, chat, counts, decontaminate, jaccard, pii, quality, shards, topk, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -32,6 +32,10 @@ def op10_sharding(spark, sf_dir):
     return shards.sharded(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark, sf_dir):
+    return pii.scanned(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op5_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([Row(conv_id=-1, turn=i, role=r, text="</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], turns.schema)
@@ -50,7 +54,7 @@ def op6_quality(spark, sf_dir):
     return quality.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op5_chat_formatting": op5_chat_formatting, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_token_counts": op8_token_counts, "op9_byte_bpe": op9_byte_bpe, "op10_sharding": op10_sharding}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_chat_formatting": op5_chat_formatting, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_token_counts": op8_token_counts, "op9_byte_bpe": op9_byte_bpe, "op10_sharding": op10_sharding}
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {

@@ -262,16 +262,29 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column
 def scored(docs: DataFrame, model: dict | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep of docs and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    source = text if text in keep else "_text"
 
     def run(batches):
         for batch in batches:
-            for part, data, offs in chunks(batch, "_text"):
+            for part, data, offs in chunks(batch, source):
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(score_texts(data, offs, shared.value))], [*keep, "score"])
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(source))
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"]))
 
 
+def without(docs: DataFrame, model: dict | None, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that score below the threshold."""
+    kinds, shared = docs.schema, docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offs in chunks(batch, text):
+                yield part.filter(pa.array(score_texts(data, offs, shared.value) < threshold))
+
+    return docs.mapInArrow(run, kinds)
+
+
 def trained(docs: DataFrame, labels: DataFrame, train: Column) -> dict | None:
     return fit(*bounded_sample(docs, labels, "toxic", train))
 
