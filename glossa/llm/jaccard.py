@@ -7,7 +7,8 @@ order of tokens. Three orders are used:
   2. and 3. two scrambles of the hash: a candidate pair must share prefix tokens under these as well, before it is verified.
 Pairs of a posting list are not all made. First each member meets the list's least member of its size band (a star); links
 found so tie near copies together. Then only members of different components that share a posted token and whose sizes and
-prefix positions allow the similarity meet each other; so every link lies inside a component or has been verified.
+prefix positions allow the similarity meet each other (the first token that two linked sets share leaves enough tokens
+behind it in both); so every link lies inside a component or has been verified.
 
 Cases: words are runs without ASCII white space, A-Z lower-cased; null or empty texts have no tokens, no links and a
 component of their own; a text with fewer words than a shingle is one token; repeated rows are copies; a null doc_id
@@ -189,21 +190,24 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     posted = posted.groupBy("token", "node").agg(F.any_value("n").alias("n"), F.any_value("at").alias("at"))
     band = F.floor(F.ln("n") / -np.log(percent / 100)).cast("int")
     lists = posted.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select(F.col("token").alias("t"))
-    shared = stored(posted.join(lists, F.col("token") == F.col("t")).select("token", "node", "n", "at", band.alias("band")), "shared")
-
-    heads = shared.groupBy("token", "band").agg(F.min("node").alias("head"))
-    heads = heads.select(F.col("token").alias("t"), F.col("band").alias("g"), "head")
-    star = shared.join(heads, (F.col("token") == F.col("t")) & (F.col("band") == F.col("g"))).where("head <> node")
+    shared = posted.join(lists, F.col("token") == F.col("t")).select("token", "node", "n", "at", band.alias("band"))
+    # top: no other set can have more of a set's tokens, for those of its prefix that are in no other prefix are its own.
+    shared = stored(shared.selectExpr("*", f"n - (n - ({percent} * n + 99) div 100 + 1) + count(*) over (partition by node) as top"), "shared")
+
+    # A list's head in a band is the member with the least share of tokens of its own.
+    heads = shared.groupBy("token", "band").agg(F.expr("max(struct(top / n as clean, node, n, top, at))").alias("h"))
+    heads = heads.select(F.col("token").alias("t"), F.col("band").alias("g"), F.col("h.node").alias("head"), F.col("h.n").alias("hn"), F.col("h.top").alias("htop"), F.col("h.at").alias("hat"))
+    star = shared.join(heads, (F.col("token") == F.col("t")) & (F.col("band") == F.col("g"))).where(f"head <> node and {100 + percent} * least(top, htop, n - at, hn - hat) >= {percent} * (n + hn)")
     star = stored(star.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
     classes = signed.where("prefix is not null").select("node", "p2", "p3")
     found = stored(_verified(stored(_filtered(star, classes), "near"), docs, words, percent, text), "found")
     roots = stored(components(found), "roots")
 
-    placed = shared.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    placed = shared.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("token", "node", "n", "at", "top", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("token").alias("t"))
     placed = stored(placed.join(mixed, F.col("token") == F.col("t")).drop("t"), "placed")
     x, y = (placed.select(*(F.col(c).alias(c + s) for c in placed.columns)) for s in "xy")
-    may = x.join(y, (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {100 + percent} * (least(atx, aty) + 1 + least(nx - atx, ny - aty) - 1) >= {percent} * (nx + ny)"))
+    may = x.join(y, (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {100 + percent} * least(topx, topy, nx - atx, ny - aty) >= {percent} * (nx + ny)"))
     may = may.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     near = stored(_filtered(may.join(tried, ["a", "b"], "left_anti"), classes), "near")
