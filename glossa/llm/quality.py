@@ -96,9 +96,14 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64)
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return None
-    raw = [t.encode() for t in texts]
-    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    words, of, stats = features(np.frombuffer(b"".join(raw), np.uint8), offs)
+    some = []
+    for i in range(0, len(texts), 200):  # a part of the sample at a time: its arrays take many times its bytes
+        raw = [t.encode() for t in texts[i : i + 200]]
+        offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        words, of, stats = features(np.frombuffer(b"".join(raw), np.uint8), offs)
+        some.append((words.astype(np.int32), np.diff(of), stats))
+    words, sizes, stats = (np.concatenate(x) for x in zip(*some))
+    of = np.concatenate([[0], np.cumsum(sizes)])
     cuts = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T
     rng = np.random.default_rng(11)
     size = WORDS + len(STATISTICS) * BINS
