@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import chunks
 
-SPAN, DECAY, TABLE = 5, 0.7, 1 << 16
+SPAN, DECAY, TABLE = 5, 0.7, 1 << 15
 PAIRS = [(a, b, DECAY ** (b + 1)) for a, b in combinations(range(1, SPAN + 1), 2)]
 #: Bounds of the sample that a model is fitted on: documents of each label, and bytes of a document.
-SAMPLE, SAMPLE_BYTES = 2500, 20_000
+SAMPLE, SAMPLE_BYTES = 2000, 20_000
 LANDMARKS, ROUNDS, LEAST_ODDS = 256, 4, 1.5
 #: A document is judged by its TOP greatest margins (of different segments), each taken between FLOOR and CEILING.
 TOP, FLOOR, CEILING = 3, -0.5, 2.0
@@ -79,7 +79,7 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _code(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     """A place in the table for a triple of letters (uint32)."""
-    return ((x << np.uint32(12) | y << np.uint32(6) | z) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return ((x << np.uint32(12) | y << np.uint32(6) | z) * np.uint32(0x9E3779B1)) >> np.uint32(17)
 
 
 def norm(n: np.ndarray) -> np.ndarray:
@@ -184,11 +184,18 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(7)
-    raw = [t.encode() for t in texts]
-    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    letters, starts, of = segments(np.frombuffer(b"".join(raw), np.uint8), offs)
-    flat, ends = letters.tobytes(), np.append(starts[1:], len(letters))
-    every = [flat[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    parts, size, count, every, one = [], 0, 0, [], {}
+    for i in range(0, len(texts), 200):  # a part of the sample at a time: its arrays take many times its bytes
+        raw = [t.encode() for t in texts[i : i + 200]]
+        offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        letters, starts, of = segments(np.frombuffer(b"".join(raw), np.uint8), offs)
+        flat = letters.tobytes()
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(flat)]):
+            every.append(one.setdefault(x := flat[a:b], x))
+        parts.append((letters, (starts + size).astype(np.int32), of[:-1] + count))
+        size, count = size + len(letters), count + len(starts)
+    letters, starts, of = (np.concatenate(x) for x in zip(*parts))
+    of = np.append(of, count)
     docs = [sorted({w for w in every[a:b] if 5 <= len(w) <= 42}) for a, b in zip(of[:-1].tolist(), of[1:].tolist())]
     seen: dict[bytes, list[int]] = {}
     single = _without_copies(docs)
@@ -219,7 +226,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
         weight = 20 * np.concatenate([np.full(len(best), 50.0), np.full(len(more), 2.0), [min(100.0, 2.0 + 5 * seen.get(w, (0, 0))[0]) for w in negative]])
         w, bias = _svm(x, sign, weight)
         table = (marked.T @ (root @ w)).astype(np.float32)
-        m = margins(letters, starts, table, bias)
+        m = np.concatenate([margins(x, y - y[0] if len(y) else y, table, bias) for x, y, _ in parts])
         score = dict(zip(every, m.tolist()))
         hard = list(dict.fromkeys(hard + sorted(clean, key=lambda w: (-score[w], w))[:300]))
     return {"table": table, "bias": float(bias), "curve": _logistic(_top(m, of), y)}
