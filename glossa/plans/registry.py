@@ -1,4 +1,8 @@
 """All queries of the library outside the llm subpackage, with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from glossa.plans import evaluation, ingest, kpi, lexical, store
+from glossa.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "ingest", "kpi", "lexical", "store"]
