@@ -1 +1,108 @@
+"""Queries of gold lists, evaluation and calibration."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from glossa.functions import constants as K
+from glossa.functions import model
+from glossa.operators import adapters as A
+from glossa.operators import calibrate as C
+from glossa.operators import kpi as P
+from glossa.operators.adapters import oracle
+from glossa.plans.base import query
+
+
+def gold(spark, sf):
+    """lang, tok, gold 1..6, pred 1..6 (null if the other half of the documents lacks the word), zipf: words of even documents, levels by frequency rank."""
+    t = A.tokens(spark, sf)
+    w = Window.partitionBy("lang").orderBy(F.desc("c"), "tok")
+    g = t.where("doc_id % 2 = 0").groupBy("lang", "tok").agg(F.count("*").alias("c")).withColumn("gold", F.ntile(6).over(w).cast("long"))
+    f = A.zipf_table(t.where("doc_id % 2 = 1")).select("lang", "tok", "zipf")
+    eta = model.difficulty(F.col("zipf"), A.aoa(F.col("tok")))
+    rank = F.array_position(F.array(*map(F.lit, K.LEVELS)), model.level(eta))
+    return g.join(f, ["lang", "tok"], "left").select("lang", "tok", "gold", F.when(F.col("zipf").isNotNull(), rank).alias("pred"), "zipf")
+
+
+_GOLD = """, g AS (SELECT lang, tok, ntile(6) OVER (PARTITION BY lang ORDER BY c DESC, tok) AS gold FROM (SELECT lang, tok, count(*) AS c FROM tokens WHERE doc_id % 2 = 0 GROUP BY ALL)),
+f AS (SELECT lang, tok, round(log10(c / sum(c) OVER (PARTITION BY lang) * 1e9), 3) AS zipf FROM (SELECT lang, tok, count(*) AS c FROM tokens WHERE doc_id % 2 = 1 GROUP BY ALL)),
+gold AS (SELECT lang, tok, gold, zipf, CASE WHEN zipf IS NOT NULL THEN CASE WHEN eta < -0.1559 THEN 1 WHEN eta < 0.6753 THEN 2 WHEN eta < 1.5918 THEN 3 WHEN eta < 2.013 THEN 4 WHEN eta < 2.6026 THEN 5 ELSE 6 END END AS pred
+ FROM (SELECT g.*, zipf, """ + A._ETA.replace("length(tok)", "length(g.tok)") + """ AS eta FROM g LEFT JOIN f ON g.lang = f.lang AND g.tok = f.tok))
+"""
+
+
+def gold_oracle(body: str) -> str:
+    return oracle("tokens", "").rstrip() + _GOLD + body
+
+
+_FIGURES = "count(*) AS n, avg((pred = gold)::INT) AS exact, avg((abs(pred - gold) <= 1)::INT) AS near, avg(abs(pred - gold)) AS mae"
+
+
+@query(gold_oracle(f"SELECT lang, {_FIGURES} FROM gold WHERE pred IS NOT NULL GROUP BY lang"))
+def accuracy(spark, sf):
+    return P.confusion(gold(spark, sf), "gold", "pred", ["lang"])
+
+
+@query(gold_oracle(f"SELECT lang, gold, {_FIGURES} FROM gold WHERE pred IS NOT NULL GROUP BY lang, gold"))
+def per_level_exact(spark, sf):
+    return P.confusion(gold(spark, sf), "gold", "pred", ["lang", "gold"])
+
+
+@query(gold_oracle("SELECT gold, " + ", ".join(f"count(*) FILTER (pred = {i}) AS p{i}" for i in range(1, 7)) + " FROM gold GROUP BY gold"))
+def confusion_matrix(spark, sf):
+    return gold(spark, sf).groupBy("gold").agg(*(F.count_if(F.col("pred") == i).alias(f"p{i}") for i in range(1, 7)))
+
+
+@query(gold_oracle("SELECT avg(exact) AS macro_exact, sum(exact * n) / sum(n) AS weighted_exact, stddev_pop(exact) AS spread, min(exact) AS low, max(exact) AS high FROM (SELECT lang, count(*) AS n, avg((pred = gold)::INT) AS exact FROM gold WHERE pred IS NOT NULL GROUP BY lang)"))
+def macro_mean(spark, sf):
+    a = P.confusion(gold(spark, sf), "gold", "pred", ["lang"])
+    x = F.col("exact")
+    return a.agg(F.avg(x).alias("macro_exact"), (F.sum(x * F.col("n")) / F.sum("n")).alias("weighted_exact"), F.stddev_pop(x).alias("spread"), F.min(x).alias("low"), F.max(x).alias("high"))
+
+
+@query(gold_oracle("SELECT lang, tok, gold FROM (SELECT *, row_number() OVER (PARTITION BY lang, gold ORDER BY tok) AS r FROM gold) JOIN (SELECT lang, min(n) AS least FROM (SELECT lang, gold, count(*) AS n FROM gold GROUP BY ALL) GROUP BY lang) USING (lang) WHERE r <= least"))
+def balanced_downsample(spark, sf):
+    return C.downsampled(gold(spark, sf), "lang", "gold", "tok").select("lang", "tok", "gold")
+
+
+@query(gold_oracle("SELECT lang, tok, gold, r <= greatest(1, round_even(0.8 * n, 0)) AS train FROM (SELECT *, row_number() OVER (PARTITION BY lang, gold ORDER BY reverse(tok), tok) AS r, count(*) OVER (PARTITION BY lang, gold) AS n FROM gold)"))
+def strat_split(spark, sf):
+    return C.split(gold(spark, sf), ["lang", "gold"], [F.reverse("tok"), F.col("tok")]).select("lang", "tok", "gold", "train")
+
+
+@query(gold_oracle("SELECT CASE WHEN p AND l THEN 'both right' WHEN p THEN 'model only' WHEN l THEN 'other only' ELSE 'both wrong' END AS verdict, count(*) AS n FROM (SELECT pred = gold AS p, 1 + (length(tok) + gold) % 6 = gold AS l FROM gold WHERE pred IS NOT NULL) GROUP BY 1"))
+def agreement(spark, sf):
+    g = gold(spark, sf).where("pred is not null")
+    p, other = F.col("pred") == F.col("gold"), 1 + (F.length("tok") + F.col("gold")) % 6 == F.col("gold")
+    return g.groupBy(F.when(p & other, "both right").when(p, "model only").when(other, "other only").otherwise("both wrong").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query(gold_oracle("SELECT substr(tok, 1, 2) AS stem, min((gold, tok))[2] AS word, min(gold) AS gold, bool_or(pred IS NULL) AS unseen FROM gold WHERE lang = 'en' GROUP BY 1"))
+def min_sense(spark, sf):
+    g = gold(spark, sf).where("lang = 'en'")
+    return g.groupBy(F.substring("tok", 1, 2).alias("stem")).agg(F.min_by("tok", F.struct("gold", "tok")).alias("word"), F.min("gold").alias("gold"), F.bool_or(F.col("pred").isNull()).alias("unseen"))
+
+
+@query(gold_oracle("SELECT lang, tok FROM gold WHERE zipf IS NOT NULL AND NOT (gold = 6 AND zipf >= 5.5) AND NOT (gold = 5 AND zipf >= 6.0) AND NOT (lang = 'en' AND gold >= 4 AND length(tok) < 3)"))
+def gold_filters(spark, sf):
+    return gold(spark, sf).where("zipf is not null and not (gold = 6 and zipf >= 5.5) and not (gold = 5 and zipf >= 6.0) and not (lang = 'en' and gold >= 4 and length(tok) < 3)").select("lang", "tok")
+
+
+@query(gold_oracle(", n AS (SELECT *, row_number() OVER (ORDER BY zipf) AS r, count(*) OVER () AS total FROM gold WHERE zipf IS NOT NULL), s AS (SELECT gold, round_even(sum(count(*)) OVER (ORDER BY gold) / max(total) * (max(total) - 1), 0) + 1 AS spot FROM n GROUP BY gold) SELECT s.gold, n.zipf AS cut FROM s JOIN n ON n.r = s.spot"))
+def quantile_cuts(spark, sf):
+    return C.cut_points(gold(spark, sf).where("zipf is not null").select("gold", "zipf"), "zipf", "gold")
+
+
+@query(gold_oracle("SELECT part, count(*) AS n, avg((pred = gold)::INT) AS exact FROM (SELECT *, unnest(CASE WHEN zipf >= 3.5 THEN ['all', 'frequent'] ELSE ['all'] END) AS part FROM gold WHERE pred IS NOT NULL) GROUP BY part"))
+def gold_variants(spark, sf):
+    g = gold(spark, sf).where("pred is not null")
+    part = F.when(F.col("zipf") >= 3.5, F.array(F.lit("all"), F.lit("frequent"))).otherwise(F.array(F.lit("all")))
+    return g.withColumn("part", F.explode(part)).groupBy("part").agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("gold")).cast("int")).alias("exact"))
+
+
+@query(None)
+def ordinal_fit(spark, sf):
+    f = gold(spark, sf).where("zipf is not null")
+    z, a = model.zipf_norm(F.col("zipf")), model.aoa_norm(A.aoa(F.col("tok")), F.col("zipf"))
+    return C.fitted(f.select("lang", "gold", z.alias("zipf_norm"), a.alias("aoa_norm")), "lang", ["zipf_norm", "aoa_norm"], "gold")

@@ -1 +1,117 @@
+"""Queries of page and scan cleaning, gates, truncation and routing."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from glossa.functions import constants as K
+from glossa.functions import lex
+from glossa.functions import text as X
+from glossa.operators import adapters as A
+from glossa.operators import extract as E
+from glossa.operators import ingest as I
+from glossa.plans.base import query
+
+_NOISE = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
+for _t in X.NOISE_TAGS:
+    _NOISE = rf"regexp_replace(regexp_replace({_NOISE}, '<{_t}\b[^>]*>.*?</{_t}>', '', 'gsi'), '<{_t}\b[^>]*/?>', '', 'gsi')"
+_PLAIN = rf"trim(regexp_replace(regexp_replace({_NOISE}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_NOISE} AS html FROM pages")
+def strip_tags(spark, sf):
+    return A.table(spark, sf, "pages").select("page_id", X.strip_noise(F.col("html")).alias("html"))
+
+
+@query(f"SELECT page_id, length({_PLAIN}) AS n_chars, length({_PLAIN}) >= 200 AS dense FROM pages")
+def text_density(spark, sf):
+    p = A.table(spark, sf, "pages")
+    return p.select("page_id", F.length(X.plain(F.col("html"))).cast("long").alias("n_chars"), X.dense_enough(F.col("html")).alias("dense"))
+
+
+@query(None)
+def article_clean(spark, sf):
+    return A.table(spark, sf, "pages").select("page_id", I.article("html").alias("article"))
+
+
+@query("SELECT doc_id, length(text) < 100 OR len(regexp_extract_all(text, '[{}();:#.]')) / length(text) > 0.05 AS code FROM documents")
+def code_like(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", X.code_like(F.col("text")).alias("code"))
+
+
+_T = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN length(t) < 20 THEN 'short' WHEN len(w) < 3 THEN 'few words' WHEN list_max(list_transform(w, lambda x: length(x))) < 5 THEN 'fragments'
+ WHEN len(regexp_extract_all(t, '\p{{L}}')) / length(regexp_replace(t, '\s', '', 'g')) < 0.4 THEN 'symbols' WHEN list_sum(list_transform(w, lambda x: length(x))) / len(w) < 2.5 AND len(w) > 5 THEN 'garbled' END AS reason
+FROM (SELECT doc_id, {_T} AS t, list_filter(list_transform(regexp_split_to_array({_T}, '\s+'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: x <> '') AS w FROM documents)""")
+def ocr_valid(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", X.ocr_reason(F.col("text")).alias("reason"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) <> 1 AND (s = '' OR NOT regexp_matches(s, '^[\d\p{P}\p{S}\s]+$'))), chr(10)), '\n{3,}', e'\n\n', 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents""")
+def ocr_lines(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", X.clean_lines(F.col("text")).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(text, chr(10) || chr(10), chr(1)), chr(10), ' '), chr(1), chr(10) || chr(10)), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents WHERE NOT contains(text, chr(10) || chr(10) || chr(10)) AND NOT contains(text, chr(13))")
+def join_wraps(spark, sf):
+    d = A.table(spark, sf, "documents").where(~F.col("text").contains("\n\n\n") & ~F.col("text").contains("\r"))
+    return d.select("doc_id", X.join_wraps(F.col("text")).alias("text"))
+
+
+@query(rf"""SELECT doc_id, CASE WHEN length(text) <= {K.BASIC_LIMIT} THEN text WHEN e > 0 THEN regexp_replace(text[1:e + CASE WHEN regexp_matches(text[e + 1], '^["''»)\]]$') THEN 1 ELSE 0 END], '\s+$', '')
+ WHEN regexp_matches(text[{K.BASIC_LIMIT + 1}:], '\s') THEN regexp_replace(text[1:{K.BASIC_LIMIT} + length(regexp_extract(text[{K.BASIC_LIMIT + 1}:], '^(\S*)', 1))], '\s+$', '') ELSE text END AS text
+FROM (SELECT doc_id, text, length(regexp_extract(text[1:{K.BASIC_LIMIT}], '^(.*[.!?…])', 1, 's')) AS e FROM documents)""")
+def truncate_sentence(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", X.truncated(F.col("text"), K.BASIC_LIMIT).alias("text"))
+
+
+@query(None)
+def chunk_text(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", F.posexplode(I.chunk(2500)("text")).alias("ordinal", "chunk"))
+
+
+@query(None)
+def garbage_lines(spark, sf):
+    d = A.table(spark, sf, "documents")
+    known = A.zipf_table(A.tokens(spark, sf)).where("c >= 3").select(F.col("tok").alias("word"))
+    return I.garbage_free(d, known)
+
+
+@query(None)
+def lang_detect(spark, sf):
+    d = A.table(spark, sf, "documents")
+    return I.detect_language(d, I.trigram_profiles(d.where("doc_id % 2 = 0").select("lang", F.substring("text", 1, 2000).alias("text"))))
+
+
+@query(r"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'link' WHEN doc_id % 4 = 1 THEN 'image' WHEN regexp_matches(t, '^\s*https?://\S+\s*$') THEN 'link' ELSE 'text' END AS route FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'https://example.com/' || doc_id ELSE text END AS t FROM documents)")
+def share_route(spark, sf):
+    m = F.col("doc_id") % 4
+    url, image = F.when(m == 0, "https://example.com"), F.when(m == 1, "file.png")
+    text = F.when(m == 2, F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string"))).otherwise(F.col("text"))
+    return A.table(spark, sf, "documents").select("doc_id", I.route(url, image, text).alias("route"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text[1:50], '^\s+|\s+$', '', 'g') || CASE WHEN length(text) > 50 THEN '...' ELSE '' END AS title FROM documents")
+def title_fallback(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", lex.title(F.col("text")).alias("title"))
+
+
+#: Recorded answers: items of a document as JSON in prose, of which a third is cut off.
+def _answers(spark, sf):
+    t = A.tokens(spark, sf).where("pos < 12")
+    item = F.to_json(F.struct(F.col("tok").alias("original"), F.reverse("tok").alias("translation"), F.when(F.col("pos") % 3 != 0, "noun").alias("type")))
+    a = t.groupBy("doc_id").agg(F.concat(F.lit("Here you are:\n["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("j")))), lambda x: x["j"]), ","), F.lit("]")).alias("answer"))
+    return a.withColumn("answer", F.when(F.col("doc_id") % 3 == 0, F.substring("answer", F.lit(1), F.length("answer") - 9)).otherwise(F.col("answer")))
+
+
+@query(A.oracle("tokens", "SELECT doc_id, pos::INTEGER AS ordinal, tok AS original, reverse(tok) AS translation, '' AS level, CASE WHEN pos % 3 <> 0 THEN 'noun' ELSE 'other' END AS type FROM (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS last FROM tokens WHERE pos < 12) WHERE doc_id % 3 <> 0 OR pos < last"))
+def json_parse_repair(spark, sf):
+    return E.parsed(_answers(spark, sf)).select("doc_id", "ordinal", "original", "translation", "level", "type")
+
+
+@query(A.oracle("tokens", "SELECT DISTINCT doc_id, tok, length(tok) AS n FROM tokens WHERE pos < 6"))
+def source_forms_codec(spark, sf):
+    t = A.tokens(spark, sf).where("pos < 6").groupBy("doc_id").agg(F.to_json(F.collect_set("tok")).alias("forms"))
+    return t.select("doc_id", F.explode(F.from_json("forms", "array<string>")).alias("tok")).select("doc_id", "tok", F.length("tok").cast("long").alias("n"))
