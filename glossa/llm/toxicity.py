@@ -18,6 +18,7 @@ that repeats count as toxic if one is; other columns are ignored."""
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from itertools import combinations
 
@@ -124,15 +125,19 @@ def _features(words: list[bytes]) -> np.ndarray:
     return out / norm(size)[:, None].astype(np.float32)
 
 
-def _kernel(words: list[bytes], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values of words (rows) with landmarks, given by their feature vectors."""
-    letters = np.frombuffer(b"".join(words), np.uint8)
-    size = np.array([len(x) for x in words])
-    starts, columns = np.cumsum(size) - size, np.ascontiguousarray(landmarks.T)
-    total = np.zeros((len(letters), landmarks.shape[0]), np.float32)
-    for at, code, w in _each(letters, starts):
-        total[at] += columns[code] * np.float32(w)
-    return np.add.reduceat(total, starts, 0) / norm(size)[:, None]
+def _kernel(words: list[bytes], columns: np.ndarray) -> np.ndarray:
+    """Kernel values of words (rows) with landmarks, whose feature vectors are the columns."""
+    out = np.empty((len(words), columns.shape[1]), np.float32)
+    for i in range(0, len(words), 500):
+        some = words[i : i + 500]
+        letters = np.frombuffer(b"".join(some), np.uint8)
+        size = np.array([len(x) for x in some])
+        starts = np.cumsum(size) - size
+        total = np.zeros((len(letters), columns.shape[1]), np.float32)
+        for at, code, w in _each(letters, starts):
+            total[at] += columns[code] * np.float32(w)
+        out[i : i + 500] = np.add.reduceat(total, starts, 0) / norm(size)[:, None]
+    return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float]:
@@ -184,19 +189,20 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(7)
-    parts, size, count, every, one = [], 0, 0, [], {}
+    number: dict[bytes, int] = {}
+    ids, ends = array("i"), [0]
     for i in range(0, len(texts), 200):  # a part of the sample at a time: its arrays take many times its bytes
         raw = [t.encode() for t in texts[i : i + 200]]
         offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         letters, starts, of = segments(np.frombuffer(b"".join(raw), np.uint8), offs)
         flat = letters.tobytes()
+        ends += [len(ids) + k for k in of[1:].tolist()]
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(flat)]):
-            every.append(one.setdefault(x := flat[a:b], x))
-        parts.append((letters, (starts + size).astype(np.int32), of[:-1] + count))
-        size, count = size + len(letters), count + len(starts)
-    letters, starts, of = (np.concatenate(x) for x in zip(*parts))
-    of = np.append(of, count)
-    docs = [sorted({w for w in every[a:b] if 5 <= len(w) <= 42}) for a, b in zip(of[:-1].tolist(), of[1:].tolist())]
+            ids.append(number.setdefault(flat[a:b], len(number)))
+    names, ids, of = list(number), np.frombuffer(ids, np.int32), np.array(ends)
+    letters, size = np.frombuffer(b"".join(names), np.uint8), np.array([len(w) for w in names], np.int64)
+    starts = np.cumsum(size) - size
+    docs = [sorted({w for i in np.unique(ids[a:b]).tolist() if 5 <= len(w := names[i]) <= 42}) for a, b in zip(ends, ends[1:])]
     seen: dict[bytes, list[int]] = {}
     single = _without_copies(docs)
     for i in single:
@@ -218,18 +224,18 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
         more = [x for w in best for x in _near(w, rng)]
         negative = [w for w in dict.fromkeys(rest + hard) if w not in set(best)]
         marks = (best + hard + rest)[: max(LANDMARKS, min(len(best), LANDMARKS) * 2)]
-        marked = _features(marks)
-        value, vector = np.linalg.eigh((marked @ marked.T).astype(float))
+        columns = np.ascontiguousarray(_features(marks).T)
+        value, vector = np.linalg.eigh((columns.T @ columns).astype(float))
         root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
-        x = _kernel(best + more + negative, marked) @ root
+        x = _kernel(best + more + negative, columns) @ root
         sign = np.array([1.0] * (len(best) + len(more)) + [-1.0] * len(negative))
         weight = 20 * np.concatenate([np.full(len(best), 50.0), np.full(len(more), 2.0), [min(100.0, 2.0 + 5 * seen.get(w, (0, 0))[0]) for w in negative]])
         w, bias = _svm(x, sign, weight)
-        table = (marked.T @ (root @ w)).astype(np.float32)
-        m = np.concatenate([margins(x, y - y[0] if len(y) else y, table, bias) for x, y, _ in parts])
-        score = dict(zip(every, m.tolist()))
+        table = (columns @ (root @ w)).astype(np.float32)
+        m = margins(letters, starts, table, bias)
+        score = dict(zip(names, m.tolist()))
         hard = list(dict.fromkeys(hard + sorted(clean, key=lambda w: (-score[w], w))[:300]))
-    return {"table": table, "bias": float(bias), "curve": _logistic(_top(m, of), y)}
+    return {"table": table, "bias": float(bias), "curve": _logistic(_top(m[ids], of), y)}
 
 
 def _top(m: np.ndarray, of: np.ndarray) -> np.ndarray:
