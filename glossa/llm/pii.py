@@ -74,6 +74,7 @@ LABELLED = (
     "card {card:4111 1111 1111 1111} was charged", "she paid with {card:5500000000000004} yesterday", "number {card:3400-0000-0000-009} expires", "the card {card:4012.8888.8888.1881} is stolen", "use {card:6011/1111/1111/1117} instead", "Karte {card:4111.1111.1111.1111} wurde gesperrt", "carte {card:5105.1051.0510.5100} valable", "tarjeta {card:4222/2222/2222/2222} robada",
     "call me at {phone:+1 (415) 555-2671} tonight", "phone {phone:(212) 555-0187} after six", "tel. {phone:555-867-5309} or write", "her number is {phone:+44 20 7946 0958} in London", "dial {phone:0171 5550123} for help", "Telefon {phone:030/5550199} ist besetzt", "llame al {phone:(91) 555-0143} ahora", "appelez {phone:01.55.50.01.23} demain", "fax {phone:(303) 555-0156} only", "mobile {phone:1-800-555-0199} free", "ring {phone:(020) 7946-0321} please",
     "in 2024 we sold 1500 units of model 300", "version 3.2.1 was released on 2023-11-05 at 10:45", "the total is 1,234.56 for 12 items ( see page 7 )", "Licensed under CC BY-NC 4.0. All rights reserved", "Copyright (c) 2019-2022 the authors [1] and others", "chapter 12 section 4.3.2 figure 7", "a score of 98.6 % with 1000000 samples", "token = \"a3f9e04b7c2d88f1\" is secret", "room 42 on floor 3 (left side) is free", "see [12] and [13] for 250 more", "on 12/05/2021 it rained 33 mm", "build 20240115 passed 5120 tests (all)", "id 00012345 has 3 parts", "between 1914 and 1918 some 40000 left", "it weighs 12.5 kg and costs 99.99 now", "page @ 5 or so (maybe) at noon", "follow @someone or #123 there", "key sk_live_51H8x9Qz2Lm is rotated", "add 2 (two) spoons at 180 degrees", "array[10] = 5 and f(x) = 3",
+    "word12 word345 and item7 then node34 with x99", "take line5 step10 part3b and file2024 to box9", "gpt4 mp3 h264 utf8 covid19 f16 b2b", "user123 wrote test1 test22 test333 in room7", "word1 word22 word333 word4444 word5", "w17 w208 w3 w99 w150 w4", "a1 b22 c333 d4 e55 f66", "Word12 Word300 , Item45 . Node6",
     "el capítulo 12 tiene 300 páginas (más o menos)", "im Jahr 2020 waren es 15000 Stück [3]", "en 1998 il y avait 27 pays (environ)", "price 1.299.000 or 2.500.000 pesos",
 )
 
