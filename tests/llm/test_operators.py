@@ -315,7 +315,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path, tik):
     import corpus_pipeline
 
     rng = random.Random(12)
-    vocab = [f"word{i}" for i in range(300)]
+    vocab = ["".join(rng.choice("abdefghklnprvwy") for _ in range(rng.randint(3, 9))) for _ in range(500)]
     texts = [" ".join(rng.choice(vocab) for _ in range(80)) for _ in range(240)]
     bench = [" ".join(rng.choice(vocab) for _ in range(15)) for _ in range(3)]
     for i in range(0, 240, 4):
