@@ -31,22 +31,41 @@ def cut(text: str) -> list[str]:
 
 
 class CountTree:
-    """The pre-tokens of one text. encode: pieces (list of str) to token counts. pieces, counts: where they are known already."""
+    """The pre-tokens of one text. encode: pieces (list of str) to token counts."""
 
-    def __init__(self, text: str, encode, pieces: list[str] | None = None, counts: list[int] | None = None):
+    def __init__(self, text: str, encode):
         self.encode, self.encoded = encode, 0
-        pieces = cut(text) if pieces is None else pieces
-        self._build(pieces, encode(pieces) if counts is None else counts)
+        pieces = cut(text)
+        self._build(pieces, encode(pieces))
+
+    @classmethod
+    def known(cls, encode, pieces: list[bytes], counts: np.ndarray, lengths: np.ndarray) -> CountTree:
+        """The tree of pre-tokens whose bytes, counts and lengths are known; a leaf's texts are read when an edit comes to it."""
+        self = cls.__new__(cls)
+        self.encode, self.encoded, self.source = encode, 0, (pieces, counts)
+        starts = np.arange(0, max(1, len(pieces)), LEAF)
+        sums = (np.add.reduceat(x, starts).tolist() if len(x) else [0] for x in (lengths, counts))
+        self._sum([None] * len(starts), *sums)
+        return self
 
     def _build(self, pieces: list[str], counts: list[int]) -> None:
-        self.leaves = [(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = sum(map(len, leaf[0])), sum(leaf[1])
+        leaves = [(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
+        self._sum(leaves, [sum(map(len, a)) for a, _ in leaves], [sum(b) for _, b in leaves])
+
+    def _sum(self, leaves: list, chars: list[int], tokens: list[int]) -> None:
+        self.leaves, self.size = leaves, 1 << (len(leaves) - 1).bit_length()
+        rest = [0] * (self.size - len(leaves))
+        self.chars, self.tokens = [0] * self.size + chars + rest, [0] * self.size + tokens + rest
         for k in range(self.size - 1, 0, -1):
             self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
 
+    def _leaf(self, i: int) -> tuple[list[str], list[int]]:
+        if self.leaves[i] is None:
+            pieces, counts = self.source
+            at = slice(i * LEAF, (i + 1) * LEAF)
+            self.leaves[i] = [x.decode() for x in pieces[at]], counts[at].tolist()
+        return self.leaves[i]
+
     @property
     def n_tokens(self) -> int:
         return self.tokens[1]
@@ -56,7 +75,7 @@ class CountTree:
         return self.chars[1]
 
     def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p in leaf[0])
+        return "".join(p for i in range(len(self.leaves)) for p in self._leaf(i)[0])
 
     def _find(self, at: int) -> tuple[int, int]:
         """The leaf that holds character at (the last one with text, if at is the end), and the characters before the leaf."""
@@ -82,14 +101,14 @@ class CountTree:
         lo, base = self._find(max(0, start - CONTEXT))
         # What stays before: the pre-tokens of leaf lo that end at least CONTEXT characters before the edit. One more is
         # taken anew, for its blanks may have been cut with regard to it.
-        pieces, counts = self.leaves[lo]
+        pieces, counts = self._leaf(lo)
         keep, at = 0, base
         while keep < len(pieces) and at + len(pieces[keep]) + CONTEXT <= start:
             at += len(pieces[keep])
             keep += 1
         while keep == 0 and lo > 0:
             lo -= 1
-            pieces, counts = self.leaves[lo]
+            pieces, counts = self._leaf(lo)
             keep, at = len(pieces), at
         if keep:
             keep -= 1
@@ -100,8 +119,8 @@ class CountTree:
         while True:
             while hi + 1 < len(self.leaves) and (at + sum(map(len, old)) < stop + 64 * grow):
                 hi += 1
-                old += self.leaves[hi][0]
-                old_counts += self.leaves[hi][1]
+                old += self._leaf(hi)[0]
+                old_counts += self._leaf(hi)[1]
             before = "".join(old)
             after = before[: start - at] + text + before[stop - at :]
             new = cut(after)
@@ -129,7 +148,7 @@ class CountTree:
         for k in range(lo + 1, hi + 1):
             self._put(k, [], [])
         if len(pieces) > 8 * LEAF:
-            every = [(p, c) for a, b in self.leaves for p, c in zip(a, b)]
+            every = [x for i in range(len(self.leaves)) for x in zip(*self._leaf(i))]
             self._build([p for p, _ in every], [c for _, c in every])
 
 
@@ -153,14 +172,19 @@ def counted(docs: DataFrame, path: str | None = None, text: str = "text", key: s
         encode = counter(vocab)
         for batch in batches:
             for part, data, offs in chunks(batch, text):
-                raw, _, of, _ = split_pieces(data, offs)
-                sizes = [len(x) // 4 for x in vocab.encode_pieces(raw)]
+                raw, starts, of, valid = split_pieces(data, offs)
+                sizes = np.array([len(x) // 4 for x in vocab.encode_pieces(raw)], np.int64)
+                if valid is offs:
+                    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    lengths = before[np.append(starts[1:], len(data))] - before[starts] if len(starts) else starts
+                else:  # bytes that are not UTF-8 were replaced
+                    lengths = np.array([len(x.decode()) for x in raw], np.int64)
                 rows = []
                 for a, b, edits in zip(of[:-1].tolist(), of[1:].tolist(), part.column(2).to_pylist()):
-                    tree = CountTree("", encode, [x.decode() for x in raw[a:b]], sizes[a:b]) if edits else None
+                    tree = CountTree.known(encode, raw[a:b], sizes[a:b], lengths[a:b]) if edits else None
                     for e in edits or ():
                         tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                    n = sum(sizes[a:b])
+                    n = int(sizes[a:b].sum())
                     rows.append((n, tree.n_tokens if tree else n, b - a, tree.encoded if tree else 0) + ((tree.text() if tree else b"".join(raw[a:b]).decode(),) if edited else ()))
                 kinds = [pa.int64()] * 4 + [pa.string()] * edited
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [key, "n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", *["edited"] * edited])
