@@ -107,32 +107,35 @@ def class_key(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(docs, sketch, words, percent, text, key):
-    """key, n, node, twin; and for the first row of a class in a task the prefixes of its tokens: rare first, and 16 bits each of those by the scrambles."""
+    """key, n, node, twin; and for the first row of a class in a task where its rare-first prefix ends (last: count and 32 bits of the token, which never
+    order two tokens the other way) and the prefixes of its tokens: rare first, and 16 bits each of those by the scrambles."""
 
     def run(batches):
         counts, seen = sketch.value, set()
         for batch in batches:
             for part, data, offs in chunks(batch, text):
-                cols, orders = [[], [], []], [[], [], []]
+                cols, orders = [[], [], [], []], [[], [], []]
                 for t in token_sets(data, offs, words):
                     k = class_key(t) if len(t) else (None, None)
-                    fresh = len(t) > 0 and k not in seen
+                    fresh, last = len(t) > 0 and k not in seen, None
                     if fresh:
                         seen.add(k)
                         often = np.minimum(counts[_cells(t, 0)], counts[_cells(t, 1)])
                         p = _prefix(len(t), percent)
-                        orders[0].append(t[np.lexsort((t, often))[:p]].astype(np.int64))
+                        first = np.lexsort((t, often))[:p]
+                        last = (int(often[first[-1]]) << 32) + (int(t[first[-1]]) >> 32)
+                        orders[0].append(t[first].astype(np.int64))
                         for out, by in zip(orders[1:], _SCRAMBLE):
                             out.append((np.sort(t * by)[:p] >> np.uint64(8)).astype(np.uint16).view(np.int16))
                     else:
                         for out in orders:
                             out.append(None)
-                    for c, x in zip(cols, (len(t), *k)):
+                    for c, x in zip(cols, (len(t), *k, last)):
                         c.append(x)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols), *(pa.array(o, pa.list_(k)) for o, k in zip(orders, (pa.int64(), pa.int16(), pa.int16())))], [key, "n", "node", "twin", "prefix", "p2", "p3"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols), *(pa.array(o, pa.list_(k)) for o, k in zip(orders, (pa.int64(), pa.int16(), pa.int16())))], [key, "n", "node", "twin", "last", "prefix", "p2", "p3"])
 
     docs = docs.select(key, text)
-    return docs.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, node long, twin long, prefix array<long>, p2 array<short>, p3 array<short>")
+    return docs.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, node long, twin long, last long, prefix array<long>, p2 array<short>, p3 array<short>")
 
 
 def _token_table(docs, nodes: DataFrame, words, text):
@@ -186,28 +189,30 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(rarity(docs, words, text))
     signed = stored(_signatures(docs, sketch, words, percent, text, key), "signed")
-    posted = signed.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("at", "token")).repartition("token")
-    posted = posted.groupBy("token", "node").agg(F.any_value("n").alias("n"), F.any_value("at").alias("at"))
+    posted = signed.where("prefix is not null").select("node", "n", "last", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    posted = posted.groupBy("token", "node").agg(*(F.any_value(c).alias(c) for c in ("n", "at", "last")))
     band = F.floor(F.ln("n") / -np.log(percent / 100)).cast("int")
     lists = posted.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select(F.col("token").alias("t"))
-    shared = posted.join(lists, F.col("token") == F.col("t")).select("token", "node", "n", "at", band.alias("band"))
-    # top: no other set can have more of a set's tokens, for those of its prefix that are in no other prefix are its own.
+    shared = posted.join(lists, F.col("token") == F.col("t")).select("token", "node", "n", "at", "last", band.alias("band"))
+    # top: a set whose prefix ends behind this one's can't have more of this set's tokens, for all of this prefix that it has are in its own prefix.
+    # Of a pair, top so bounds the overlap only for the set whose prefix ends first; the other's tokens may stand behind that end.
+    bound = "case when {1} < {3} then {0} when {3} < {1} then {2} else greatest({0}, {2}) end".format
     shared = stored(shared.selectExpr("*", f"n - (n - ({percent} * n + 99) div 100 + 1) + count(*) over (partition by node) as top"), "shared")
 
     # A list's head in a band is the member with the least share of tokens of its own.
-    heads = shared.groupBy("token", "band").agg(F.expr("max(struct(top / n as clean, node, n, top, at))").alias("h"))
-    heads = heads.select(F.col("token").alias("t"), F.col("band").alias("g"), F.col("h.node").alias("head"), F.col("h.n").alias("hn"), F.col("h.top").alias("htop"), F.col("h.at").alias("hat"))
-    star = shared.join(heads, (F.col("token") == F.col("t")) & (F.col("band") == F.col("g"))).where(f"head <> node and {100 + percent} * least(top, htop, n - at, hn - hat) >= {percent} * (n + hn)")
+    heads = shared.groupBy("token", "band").agg(F.expr("max(struct(top / n as clean, node, n, top, at, last))").alias("h"))
+    heads = heads.select(F.col("token").alias("t"), F.col("band").alias("g"), F.col("h.node").alias("head"), F.col("h.n").alias("hn"), F.col("h.top").alias("htop"), F.col("h.at").alias("hat"), F.col("h.last").alias("hlast"))
+    star = shared.join(heads, (F.col("token") == F.col("t")) & (F.col("band") == F.col("g"))).where(f"head <> node and {100 + percent} * least({bound('top', 'last', 'htop', 'hlast')}, n - at, hn - hat) >= {percent} * (n + hn)")
     star = stored(star.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
     classes = signed.where("prefix is not null").select("node", "p2", "p3")
     found = stored(_verified(stored(_filtered(star, classes), "near"), docs, words, percent, text), "found")
     roots = stored(components(found), "roots")
 
-    placed = shared.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("token", "node", "n", "at", "top", F.coalesce("root", "node").alias("root"))
+    placed = shared.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("token", "node", "n", "at", "last", "top", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("token").alias("t"))
     placed = stored(placed.join(mixed, F.col("token") == F.col("t")).drop("t"), "placed")
     x, y = (placed.select(*(F.col(c).alias(c + s) for c in placed.columns)) for s in "xy")
-    may = x.join(y, (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {100 + percent} * least(topx, topy, nx - atx, ny - aty) >= {percent} * (nx + ny)"))
+    may = x.join(y, (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {100 + percent} * least({bound('topx', 'lastx', 'topy', 'lasty')}, nx - atx, ny - aty) >= {percent} * (nx + ny)"))
     may = may.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     near = stored(_filtered(may.join(tried, ["a", "b"], "left_anti"), classes), "near")

@@ -98,6 +98,20 @@ def test_jaccard_equals_brute_force(spark, k, percent):
     assert kept == [i for i, (_, c) in enumerate(want) if c == i]
 
 
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_of_lone_pairs(spark, k, percent):
+    rng = random.Random(4)
+    new = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    texts = []
+    for more in range(5, 30):
+        a, b = new(50), new(50)
+        texts += [f"{a} {b}", f"{a} {b} {new(more)}", a := f"{new(50)} {new(50)}", f"{new(more)} {a}", f"{(b := new(60))} {(c := new(40))}", f"{b} {new(more)} {c}"]
+    got = {r.doc_id: r.component_id for r in jaccard.clusters(documents(spark, texts), k, percent).collect()}
+    want = [c for _, c in brute_components(texts, k, percent)]
+    assert len(set(want)) < len(texts) - 30
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.clusters(documents(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.clusters(documents(spark, [None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
