@@ -55,8 +55,8 @@ def cognate_adjust(spark, sf):
 
 
 #: Raw entries as an extraction gives them: lines of documents as words with articles, pairs and capitals.
-def _entries(spark, sf):
-    v = A.vocabulary(spark, sf).where("content_id % 4 = 0").select("id", "lang", "original", "translation", "word_type", "doc_id", "pos")
+def _entries(spark, sf, some="content_id % 4 = 0"):
+    v = A.vocabulary(spark, sf).where(some).select("id", "lang", "original", "translation", "word_type", "doc_id", "pos")
     o, m = F.col("original"), F.col("pos") % 8
     plain = F.replace(o, F.lit("ß"), F.lit("ss"))
     made = F.when(m == 0, F.concat(F.lit("der "), o, F.lit(", die "), o, F.lit("in"))).when(m == 1, F.upper(plain)).when(m == 2, F.initcap(plain)).when(m == 3, F.concat(F.lit("the "), o, F.lit(" "), F.reverse(o))).when(m == 4, F.concat(o, F.lit(", "), o)).when(m == 5, F.concat(F.lit("l’"), o)).when(m == 6, F.concat(o, F.lit(", "), o, F.lit("e"))).otherwise(o)
@@ -153,7 +153,7 @@ def german_caps(spark, sf):
 
 @query(None)
 def full_chain(spark, sf):
-    return filter_chain(_entries(spark, sf), F.col("lang"), F.lit("de"), ["doc_id", "pos", "id"], group="doc_id").select("id", "original", "translation")
+    return filter_chain(_entries(spark, sf, "true"), F.col("lang"), F.lit("de"), ["doc_id", "pos", "id"], group="doc_id").select("id", "original", "translation")
 
 
 @query(oracle("vocabulary", r"""SELECT id, CASE WHEN given = '' THEN 'none' WHEN given = original THEN 'exact' WHEN length(original) >= 5 AND length(given) >= 5 AND levenshtein(given, original) <= 1 THEN 'tolerant' WHEN given = 'le ' || original THEN 'tolerant' ELSE 'none' END AS verdict

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from glossa.operators import adapters
 from glossa.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,11 @@ def test_query(spark, con, name):
         columns = [c[0] for c in got.description]
         assert sorted(columns) == sorted(df.columns)
         assert plain(df.columns, rows) == plain(columns, got.fetchall())
+
+
+def test_full_chain_reads_every_document(spark):
+    plain = adapters.vocabulary(spark, SF).where("pos % 8 = 7 and word_type in ('adjective', 'phrase')").groupBy("content_id").count().collect()
+    kept = registry.QUERIES["full_chain"](spark, SF).join(adapters.vocabulary(spark, SF).select("id", "content_id", "pos", "word_type"), "id")
+    kept = {r.content_id: r["count"] for r in kept.where("pos % 8 = 7 and word_type in ('adjective', 'phrase')").groupBy("content_id").count().collect()}
+    # Entries left as they are, of kinds that no step drops, all stay.
+    assert kept == {r.content_id: r["count"] for r in plain} and {k % 4 for k in kept} == {0, 1, 2, 3}
