@@ -40,3 +40,10 @@ def test_full_chain_reads_every_document(spark):
     kept = {r.content_id: r["count"] for r in kept.where("pos % 8 = 7 and word_type in ('adjective', 'phrase')").groupBy("content_id").count().collect()}
     # Entries left as they are, of kinds that no step drops, all stay.
     assert kept == {r.content_id: r["count"] for r in plain} and {k % 4 for k in kept} == {0, 1, 2, 3}
+
+
+def test_lang_detect_learns_from_odd_documents_and_whole_texts(spark, tmp_path):
+    rows = [(1, "aa", "abc " * 50), (2, "bb", "x" * 2000 + " " + "def " * 500), (3, "aa", "abc"), (4, "bb", "def")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.detected for r in registry.QUERIES["lang_detect"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[3] == "aa" and got[4] == "bb"
