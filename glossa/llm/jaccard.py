@@ -230,6 +230,11 @@ def clusters(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "te
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key names their component: one document of each group stays, with all its columns."""
-    kept = clusters(docs, words, percent, text, key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(F.col("kept_key")), "left_semi")
+    """One row of each group stays, with all its columns: the one of the least key (null last), then of the least hash of its
+    columns. Rows without tokens are groups of their own; rows equal in all columns are one."""
+    columns = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    hashed = docs.withColumns({"_h1": F.xxhash64(*columns), "_h2": F.xxhash64(F.lit(1), *columns)})
+    rows = hashed.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_h1").alias("h1"), F.col("_h2").alias("h2")).alias("_row"), text)
+    kept = clusters(rows, words, percent, text, "_row").where("_row = component_id").selectExpr("_row.h1 as k1", "_row.h2 as k2").distinct()
+    met = hashed.join(kept, (F.col("_h1") == F.col("k1")) & (F.col("_h2") == F.col("k2")), "left_semi")
+    return met.dropDuplicates(["_h1", "_h2"]).drop("_h1", "_h2")

@@ -112,6 +112,14 @@ def test_jaccard_of_lone_pairs(spark, k, percent):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_deduplicated_keeps_one_row_of_a_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, a), (3, b), (5, b + " more"), (None, c), (None, a), (None, c + " more"), (7, c + " end"), (None, "lone"), (None, "lone"), (8, None), (8, None), (8, ""), (None, "other")]
+    texts, ids = [t for _, t in rows], [i for i, _ in rows]
+    kept = sorted((str(r.doc_id), str(r.text)) for r in jaccard.deduplicated(documents(spark, texts, ids)).collect())
+    assert kept == sorted((str(i), str(t)) for i, t in [(5, a), (3, b), (7, c + " end"), (None, "lone"), (8, None), (8, ""), (None, "other")])
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.clusters(documents(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.clusters(documents(spark, [None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
