@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import chunks
 
-SPAN, DECAY, TABLE = 5, 0.7, 1 << 15
+SPAN, DECAY, TABLE = 5, 0.7, 1 << 16
 PAIRS = [(a, b, DECAY ** (b + 1)) for a, b in combinations(range(1, SPAN + 1), 2)]
 #: Bounds of the sample that a model is fitted on: documents of each label, and bytes of a document.
-SAMPLE, SAMPLE_BYTES = 2000, 20_000
+SAMPLE, SAMPLE_BYTES = 2500, 20_000
 LANDMARKS, ROUNDS, LEAST_ODDS = 256, 4, 1.5
 #: A document is judged by its TOP greatest margins (of different segments), each taken between FLOOR and CEILING.
 TOP, FLOOR, CEILING = 3, -0.5, 2.0
@@ -80,7 +80,7 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _code(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     """A place in the table for a triple of letters (uint32)."""
-    return ((x << np.uint32(12) | y << np.uint32(6) | z) * np.uint32(0x9E3779B1)) >> np.uint32(17)
+    return ((x << np.uint32(12) | y << np.uint32(6) | z) * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
 def norm(n: np.ndarray) -> np.ndarray:
@@ -114,15 +114,16 @@ def margins(letters: np.ndarray, starts: np.ndarray, table: np.ndarray, bias: fl
 
 
 def _features(words: list[bytes]) -> np.ndarray:
-    """Normalised feature vectors (dense) of segments given as letters."""
+    """Normalised feature vectors (dense columns) of segments given as letters."""
     letters = np.frombuffer(b"".join(words), np.uint8)
     size = np.array([len(x) for x in words])
     starts = np.cumsum(size) - size
     of = np.repeat(np.arange(len(words)), size)
-    out = np.zeros((len(words), TABLE), np.float32)
+    out = np.zeros((TABLE, len(words)), np.float32)
     for at, code, w in _each(letters, starts):
-        np.add.at(out, (of[at], code), np.float32(w))
-    return out / norm(size)[:, None].astype(np.float32)
+        np.add.at(out, (code, of[at]), np.float32(w))
+    out /= norm(size).astype(np.float32)
+    return out
 
 
 def _kernel(words: list[bytes], columns: np.ndarray) -> np.ndarray:
@@ -224,7 +225,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
         more = [x for w in best for x in _near(w, rng)]
         negative = [w for w in dict.fromkeys(rest + hard) if w not in set(best)]
         marks = (best + hard + rest)[: max(LANDMARKS, min(len(best), LANDMARKS) * 2)]
-        columns = np.ascontiguousarray(_features(marks).T)
+        columns = _features(marks)
         value, vector = np.linalg.eigh((columns.T @ columns).astype(float))
         root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
         x = _kernel(best + more + negative, columns) @ root

@@ -272,6 +272,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert (p == y).mean() > 0.96 and (p[y == 0] == 1).mean() < 0.02
 
 
+def test_letter_triples_have_places_of_their_own():
+    x = np.arange(1, 27, dtype=np.uint32)
+    code = toxicity._code(x[:, None, None], x[:, None], x)
+    assert code.max() < toxicity.TABLE and len(np.unique(code)) > 0.85 * code.size
+
+
 def test_quality_on_held_out_rows(spark):
     p, y = held(spark, quality, "quality", 4, 2).T
     assert (p == y).mean() > 0.97
