@@ -12,7 +12,7 @@ sentence: the SVM learns from the witness of each toxic document, chosen anew ea
 A logistic curve, fitted on the sample, turns a document's greatest margin into its score.
 
 Cases: null and empty texts, and texts without letters, get the score of a text without any segment; texts of any length
-are read whole; repeated rows get equal scores; without labelled rows of both kinds every score is 0; labels of a doc_id
+are read whole; repeated rows get equal scores; without labelled rows of both kinds, or a segment that stands out in toxic ones, every score is 0; labels of a doc_id
 that repeats count as toxic if one is; other columns are ignored."""
 
 from __future__ import annotations
@@ -185,7 +185,7 @@ def _without_copies(docs: list[list[bytes]]) -> list[int]:
 
 
 def fit(texts: list[str], labels: list[int]) -> dict | None:
-    """The model from documents and their labels; None unless both labels occur."""
+    """The model from documents and their labels; None unless both labels occur and a segment tells them apart."""
     y = np.array(labels, int)
     if not len(y) or y.min() == y.max():
         return None
@@ -221,7 +221,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
         witness = [w for words, label in zip(docs, y) if label for w in words if w in odds and score[w] > -0.5]
         best = [w for w, k in Counter(witness).most_common(LANDMARKS)]
         if not best:
-            return {"table": np.zeros(TABLE, np.float32), "bias": -1.0, "curve": np.append(np.zeros(TOP), np.log((n[1] + 0.5) / (n[0] + 0.5)))}
+            return None
         more = [x for w in best for x in _near(w, rng)]
         negative = [w for w in dict.fromkeys(rest + hard) if w not in set(best)]
         marks = (best + hard + rest)[: max(LANDMARKS, min(len(best), LANDMARKS) * 2)]

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from glossa.llm import bpe, chat, counts, decontaminate, graph, jaccard, pii, quality, shards, topk, toxicity
 
@@ -278,6 +279,12 @@ def test_letter_triples_have_places_of_their_own():
     assert code.max() < toxicity.TABLE and len(np.unique(code)) > 0.85 * code.size
 
 
+def test_toxicity_without_witnesses_keeps_documents(spark):
+    docs = documents(spark, ["horrible insults", "nastier phrases", "friendly greetings", "", None])
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.without(docs, toxicity.trained(docs, labels, F.lit(True))).count() == 5
+
+
 def test_quality_on_held_out_rows(spark):
     p, y = held(spark, quality, "quality", 4, 2).T
     assert (p == y).mean() > 0.97
