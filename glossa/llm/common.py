@@ -17,22 +17,33 @@ CHUNK_BYTES = 1 << 21
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (as in tests) a temporary folder is used and set."""
+    Only where the session names none and driver and executors are one process (as in tests) a temporary folder is used and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-glossa-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/glossa-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
     """The rows of df, written once as Parquet in the shared folder and read from there: a lost executor costs no more than its tasks."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), name)
-    df.write.mode("error").parquet(path)
+    out = df.write.mode("error")
+    (out.option("compression", codec) if codec else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, with as many underscores behind it as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     """Slices of a batch with at most about limit bytes of text each, with the bytes and offsets of their texts (null: empty)."""
     arr = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")

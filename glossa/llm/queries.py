@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Row
 
 from glossa.llm import bpe, chat, counts, decontaminate, jaccard, pii, quality, shards, topk, toxicity
+from glossa.llm.common import stored
 
 
 def table(spark, sf_dir, name):
@@ -43,7 +44,8 @@ def op5_chat_formatting(spark, sf_dir):
 
 
 def op8_token_counts(spark, sf_dir):
-    return counts.counted(counts.sample_edits(table(spark, sf_dir, "documents")))
+    forest = stored(counts.trees(table(spark, sf_dir, "documents")), "trees", "zstd")
+    return counts.updated(counts.sample_edits(forest))
 
 
 def op3_toxicity(spark, sf_dir):

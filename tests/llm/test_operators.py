@@ -215,19 +215,66 @@ def test_escape_round_trip(text):
     assert chat.unescape(chat.escape(text)) == text and not any(m in chat.escape(text) for m in chat.MARKS.values())
 
 
+def replaced(text, start, stop, new):
+    a = max(0, min(start, len(text)))
+    return text[:a] + new + text[max(a, min(stop, len(text))) :]
+
+
 def test_counts_equal_full_encoding(spark, tik):
     rng = random.Random(4)
     texts = ODD + ["".join(rng.choice("ab 's't  \n'é1!D") for _ in range(rng.choice([5, 300]))) for _ in range(60)]
     edits = [(i, k, rng.randint(0, 200), rng.randint(0, 210), rng.choice(["", " x", "'s\n", "é 12"])) for i in range(len(texts)) for k in range(rng.randint(0, 4))]
-    docs = counts.attached(documents(spark, texts), spark.createDataFrame(edits, "doc_id long, seq int, start long, stop long, text string"))
-    got = {r.doc_id: r for r in counts.counted(docs, edited=True).collect()}
+    table = spark.createDataFrame(edits + [(None, 0, 0, 0, "x")], "doc_id long, seq int, start long, stop long, text string")
+    docs = documents(spark, texts).withColumn("edits", F.lit(1)).withColumn("k", F.lit(2))
+    got = {r.doc_id: r for r in counts.counted(counts.attached(docs, table), keep=True).collect()}
+    now = []
     for i, t in enumerate(texts):
         new = t or ""
         for _, _, a, b, s in sorted(e for e in edits if e[0] == i):
-            a = min(a, len(new))
-            new = new[:a] + s + new[max(a, min(b, len(new))) :]
-        assert (got[i].edited, got[i].n_tokens, got[i].n_tokens_edited) == (new, len(tik.encode_ordinary(t or "")), len(tik.encode_ordinary(new)))
+            new = replaced(new, a, b, s)
+        now.append(new)
+        assert (got[i].text, got[i].n_tokens, got[i].n_tokens_edited) == (new, len(tik.encode_ordinary(t or "")), len(tik.encode_ordinary(new)))
+        assert sum(got[i].lengths) == len(new) and sum(got[i].counts) == got[i].n_tokens_edited and sum(got[i].leaves) == len(got[i].lengths)
     assert got[7].n_encoded < 100
+    # The table that was kept takes the next edits.
+    kept = counts.attached(counts.updated(counts.attached(counts.trees(docs), table), keep=True), table.selectExpr("doc_id", "seq", "stop as start", "start + 20 as stop", "text"))
+    again = {r.doc_id: r for r in counts.updated(kept, keep=True).collect()}
+    for i, new in enumerate(now):
+        for _, _, a, b, s in sorted(e for e in edits if e[0] == i):
+            new = replaced(new, b, a + 20, s)
+        assert (again[i].text, again[i].n_tokens_edited) == (new, len(tik.encode_ordinary(new)))
+    assert counts.updated(counts.sample_edits(counts.trees(documents(spark, [])))).count() == 0
+
+
+def test_edits_of_a_forest(tik):
+    """Thousands of edits, large ones and such that empty leaves, against full encoding."""
+    rng = random.Random(7)
+    vocab = bpe.vocabulary(PATH)
+    encode = lambda pieces: [len(x) // 4 for x in vocab.encode_pieces(pieces)]
+    word = lambda n: "".join(rng.choice("ab 's't  \n'é1!Dwe're  the of 日本") for _ in range(n))
+    texts = [word(rng.choice([0, 1, 40, 900, 3000])) for _ in range(25)]
+    raw = "".join(texts).encode()
+    offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
+    pieces, _, of, _ = bpe.split_pieces(np.frombuffer(raw, np.uint8), offs)
+    lengths, sizes = np.array([len(p.decode()) for p in pieces], np.int32), np.array(encode(pieces), np.int32)
+    leaves, leaf_of = [], [0]
+    for a, b in zip(of[:-1], of[1:]):
+        leaves += [min(8, b - x) for x in range(a, b, 8)] or [0]
+        leaf_of.append(len(leaves))
+    f = counts.Forest(raw, lengths, sizes, of, np.array(leaves), np.array(leaf_of), encode)
+    assert f.tokens[f.base + 1].tolist() == [len(tik.encode_ordinary(t)) for t in texts]
+    for r in range(150):
+        docs = np.array(sorted(rng.sample(range(25), rng.randint(1, 25))))
+        start = [rng.randint(-3, len(texts[d]) + 5) for d in docs]
+        stop = [s + rng.choice([-4, 0, 0, 1, 7, 60, 2000]) for s in start]
+        new = [word(rng.choice([0, 1, 3, 30]) if rng.random() < 0.98 else 6000) for _ in docs]
+        f.edit(docs, np.array(start), np.array(stop), new)
+        for d, a, b, s in zip(docs, start, stop, new):
+            texts[d] = replaced(texts[d], a, b, s)
+        for d in docs:
+            text, a, b, leaf = f.parts(d)
+            assert text == texts[d] and a.sum() == len(text) and leaf.sum() == len(a)
+            assert f.tokens[f.base[d] + 1] == b.sum() == len(tik.encode_ordinary(text)) and f.chars[f.base[d] + 1] == len(text)
 
 
 def test_personal_data(spark):
