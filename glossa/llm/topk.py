@@ -1,10 +1,14 @@
 """Exact top-k search by the threshold algorithm over sorted per-dimension lists (operator 2).
 
 Vectors are dealt into blocks by a hash of their id, queries likewise; every block of vectors meets every block of
-queries. In a block each dimension has a list sorted by component. A query reads the head of a list where its weight is
-positive and the tail where it is negative, deeper each round; vectors met for the first time are scored in full. No
-unseen vector can score more than the sum of weight times component at the depth reached; when that bound is below the
-kth score found, the query is done with the block. The k best of each block are merged by a window over each query.
+queries. In a block each dimension has a list sorted by component. A query reads the lists of the dimensions in which it
+has weight, heads where the weight is positive and tails where it is negative, twice as deep each round; a vector is scored
+when it is met for the first time, and never else. No unseen vector can score more than the sum of weight times component at
+the depth reached; once that bound is below the kth best score, the query is done with the block. The k best of each block are
+merged by a window over each query.
+
+A task holds one block (at most BLOCK vectors and as many queries) and works through its queries one at a time, so besides
+the block, its lists and their order it holds one query's rows. search_costs tells how much of the blocks was scored.
 
 Cases: vectors that are null or hold a null or non-finite component, and rows without an id, take no part; shorter
 vectors count as padded with zeros; rows that repeat an id count once (the least vector); equal scores go to the smaller
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, LEAST_BLOCK, SPREAD = 8192, 256, 64
+BLOCK, LEAST_BLOCK, SPREAD = 8192, 2048, 64
 
 
 def quantized(x: Column, scale: int) -> Column:
@@ -25,77 +29,89 @@ def quantized(x: Column, scale: int) -> Column:
     return F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("double"))
 
 
-def threshold(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """(query row, id, score) of each query's k best vectors of a block. own: the queries' ids, which they do not meet."""
-    by = np.argsort(ids, kind="stable")
-    ids, vectors = ids[by], vectors[by]
-    n, q = len(ids), len(queries)
-    order = np.argsort(vectors, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None].repeat(vectors.shape[1], 1), 0)
-    lists = np.take_along_axis(vectors, order, 0)
-    plus, minus = (queries > 0).astype(np.float32), (queries < 0).astype(np.float32)
-    score = np.full((q, n), -np.inf)
-    met = np.zeros((q, n), bool)
-    at = np.minimum(np.searchsorted(ids, own), n - 1)
-    mine = np.flatnonzero(ids[at] == own)
-    live, depth = np.arange(q), min(n, 16)
-    while len(live):
-        head, tail = (rank >= n - depth).astype(np.float32), (rank < depth).astype(np.float32)
-        seen = plus[live] @ head.T + minus[live] @ tail.T > 0
-        new = seen & ~met[live]
-        met[live] |= seen
-        if new.mean() > 0.05:
-            every = queries[live] @ vectors.T
-            score[live] = np.where(new, every, score[live])
-        else:
-            r, c = np.nonzero(new)
-            score[live[r], c] = np.einsum("ij,ij->i", queries[live[r]], vectors[c])
-        score[mine, at[mine]] = -np.inf
-        if depth >= n:
-            break
-        bound = np.maximum(queries[live], 0) @ lists[n - depth] + np.minimum(queries[live], 0) @ lists[depth - 1]
-        kth = np.partition(score[live], n - k, 1)[:, n - k] if n > k else np.full(len(live), -np.inf)
-        live, depth = live[bound >= kth], min(n, 2 * depth)
-    # A query without weights reads no list: every vector scores 0.
-    none = ~queries.any(1)
-    score[none] = 0
-    score[mine, at[mine]] = -np.inf
-    for i in range(q):
-        s = score[i]
-        some = np.flatnonzero(s >= np.partition(s, n - k)[n - k]) if n > k else np.arange(n)
-        some = some[np.isfinite(s[some])]
-        best = some[np.lexsort((ids[some], -s[some]))[:k]]
-        yield np.full(len(best), i), ids[best], s[best]
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), key, score: each query's k highest integer inner products over all vectors but its own."""
-    usable = f"`{key}` is not null and `{vector}` is not null and forall(`{vector}`, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity'))"
-
-    def clean(df: DataFrame) -> DataFrame:
-        return df.where(usable).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(vector).alias("v")).select("id", quantized(F.col("v"), scale).alias("v"))
-
-    v, q = clean(vectors), clean(queries)
+class Lists:
+    """A block of vectors with a list for each dimension: components in rising order and the rows that have them."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        by = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[by], vectors[by]
+        self.rows = np.ascontiguousarray(np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.ascontiguousarray(np.take_along_axis(self.vectors, self.rows.T, 0).T)
+
+    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, scores) of the k best vectors but the query's own, and the number of vectors that were scored."""
+        n = len(self.ids)
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        unseen = np.ones(n, bool)
+        at = int(np.searchsorted(self.ids, own))
+        if at < n and self.ids[at] == own:
+            unseen[at] = False
+        if not len(up) and not len(down):  # without weights every vector scores 0
+            ids = self.ids[unseen][:k]
+            return ids, np.zeros(len(ids)), 0
+        ids, scores, before, depth, read = np.zeros(0, np.int64), np.zeros(0), 0, min(n, k), 0
+        while True:
+            # What this round adds to the depth of each list.
+            met = np.concatenate([self.rows[up, n - depth : n - before].ravel(), self.rows[down, before:depth].ravel()])
+            new = np.zeros(n, bool)
+            new[met] = True
+            new = np.flatnonzero(new & unseen)
+            unseen[new] = False
+            read += len(new)
+            ids, scores = np.concatenate([ids, self.ids[new]]), np.concatenate([scores, self.vectors[new] @ query])
+            first = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[first], scores[first]
+            bound = query[up] @ self.values[up, n - depth] + query[down] @ self.values[down, depth - 1]
+            # An unseen vector that reaches the bound may tie with the kth one and have the smaller id.
+            if depth == n or (len(ids) == k and bound < scores[-1]):
+                return ids, scores, read
+            before, depth = depth, min(n, 2 * depth)
+
+
+def _usable(df: DataFrame, scale: int, key: str, vector: str) -> DataFrame:
+    good = f"`{key}` is not null and `{vector}` is not null and forall(`{vector}`, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity'))"
+    return df.where(good).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(vector).alias("v")).select("id", quantized(F.col("v"), scale).alias("v"))
+
+
+def _blocks(vectors: DataFrame, queries: DataFrame, k: int, scale: int, key: str, vector: str) -> DataFrame:
+    """query_id, id, score: each query's k best of each block (vb); scored and size: how many of its vectors were scored."""
+    v, q = _usable(vectors, scale, key, vector), _usable(queries, scale, key, vector)
     blocks = lambda n: max(-(-n // BLOCK), min(SPREAD, -(-n // LEAST_BLOCK)), 1)
-    nv, nq = blocks(vectors.count()), max(1, -(-queries.count() // BLOCK))
+    nv, nq = blocks(vectors.count()), blocks(8 * queries.count())
     spread = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     v, q = spread(v, "vb", nv, "qb", nq).select("qb", "vb", "id", "v"), spread(q, "qb", nq, "vb", nv).select("qb", "vb", "id", "v")
 
-    def dense(t: pa.Table) -> list[np.ndarray]:
-        return [np.asarray(x.values, np.float64) for x in t["v"].combine_chunks()] if t.num_rows else []
+    def dense(t: pa.Table, width: int) -> np.ndarray:
+        lists = t["v"].combine_chunks()
+        of, values = np.asarray(lists.offsets), np.asarray(lists.values, np.float64)
+        out = np.zeros((len(lists), width))
+        size = np.diff(of)
+        row = np.repeat(np.arange(len(lists)), size)
+        out[row, np.arange(of[0], of[-1]) - np.repeat(of[:-1], size)] = values[of[0] : of[-1]]
+        return out
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        lists, asked = dense(left), dense(right)
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if lists and asked:
-            width = max(map(len, lists + asked))
-            a, b = (np.stack([np.pad(x, (0, width - len(x))) for x in xs]) for xs in (lists, asked))
-            own, ids = (np.asarray(t["id"].combine_chunks(), np.int64) for t in (right, left))
-            out += [(own[i], x, s) for i, x, s in threshold(b, own, a, ids, k)]
-        qi, vi, s = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"query_id": qi, "id": vi, "score": s.astype(np.int64)})
-
-    best = v.groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb")).applyInArrow(search, "query_id long, id long, score long")
-    ranked = best.selectExpr("*", "cast(row_number() over (partition by query_id order by score desc, id) as int) as rank").where(F.col("rank") <= k)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        if left.num_rows and right.num_rows:
+            width = max(int(np.asarray(t["v"].combine_chunks().value_lengths()).max()) for t in (left, right))
+            block, asked, own = Lists(np.asarray(left["id"].combine_chunks(), np.int64), dense(left, width)), dense(right, width), np.asarray(right["id"].combine_chunks(), np.int64)
+            for i in range(len(own)):
+                ids, scores, read = block.best(asked[i], int(own[i]), k)
+                out.append((np.full(len(ids), own[i]), ids, scores, np.full(len(ids), read)))
+        qi, vi, s, r = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"query_id": qi, "id": vi, "score": s.astype(np.int64), "scored": r.astype(np.int64), "size": np.full(len(qi), left.num_rows), "vb": np.full(len(qi), left["vb"][0].as_py() if left.num_rows else 0, np.int32)})
+
+    return v.groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb")).applyInArrow(search, "query_id long, id long, score long, scored long, size long, vb int")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), key, score: each query's k highest integer inner products over all vectors but its own."""
+    best = _blocks(vectors, queries, k, scale, key, vector)
+    ranked = best.selectExpr("query_id", "id", "score", "cast(row_number() over (partition by query_id order by score desc, id) as int) as rank").where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+def search_costs(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """One row: searches (of a query in a block with results), the share of the blocks' vectors that they scored, and the share that stopped before they had scored all."""
+    each = _blocks(vectors, queries, k, scale, key, vector).select("query_id", "vb", "size", "scored").distinct()
+    return each.agg(F.count("*").alias("searches"), (F.sum("scored") / F.sum("size")).alias("share_scored"), F.avg((F.col("scored") < F.col("size") - 1).cast("int")).alias("share_stopped"))
