@@ -2,22 +2,27 @@
 
 Arrivals are written as runs of small immutable files. Runs whose bytes lie in the same tier (powers of the fan-in) are
 merged, as soon as a tier has fan-in of them, into one run of files near the target size: partitions are joined without
-a shuffle, so no key is hot. Every change commits a manifest: its table is written first, then its number is claimed by
-creating a file that must not exist. Readers follow the highest number, so they see the old or the new files, never both;
+a shuffle, so no key is hot. Every change commits a manifest. Its table is written first; then a folder that holds only a
+file named by the writer's token is renamed to the number that follows the version the change was planned on. A rename
+moves the folder at once or, where another writer has taken the number, leaves that writer's token in its place: then the
+change is planned anew on the newer version, and a merge whose runs are gone is dropped. So a version is whole or absent, and
+no two changes build on the same one. Readers follow the highest version, so they see the old or the new files, never both;
 what a failed writer left is in no manifest. Superseded files go when no kept version names them.
 
-Cases: all columns, nulls, very long texts and repeated rows are kept as they are; an arrival without rows makes no run;
-a store without runs reads as an empty table."""
+Cases: all columns, nulls, very long texts and repeated rows are kept as they are, whatever a column's name; an arrival
+without rows makes no run; a store without runs reads as an empty table; a folder of a commit without a token (none is made
+by a writer that dies, for renames are atomic) is no version."""
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import shared_dir
+from glossa.llm.common import free, shared_dir
 
 MANIFEST = "run string, tier int, path string, bytes long, rows long"
 
@@ -30,45 +35,56 @@ class ShardStore:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str, files: bool) -> list[str]:
+        at = self._path(f"{self.root}/{folder}")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(at) if f.isFile() == files) if self._fs.exists(at) else []
+
+    def _token(self, version: int) -> str | None:
+        """The token of the writer that committed a version."""
+        return next((n for n in self._names(f"commits/{version}", True) if not n.startswith(".")), None)
+
     def versions(self) -> list[int]:
-        at = self._path(f"{self.root}/commits")
-        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        return sorted(v for v in map(int, filter(str.isdigit, self._names("commits", False))) if self._token(v))
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """One row per file of a version (the newest if none is given)."""
-        have = self.versions()
-        if not have:
+        version = version or (self.versions() or [0])[-1]
+        if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{version or have[-1]}-{self._token(version or have[-1])}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{self._token(version)}")
 
-    def _token(self, version: int) -> str:
-        stream = self._fs.open(self._path(f"{self.root}/commits/{version}"))
+    def _claim(self, version: int, token: str) -> bool:
+        """Makes token the writer of version, if it has none."""
+        made, at = f"{self.root}/commits/.new-{token}", self._path(f"{self.root}/commits/{version}")
+        self._fs.create(self._path(f"{made}/{token}"), False).close()
         try:
-            return stream.readUTF()
-        finally:
-            stream.close()
-
-    def _commit(self, files: DataFrame) -> int:
-        """Writes the manifest's table, then claims the next number; raises if another writer had it first."""
-        version, token = (self.versions() or [0])[-1] + 1, uuid.uuid4().hex
-        files.coalesce(1 + self._count(files) // 1_000_000).write.parquet(f"{self.root}/manifests/{version}-{token}")
-        at = self._path(f"{self.root}/commits/{version}")
-        self._fs.mkdirs(at.getParent())
-        stream = self._fs.create(at, False)
-        stream.writeUTF(token)
-        stream.close()
-        return version
-
-    @staticmethod
-    def _count(files: DataFrame) -> int:
-        return files.count()
+            self._fs.rename(self._path(made), at)
+        except Exception as e:  # some file systems raise where the name is taken
+            if not self._fs.exists(at):
+                raise e
+        won = self._token(version) == token
+        for left in () if won else (made, f"{self.root}/commits/{version}/.new-{token}"):
+            self._fs.delete(self._path(left), True)
+        return won
+
+    def _commit(self, change: Callable[[DataFrame], DataFrame | None]) -> int | None:
+        """Commits change(newest manifest) as the version after it; plans anew when another writer was faster. None: nothing to commit."""
+        while True:
+            planned, token = (self.versions() or [0])[-1], uuid.uuid4().hex
+            files = change(self.manifest(planned))
+            if files is None:
+                return None
+            files.coalesce(1 + files.count() // 1_000_000).write.parquet(f"{self.root}/manifests/{token}")
+            if self._claim(planned + 1, token):
+                return planned + 1
+            self._fs.delete(self._path(f"{self.root}/manifests/{token}"), True)
 
     def _tier(self, size: int) -> int:
         return 0 if size <= self.base else math.ceil(math.log(size / self.base, self.fan_in) - 1e-9)
 
-    def _files(self, folder: str, run) -> DataFrame:
+    def _files(self, folder: str, schema, run) -> DataFrame:
         """The manifest rows of files below folder, without those that hold no rows."""
-        rows = self.spark.read.parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        rows = self.spark.read.schema(schema).parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         files = rows.groupBy("path").agg(F.any_value("bytes").alias("bytes"), F.count("*").alias("rows"))
         return files.withColumn("run", run(F.col("path")))
 
@@ -76,15 +92,16 @@ class ShardStore:
         """Writes arrivals as a run of small files (one run for each value of the column by) and commits them; by is not stored."""
         name = f"run-{uuid.uuid4().hex[:12]}"
         folder = f"{self.root}/data/{name}"
+        schema = arrivals.drop(by).schema if by else arrivals.schema
         (arrivals.write.partitionBy(by) if by else arrivals.write).parquet(folder)
         if by:
-            files = self._files(folder, lambda p: F.concat(F.lit(f"{name}/"), F.regexp_extract(p, f"/({by}=[^/]*)/", 1)))
+            files = self._files(folder, schema, lambda p: F.concat(F.lit(f"{name}/"), F.regexp_extract(p, "/([^/=]*=[^/]*)/[^/]*$", 1)))
         else:
-            files = self._files(folder, lambda p: F.lit(name))
+            files = self._files(folder, schema, lambda p: F.lit(name))
         sizes = files.groupBy("run").agg(F.sum("bytes").alias("size"))
         tier = F.when(F.col("size") <= self.base, 0).otherwise(F.ceil(F.log(float(self.fan_in), F.col("size") / self.base) - 1e-9))
         new = files.join(sizes.select(F.col("run").alias("r"), tier.cast("int").alias("tier")), F.col("run") == F.col("r")).select("run", "tier", "path", "bytes", "rows")
-        return self._commit(self.manifest().unionAll(new))
+        return self._commit(lambda manifest: manifest.unionAll(new))
 
     def runs(self) -> list[tuple]:
         """(run, tier, bytes, rows), by run: one row per run, of which there are about fan-in times as many as tiers."""
@@ -99,40 +116,51 @@ class ShardStore:
             full = min((t for t, rs in tiers.items() if len(rs) >= self.fan_in), default=None)
             if full is None:
                 return (self.versions() or [0])[-1]
-            self._merge(tiers[full], full, schema)
+            self.merge(tiers[full], full, schema)
 
-    def _merge(self, runs: list[tuple], tier: int, schema) -> None:
+    def merge(self, runs: list[tuple], tier: int, schema) -> int | None:
+        """Writes runs (of runs()) as one run and commits it in their place; None, and nothing, if any of them is gone by then."""
         name, size = f"run-{uuid.uuid4().hex[:12]}", sum(r[2] for r in runs)
         folder, names = f"{self.root}/data/{name}", [r[0] for r in runs]
         rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/data/{r}" for r in names))
         rows.coalesce(max(1, round(size / self.target))).write.parquet(folder)
-        new = self._files(folder, lambda p: F.lit(name)).withColumn("tier", F.lit(max(tier + 1, self._tier(size)))).select("run", "tier", "path", "bytes", "rows")
-        self._commit(self.manifest().where(~F.col("run").isin(names)).unionAll(new))
+        new = self._files(folder, schema, lambda p: F.lit(name)).withColumn("tier", F.lit(max(tier + 1, self._tier(size)))).select("run", "tier", "path", "bytes", "rows")
+
+        def change(manifest: DataFrame) -> DataFrame | None:
+            if manifest.where(F.col("run").isin(names)).select("run").distinct().count() < len(names):
+                return None
+            return manifest.where(~F.col("run").isin(names)).unionAll(new)
+
+        version = self._commit(change)
+        if version is None:
+            self._fs.delete(self._path(folder), True)
+        return version
 
     def vacuum(self, keep: int = 1) -> None:
-        """Deletes the runs that only versions before the last keep ones name, and those versions' commits."""
+        """Deletes the runs that only versions before the last keep ones name, and those versions' manifests and commits."""
         have = self.versions()
         old, kept = have[:-keep], have[-keep:]
         names = lambda vs: {r[0] for v in vs for r in self.manifest(v).select("run").distinct().collect()}
         for run in names(old) - names(kept):
             self._fs.delete(self._path(f"{self.root}/data/{run}"), True)
         for v in old:
-            self._fs.delete(self._path(f"{self.root}/manifests/{v}-{self._token(v)}"), True)
-            self._fs.delete(self._path(f"{self.root}/commits/{v}"), False)
+            self._fs.delete(self._path(f"{self.root}/manifests/{self._token(v)}"), True)
+            self._fs.delete(self._path(f"{self.root}/commits/{v}"), True)
 
-    def read(self, schema, where: bool = False) -> DataFrame:
-        """The rows of the newest version; with where also run, tier, shard (its file) of each."""
+    def read(self, schema, where: str | None = None) -> DataFrame:
+        """The rows of the newest version; where: the name of a column that is added, with each row's run, tier and shard (its file)."""
         runs = self.runs()
+        at = "struct<run: string, tier: int, shard: string>"
         if not runs:
             rows = self.spark.createDataFrame([], schema)
-            return rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("run", "string"), ("tier", "int"), ("shard", "string")))) if where else rows
+            return rows.withColumn(where, F.lit(None).cast(at)) if where else rows
         rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/data/{r[0]}" for r in runs))
         if not where:
             return rows
         path = F.regexp_replace(F.col("_metadata.file_path"), "^.*/data/", "")
+        run, shard = (F.regexp_extract(path, p, 1) for p in ("^(.*)/[^/]*$", "([^/]*)$"))
         tiers = F.create_map(*(F.lit(x) for r in runs for x in r[:2]))
-        rows = rows.select("*", F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("run"), F.regexp_extract(path, "([^/]*)$", 1).alias("shard"))
-        return rows.withColumn("tier", tiers[F.col("run")])
+        return rows.select(*(F.col(f"`{c}`") for c in rows.columns), F.struct(run.alias("run"), tiers[run].alias("tier"), shard.alias("shard")).alias(where))
 
 
 #: Shares, in 64ths, of the arrivals into which op10 deals a table: four small, four middling, four large ones.
@@ -144,7 +172,9 @@ def sharded(docs: DataFrame, key: str = "doc_id", target_bytes: int = 128 << 20,
     store = ShardStore(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/store", target_bytes, fan_in, base_bytes)
     borders = [sum(SHARES[:i]) for i in range(1, len(SHARES) + 1)]
     of = F.coalesce(*(F.when(F.pmod(F.xxhash64(key), F.lit(64)) < b, i) for i, b in enumerate(borders)))
-    store.append(docs.withColumn("_arrival", of), by="_arrival")
+    arrival, at = free("arrival", docs.columns), free("at", docs.columns)
+    store.append(docs.withColumn(arrival, of), by=arrival)
     version = store.compact(docs.schema)
     store.vacuum()
-    return store.read(docs.schema, where=True).select(key, "run", "tier", "shard", F.lit(version).cast("long").alias("version"))
+    rows = store.read(docs.schema, where=at)
+    return rows.select(F.col(f"`{key}`"), *(F.col(f"`{at}`.{c}").alias(c) for c in ("run", "tier", "shard")), F.lit(version).cast("long").alias("version"))

@@ -147,6 +147,30 @@ def test_top_k_equals_brute_force(spark):
     assert got == sorted(want)
     one = spark.createDataFrame([(50, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(one, one, 5).count() == 0
+    cost = topk.search_costs(df, df.where("vec_id % 50 = 0"), 5).first()
+    assert 0 < cost.share_scored <= 1
+
+
+def test_threshold_stops_and_stays_small():
+    """On lists that fall off steeply few vectors are scored; a task's memory is that of one block and one query."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    v = np.floor(256 * rng.exponential(size=(8192, 64)) ** 3)
+    tracemalloc.start()
+    block = topk.Lists(rng.permutation(8192), v)
+    reads = []
+    for i in range(30):
+        q = np.zeros(64)
+        q[rng.integers(0, 64, 3)] = 1 + rng.integers(0, 5, 3)
+        ids, scores, read = block.best(q, -1, 5)
+        every = block.vectors @ q
+        assert ids.tolist() == block.ids[np.lexsort((block.ids, -every))[:5]].tolist() and scores.tolist() == sorted(every.tolist(), reverse=True)[:5]
+        reads.append(read)
+    for q in rng.normal(size=(5, 64)):
+        block.best(np.floor(256 * q), 7, 5)
+    assert np.mean(reads) < 800 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
 
 
 def brute_hits(text, items, size=10):
@@ -387,10 +411,46 @@ def test_shards(spark, tmp_path):
     before = store.versions()
     store.vacuum()
     assert store.versions() == before[-1:] and key(store.read(docs.schema).collect()) == key(docs.collect())
-    with pytest.raises(Exception, match="exist"):
-        store._fs.create(store._path(f"{store.root}/commits/{before[-1]}"), False)
-    out = shards.sharded(docs, base_bytes=1 << 14)
-    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in docs.collect())
+    assert not store._claim(before[-1], "late") and store._names("commits", False) == [str(before[-1])] and store._names(f"commits/{before[-1]}", False) == []
+    clashing = docs.select("*", *(F.col("n").alias(c) for c in ("run", "tier", "shard", "_arrival", "arrival", "at", "path", "bytes", "version")))
+    out = shards.sharded(clashing, base_bytes=1 << 14).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in docs.collect()) and out[0].run.startswith("run-")
+    other = shards.ShardStore(spark, str(tmp_path / "t"), fan_in=2, base_bytes=1 << 14)
+    other.append(clashing, by="arrival")
+    want = clashing.drop("arrival")
+    assert key(other.read(want.schema).collect()) == key(want.collect())
+    assert {r.where.tier for r in other.read(want.schema, where="where").collect()} == {r[1] for r in other.runs()}
+    empty = shards.sharded(docs.where("doc_id < 0"))
+    assert empty.count() == 0 and "shard" in empty.columns
+
+
+def test_shards_of_two_writers(spark, tmp_path):
+    rows = spark.range(100).withColumnRenamed("id", "doc_id")
+    one, two = (shards.ShardStore(spark, str(tmp_path / "s"), fan_in=2, base_bytes=1 << 20) for _ in range(2))
+    for i in range(2):
+        one.append(rows.where(f"doc_id % 2 = {i}"))
+    # Two merges of the same runs: the second finds them gone.
+    runs = one.runs()
+    assert one.merge(runs, 0, rows.schema) == 3 and two.merge(runs, 0, rows.schema) is None
+    assert sorted(r[0] for r in one.read(rows.schema).collect()) == list(range(100))
+    # An append between another's plan and its claim: both stay.
+    claim = two._claim
+
+    def late(version, token):
+        two._claim = claim
+        one.append(spark.range(100, 110).withColumnRenamed("id", "doc_id"))
+        return claim(version, token)
+
+    two._claim = late
+    two.append(spark.range(200, 210).withColumnRenamed("id", "doc_id"))
+    assert sorted(r[0] for r in two.read(rows.schema).collect()) == [*range(110), *range(200, 210)] and two.versions() == [1, 2, 3, 4, 5]
+    # What writers left that died before their claim, and a commit that holds no token, is no version.
+    one._fs.create(one._path(f"{one.root}/commits/.new-dead/dead"), False).close()
+    one._fs.mkdirs(one._path(f"{one.root}/commits/6"))
+    assert one.read(rows.schema).count() == 120 and one.versions() == [1, 2, 3, 4, 5]
+    one._fs.delete(one._path(f"{one.root}/commits/6"), True)
+    one.append(spark.range(300, 301).withColumnRenamed("id", "doc_id"))
+    assert one.compact(rows.schema) == one.versions()[-1] and one.read(rows.schema).count() == 121
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path, tik):
