@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together; a longer text is taken alone and whole.
 CHUNK_BYTES = 1 << 21
@@ -44,6 +45,20 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, seed: str, share: int = 1000) -> DataFrame:
+    """left with the columns of right (unique by on, but for on and weight) that has its value of on, null where none has.
+
+    weight: how many rows of left have the value, of total. Values with more than total / share rows, of which there are fewer
+    than share, are broadcast; rows without a partner to look for go by the column seed: no task gets all rows of a value."""
+    bound, values = total // share, [c for c in right.columns if c not in (on, weight)]
+    hot = F.broadcast(right.where(F.col(weight) > bound).select(F.col(on).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values)))
+    cold = right.where(F.col(weight) <= bound).select(F.col(on).alias("_cold"), F.lit(True).alias("_is"), *(F.col(c).alias(f"_cold_{c}") for c in values))
+    met = left.join(hot, F.col(on) == F.col("_hot"), "left").withColumn("_asks", F.col(on).isNotNull() & F.col("_hot").isNull())
+    met = met.withColumn("_by", F.when(F.col("_asks"), F.col(on)).otherwise(F.xxhash64(seed)))
+    met = met.join(cold, (F.col("_by") == F.col("_cold")) & (F.col("_asks") == F.col("_is")), "left")
+    return met.select(*left.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values))
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     """Slices of a batch with at most about limit bytes of text each, with the bytes and offsets of their texts (null: empty)."""
     arr = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, chat, counts, decontaminate, graph, jaccard, pii, quality, shards, topk, toxicity
+from glossa.llm import bpe, chat, common, counts, decontaminate, graph, jaccard, pii, quality, shards, topk, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -121,6 +121,39 @@ def test_deduplicated_keeps_one_row_of_a_group(spark):
     assert kept == sorted((str(i), str(t)) for i, t in [(5, a), (3, b), (7, c + " end"), (None, "lone"), (8, None), (8, ""), (None, "other")])
 
 
+def test_classes_of_one_node_stay_apart(spark, monkeypatch):
+    def key(tokens):
+        total = int(tokens.sum(dtype=np.uint64))
+        return total % 3, total % (1 << 61)
+
+    monkeypatch.setattr(jaccard, "class_key", key)
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    texts += [f"{t} more" for t in texts[:5]] + texts[:3] + ["", None]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.clusters(documents(spark, texts), 4, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85)
+
+
+def test_scrambled_orders_drop_unrelated_pairs_of_long_texts(spark):
+    rng = np.random.default_rng(4)
+    n = 20_000
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(16)]
+    sets.append(np.unique(np.concatenate([sets[0][:19_000], sets[1][:500]])))
+    rows = [(i, *([(np.sort(t * by)[: jaccard._prefix(len(t), 85)] >> np.uint64(8)).astype(np.uint32).view(np.int32).tolist() for by in jaccard._SCRAMBLE])) for i, t in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "node long, p2 array<int>, p3 array<int>")
+    pairs = spark.createDataFrame(list(combinations(range(17), 2)), "a long, b long")
+    kept = {tuple(r) for r in jaccard._filtered(pairs, classes).collect()}
+    assert (0, 16) in kept and len(kept) < 10
+
+
+def test_spread_join(spark):
+    left = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(60)] + [(60, None), (61, None)], "id long, k long")
+    right = left.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("v")).where("k <> 9")
+    for share in (1, 3, 1000):
+        got = common.spread_join(left, right, "k", "n", 62, "id", share)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, left.join(right.drop("n"), "k", "left").select("id", "k", "v").collect()))
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.clusters(documents(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.clusters(documents(spark, [None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
