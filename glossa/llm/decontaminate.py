@@ -60,7 +60,9 @@ def candidates(docs: DataFrame, wins: DataFrame) -> DataFrame:
     index = stored(postings(docs, few(both.select("word").distinct())), "index")
     shifted = index.join(few(both), "word").select("dk", "item", "version", (F.col("pos") - F.col("place")).alias("shift"), "place")
     met = shifted.groupBy("dk", "item", "version", "shift").agg(F.collect_set("place").alias("places"))
-    held = met.join(few(wins), ["item", "version"]).where(F.expr("array_contains(places, first.place) and array_contains(places, second.place) and shift + off >= 0"))
+    # A place is the first anchor of as many windows as hold it, so a row meets no more than size of an item's windows.
+    at = met.withColumn("at", F.explode("places"))
+    held = at.join(few(wins.withColumn("at", F.col("first.place"))), ["item", "version", "at"]).where(F.expr("array_contains(places, second.place) and shift + off >= 0"))
     return held.groupBy("dk").agg(F.collect_list(F.struct("item", (F.col("shift") + F.col("off")).alias("start"), "term")).alias("found"))
 
 
