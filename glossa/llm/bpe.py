@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from glossa.llm.common import chunks
 
-#: Pre-tokens that a worker remembers.
-REMEMBERED = 1_000_000
+#: Pre-tokens that a worker remembers, and the bytes of the longest of them.
+REMEMBERED, SHORT = 1_000_000, 64
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -171,29 +171,31 @@ class Vocabulary:
                 put(h, pairs.get(ids[h] << 32 | rank, none))
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Adds the ids of new pieces to those that are known."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new pieces; the short ones are added to those that are known."""
+        new: dict[bytes, bytes] = {}
         by: dict[int, list[bytes]] = {}
         for x in pieces:
             if (r := self.ranks.get(x)) is not None:
-                self.known[x] = r.to_bytes(4, "little")
-            elif len(x) > 64:
-                self.known[x] = self.merge_long(x)
+                new[x] = r.to_bytes(4, "little")
+            elif len(x) > SHORT:
+                new[x] = self.merge_long(x)
             else:
                 by.setdefault(max(4, 1 << (len(x) - 1).bit_length()), []).append(x)
         for width, some in by.items():
             for at in range(0, len(some), 20_000):
                 part = some[at : at + 20_000]
-                self.known.update(zip(part, self.merge_short(part, width)))
+                new.update(zip(part, self.merge_short(part, width)))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+        self.known.update((x, y) for x, y in new.items() if len(x) <= SHORT)
+        return new
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """For each piece its ids, as little-endian unsigned 32-bit integers."""
         out = list(map(self.known.get, pieces))
         if None in out:
-            self.learn({x for x, y in zip(pieces, out) if y is None})
-            more = self.known
+            more = self.learn({x for x, y in zip(pieces, out) if y is None})
             out = [more[x] if y is None else y for x, y in zip(pieces, out)]
         return out
 
