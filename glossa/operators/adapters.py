@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import constants as K
 from glossa.functions import lex, model
+from glossa.operators.ranking import with_total
 
 BASE_MS, NOW_MS = 1_704_067_200_000, 1_706_616_000_000
 
@@ -26,11 +27,15 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0)).alias("pos", "w")).select("lang", "doc_id", F.col("pos").cast("long").alias("pos"), F.lower("w").alias("tok"))
 
 
+def zipf(c: Column, total: Column) -> Column:
+    """The logarithm of a word's rate per thousand million, to three digits."""
+    return F.round(F.log10(c / total * 1e9), 3)
+
+
 def zipf_table(toks: DataFrame) -> DataFrame:
-    """lang, tok, c, zipf: counts per word and the logarithm of its rate per thousand million, to three digits."""
-    counts = toks.groupBy("lang", "tok").agg(F.count("*").alias("c"))
-    total = F.sum("c").over(Window.partitionBy("lang"))
-    return counts.select("lang", "tok", "c", F.round(F.log10(F.col("c") / total * 1e9), 3).alias("zipf"))
+    """lang, tok, c, zipf: counts per word and its frequency on the Zipf scale."""
+    counts = with_total(toks.groupBy("lang", "tok").agg(F.count("*").alias("c")), "lang", "c", "total")
+    return counts.select("lang", "tok", "c", zipf(F.col("c"), F.col("total")).alias("zipf"))
 
 
 def aoa(tok: Column) -> Column:
@@ -48,11 +53,12 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One card per language and word, at its first place."""
     toks = tokens(spark, sf_dir)
     n, d, p = F.length("tok"), F.col("doc_id"), F.col("pos")
-    agg = toks.groupBy("lang", "tok").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("c"))
-    total = F.sum("c").over(Window.partitionBy("lang"))
-    zipf = F.round(F.log10(F.col("c") / total * 1e9), 3)
+    # A place as one number: least documents first, then least positions (a text has fewer than 2**31 words).
+    place = F.shiftleft(d, 31) + p
+    agg = with_total(toks.groupBy("lang", "tok").agg(F.min(place).alias("at"), F.count("*").alias("c")), "lang", "c", "total")
     kind = F.element_at(F.array(*map(F.lit, ("noun", "verb", "adjective", "phrase", "other"))), (n % 5 + 1).cast("int"))
-    return agg.select("lang", "tok", F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos"), zipf.alias("zipf")).select(
+    at = F.col("at")
+    return agg.select("lang", "tok", F.shiftright(at, 31).alias("doc_id"), at.bitwiseAND(F.lit((1 << 31) - 1)).alias("pos"), zipf(F.col("c"), F.col("total")).alias("zipf")).select(
         F.concat("lang", F.lit(":"), "tok").alias("id"), "lang", d.alias("content_id"), F.col("tok").alias("original"), F.reverse("tok").alias("translation"), kind.alias("word_type"),
         model.level(model.difficulty(F.col("zipf"), aoa(F.col("tok")))).alias("level"), (1 + (n + d) % 5).cast("int").alias("leitner_box"),
         F.when(n % 7 != 0, BASE_MS + ((d * 37 + p) % 30) * K.DAY_MS).alias("last_reviewed"), ((d + p) % 6).cast("int").alias("correct_count"), ((d * p) % 4).cast("int").alias("incorrect_count"),
@@ -67,12 +73,24 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of an extraction: documents by native language other than their own, with the words each run kept."""
     natives = spark.createDataFrame([(i, n) for i, n in enumerate(K.LANGUAGES)], "k int, native string")
-    d = table(spark, sf_dir, "documents").where("doc_id < 40").select("doc_id", "lang", "n_chars")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     return d.join(F.broadcast(natives), F.col("lang") != F.col("native")).select("*", ((F.col("doc_id") + F.col("k")) % 13 != 0).alias("ok"), (F.col("n_chars") + 17 * F.col("k")).alias("elapsed_ms"), F.least("n_chars", F.lit(2000)).alias("processed_len"))
 
 
 def sweep_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep(spark, sf_dir).where("ok").join(tokens(spark, sf_dir).select("doc_id", "pos", "tok"), "doc_id").where((F.col("pos") + F.col("k")) % 3 != 0)
+    """lang, doc_id, native, processed_len, tok, n: how often a run kept a word. Words are counted before they meet the natives."""
+    n = tokens(spark, sf_dir).groupBy("doc_id", "tok", (F.col("pos") % 3).alias("r")).agg(F.count("*").alias("c"))
+    met = sweep(spark, sf_dir).where("ok").join(n, "doc_id").where((F.col("r") + F.col("k")) % 3 != 0)
+    return met.groupBy("lang", "doc_id", "native", "processed_len", "tok").agg(F.sum("c").alias("n"))
+
+
+def sweep_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, native, tok: the words that any run of a language for a native kept. What decides that is the remainders of places
+    and documents, so words meet the natives once for each of these."""
+    natives = spark.createDataFrame([(i, n) for i, n in enumerate(K.LANGUAGES)], "k int, native string")
+    some = tokens(spark, sf_dir).select("lang", "tok", (F.col("pos") % 3).alias("r"), (F.col("doc_id") % 13).alias("q")).distinct()
+    met = some.join(F.broadcast(natives), F.col("lang") != F.col("native")).where((F.col("q") + F.col("k")) % 13 != 0).where((F.col("r") + F.col("k")) % 3 != 0)
+    return met.select("lang", "native", "tok").distinct()
 
 
 #: The same views for the oracle, as common table expressions.
@@ -88,7 +106,7 @@ CTES = {
  ((doc_id * pos) % 4)::INTEGER AS incorrect_count, 1704067200000 + doc_id * 3600000 AS created_at, CASE WHEN (doc_id + pos) % 11 = 0 THEN 1 ELSE 0 END AS user_added, doc_id, pos
  FROM features f JOIN (SELECT lang, tok, (min((doc_id, pos)))[1] AS doc_id, (min((doc_id, pos)))[2] AS pos FROM tokens GROUP BY 1, 2) m ON f.lang = m.lang AND f.tok = m.tok""",
     "reviews": "SELECT user_id AS card, ts, event_id, event_type <> 'error' AS correct FROM events",
-    "sweep": "SELECT doc_id, lang, n_chars, k, native, (doc_id + k) % 13 <> 0 AS ok, n_chars + 17 * k AS elapsed_ms, least(n_chars, 2000) AS processed_len FROM documents JOIN (SELECT unnest(range(12)) AS k, unnest(['en','de','fr','es','it','pt','nl','sv','no','da','pl','cs']) AS native) ON lang <> native WHERE doc_id < 40",
+    "sweep": "SELECT doc_id, lang, n_chars, k, native, (doc_id + k) % 13 <> 0 AS ok, n_chars + 17 * k AS elapsed_ms, least(n_chars, 2000) AS processed_len FROM documents JOIN (SELECT unnest(range(12)) AS k, unnest(['en','de','fr','es','it','pt','nl','sv','no','da','pl','cs']) AS native) ON lang <> native",
     "sweep_words": "SELECT s.*, t.pos, t.tok FROM sweep s JOIN tokens t ON s.doc_id = t.doc_id WHERE ok AND (t.pos + s.k) % 3 <> 0",
 }
 _NEEDS = {"freq": ("tokens",), "features": ("tokens", "freq"), "vocabulary": ("tokens", "freq", "features"), "sweep_words": ("tokens", "sweep")}

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators.ranking import running
+
 
 def split(df: DataFrame, strata: list[str], order: list[Column], share: float = 0.8) -> DataFrame:
     """df with train: in each stratum the first max(1, round half even of share * n) rows by order."""
@@ -23,12 +25,14 @@ def downsampled(df: DataFrame, group: str, level: str, order: str) -> DataFrame:
 
 
 def cut_points(df: DataFrame, value: str, level: str) -> DataFrame:
-    """level, cut: the value at round half even of (cumulative share of the level * (n - 1)) among all sorted values."""
+    """level, cut: the value at round half even of (cumulative share of the level * (n - 1)) among all sorted values.
+
+    Equal values are counted, and their counts summed by whole numbers of the value; the levels, a ladder of a few, are broadcast."""
     n = df.count()
     shares = df.groupBy(level).count().withColumn("cum", F.sum("count").over(Window.orderBy(level)) / n)
     spots = shares.select(level, (F.bround(F.col("cum") * (n - 1)) + 1).cast("long").alias("spot"))
-    counts = df.groupBy(value).count().withColumn("upto", F.sum("count").over(Window.orderBy(value)))
-    at = spots.join(counts, F.col("upto") >= F.col("spot"))
+    counts = running(df.groupBy(value).count().withColumn("_all", F.lit(1)), ["_all"], [F.floor(value)], [F.col(value)], "upto", "count")
+    at = counts.join(F.broadcast(spots), F.col("upto") >= F.col("spot"))
     return at.groupBy(level).agg(F.min(value).alias("cut"))
 
 

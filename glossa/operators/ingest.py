@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +16,7 @@ _DROPPED = {"script", "style", "noscript", "iframe", "svg", "nav", "footer", "ta
 _BLOCKS = {"p", "div", "article", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "blockquote", "tr"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr"}
 _NOISE = re.compile(r"\b(ad|ads|advert|share|social|related|newsletter|comments?|promo|breadcrumb)\b", re.I)
-_SENTENCE = re.compile(r"[.!?]\s+(?=[A-ZÀ-ÖØ-ÞĀ-Ž])")
+_SENTENCE = re.compile(r"[.!?]\s+(?=\p{Lu})")
 
 
 class _Article(HTMLParser):

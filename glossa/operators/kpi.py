@@ -5,28 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators.ranking import running, with_total
 
-def repetition(words: DataFrame, cell: list[str], key: str) -> DataFrame:
-    """cell, most (greatest multiplicity of a key), dup_ratio (1 - distinct / all)."""
-    each = words.groupBy(*cell, key).agg(F.count("*").alias("n"))
-    return each.groupBy(*cell).agg(F.max("n").alias("most"), (1 - F.count("*") / F.sum("n")).alias("dup_ratio"))
+
+def repetition(each: DataFrame, cell: list[str], n: str = "n") -> DataFrame:
+    """cell, most (greatest multiplicity of a key), dup_ratio (1 - distinct / all), from one row per cell and key with its count."""
+    return each.groupBy(*cell).agg(F.max(n).alias("most"), (1 - F.count("*") / F.sum(n)).alias("dup_ratio"))
 
 
 def pair_overlap(words: DataFrame, group: str, cell: str, key: str) -> DataFrame:
-    """group, a, b, jaccard of the key sets of every two cells of a group that share a key."""
-    d = words.select(group, cell, key).distinct()
-    size = d.groupBy(group, cell).agg(F.count("*").alias("n"))
-    x, y = d.select(group, F.col(cell).alias("a"), key), d.select(group, F.col(cell).alias("b"), key)
-    both = x.join(y, [group, key]).where("a < b").groupBy(group, "a", "b").agg(F.count("*").alias("i"))
+    """group, a, b, jaccard of the key sets of every two cells of a group that share a key.
+
+    A key's cells are gathered first, and keys with the same cells counted: pairs are made of cell lists, not of keys."""
+    lists = words.groupBy(group, key).agg(F.array_sort(F.collect_set(cell)).alias("cells")).groupBy(group, "cells").agg(F.count("*").alias("n"))
+    size = lists.select(group, F.explode("cells").alias(cell), "n").groupBy(group, cell).agg(F.sum("n").alias("n"))
+    a = lists.select(group, "cells", "n", F.posexplode("cells").alias("at", "a"))
+    both = a.select(group, "a", "n", F.explode(F.expr("slice(cells, at + 2, size(cells))")).alias("b")).groupBy(group, "a", "b").agg(F.sum("n").alias("i"))
     sa, sb = size.select(group, F.col(cell).alias("a"), F.col("n").alias("na")), size.select(group, F.col(cell).alias("b"), F.col("n").alias("nb"))
     return both.join(sa, [group, "a"]).join(sb, [group, "b"]).select(group, "a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard"))
 
 
-def picked(df: DataFrame, group: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The element at floor(share * n) of each group's sorted values (an index pick, not an interpolation)."""
-    w = Window.partitionBy(*group)
-    rows = df.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return rows.where(F.col("_r") == F.floor(F.col("_n") * share) + 1).select(*group, F.col(value).alias(name))
+def picked(df: DataFrame, group: str, value: str, share: float, name: str, block: Column | None = None) -> DataFrame:
+    """The element at floor(share * n) of each group's sorted values (an index pick, not an interpolation).
+
+    Equal values are counted first, and counts summed by blocks of neighbouring values (all that share block, if it is given)."""
+    counts = with_total(df.groupBy(group, value).agg(F.count("*").alias("_c")), group, "_c", "_total")
+    upto = running(counts, [group], [F.col(value) if block is None else block], [F.col(value)], "_upto", "_c")
+    return upto.where(F.col("_upto") > F.floor(F.col("_total") * share)).groupBy(group).agg(F.min(value).alias(name))
 
 
 def core_stability(words: DataFrame, group: str, cell: str, key: str) -> DataFrame:

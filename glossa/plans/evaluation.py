@@ -78,10 +78,9 @@ def agreement(spark, sf):
     return g.groupBy(F.when(p & other, "both right").when(p, "model only").when(other, "other only").otherwise("both wrong").alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query(gold_oracle("SELECT substr(tok, 1, 2) AS stem, min((gold, tok))[2] AS word, min(gold) AS gold, bool_or(pred IS NULL) AS unseen FROM gold WHERE lang = 'en' GROUP BY 1"))
+@query(gold_oracle("SELECT lang, substr(tok, 1, 2) AS stem, min((gold, tok))[2] AS word, min(gold) AS gold, bool_or(pred IS NULL) AS unseen FROM gold GROUP BY 1, 2"))
 def min_sense(spark, sf):
-    g = gold(spark, sf).where("lang = 'en'")
-    return g.groupBy(F.substring("tok", 1, 2).alias("stem")).agg(F.min_by("tok", F.struct("gold", "tok")).alias("word"), F.min("gold").alias("gold"), F.bool_or(F.col("pred").isNull()).alias("unseen"))
+    return gold(spark, sf).groupBy("lang", F.substring("tok", 1, 2).alias("stem")).agg(F.min_by("tok", F.struct("gold", "tok")).alias("word"), F.min("gold").alias("gold"), F.bool_or(F.col("pred").isNull()).alias("unseen"))
 
 
 @query(gold_oracle("SELECT lang, tok FROM gold WHERE zipf IS NOT NULL AND NOT (gold = 6 AND zipf >= 5.5) AND NOT (gold = 5 AND zipf >= 6.0) AND NOT (lang = 'en' AND gold >= 4 AND length(tok) < 3)"))

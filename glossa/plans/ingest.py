@@ -54,9 +54,14 @@ def ocr_lines(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", X.clean_lines(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(text, chr(10) || chr(10), chr(1)), chr(10), ' '), chr(1), chr(10) || chr(10)), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents WHERE NOT contains(text, chr(10) || chr(10) || chr(10)) AND NOT contains(text, chr(13))")
+#: Runs of line ends are put between marks, so what is left of them are single ones.
+_RUNS = r"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '(\n{2,})', chr(1) || '\1' || chr(2), 'g')"
+_SINGLE = rf"regexp_replace(regexp_replace({_RUNS}, '^\n', ' '), '([^\n\x01])\n', '\1 ', 'g')"
+
+
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_SINGLE}, '[\x01\x02]', '', 'g'), ' {{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
 def join_wraps(spark, sf):
-    d = A.table(spark, sf, "documents").where(~F.col("text").contains("\n\n\n") & ~F.col("text").contains("\r"))
+    d = A.table(spark, sf, "documents")
     return d.select("doc_id", X.join_wraps(F.col("text")).alias("text"))
 
 
@@ -98,20 +103,20 @@ def title_fallback(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", lex.title(F.col("text")).alias("title"))
 
 
-#: Recorded answers: items of a document as JSON in prose, of which a third is cut off.
+#: Recorded answers: a document's words, 500 to an answer, as JSON in prose; a third of the answers is cut off.
 def _answers(spark, sf):
-    t = A.tokens(spark, sf).where("pos < 12")
+    t = A.tokens(spark, sf).withColumn("part", F.floor(F.col("pos") / 500))
     item = F.to_json(F.struct(F.col("tok").alias("original"), F.reverse("tok").alias("translation"), F.when(F.col("pos") % 3 != 0, "noun").alias("type")))
-    a = t.groupBy("doc_id").agg(F.concat(F.lit("Here you are:\n["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("j")))), lambda x: x["j"]), ","), F.lit("]")).alias("answer"))
+    a = t.groupBy("doc_id", "part").agg(F.concat(F.lit("Here you are:\n["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("j")))), lambda x: x["j"]), ","), F.lit("]")).alias("answer"))
     return a.withColumn("answer", F.when(F.col("doc_id") % 3 == 0, F.substring("answer", F.lit(1), F.length("answer") - 9)).otherwise(F.col("answer")))
 
 
-@query(A.oracle("tokens", "SELECT doc_id, pos::INTEGER AS ordinal, tok AS original, reverse(tok) AS translation, '' AS level, CASE WHEN pos % 3 <> 0 THEN 'noun' ELSE 'other' END AS type FROM (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS last FROM tokens WHERE pos < 12) WHERE doc_id % 3 <> 0 OR pos < last"))
+@query(A.oracle("tokens", "SELECT doc_id, part, (pos - 500 * part)::INTEGER AS ordinal, tok AS original, reverse(tok) AS translation, '' AS level, CASE WHEN pos % 3 <> 0 THEN 'noun' ELSE 'other' END AS type FROM (SELECT *, max(pos) OVER (PARTITION BY doc_id, part) AS last FROM (SELECT *, pos // 500 AS part FROM tokens)) WHERE doc_id % 3 <> 0 OR pos < last"))
 def json_parse_repair(spark, sf):
-    return E.parsed(_answers(spark, sf)).select("doc_id", "ordinal", "original", "translation", "level", "type")
+    return E.parsed(_answers(spark, sf)).select("doc_id", "part", "ordinal", "original", "translation", "level", "type")
 
 
-@query(A.oracle("tokens", "SELECT DISTINCT doc_id, tok, length(tok) AS n FROM tokens WHERE pos < 6"))
+@query(A.oracle("tokens", "SELECT DISTINCT doc_id, tok, length(tok) AS n FROM tokens"))
 def source_forms_codec(spark, sf):
-    t = A.tokens(spark, sf).where("pos < 6").groupBy("doc_id").agg(F.to_json(F.collect_set("tok")).alias("forms"))
+    t = A.tokens(spark, sf).groupBy("doc_id").agg(F.to_json(F.collect_set("tok")).alias("forms"))
     return t.select("doc_id", F.explode(F.from_json("forms", "array<string>")).alias("tok")).select("doc_id", "tok", F.length("tok").cast("long").alias("n"))

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.functions import constants as K
 from glossa.operators import adapters as A
 from glossa.operators import kpi as P
 from glossa.operators.adapters import oracle
+from glossa.operators.ranking import letters, running, with_total
 from glossa.plans.base import query
 
 
 @query(oracle("sweep_words", "SELECT lang, avg((most >= 10)::INT) AS loop10, avg((most >= 3)::INT) AS loop3 FROM (SELECT doc_id, native, lang, max(n) AS most FROM (SELECT doc_id, native, lang, tok, count(*) AS n FROM sweep_words GROUP BY ALL) GROUP BY ALL) GROUP BY lang"))
 def loop_rate(spark, sf):
-    r = P.repetition(A.sweep_words(spark, sf), ["doc_id", "native", "lang"], "tok")
+    r = P.repetition(A.sweep_words(spark, sf), ["doc_id", "native", "lang"])
     return r.groupBy("lang").agg(F.avg((F.col("most") >= 10).cast("int")).alias("loop10"), F.avg((F.col("most") >= 3).cast("int")).alias("loop3"))
 
 
 @query(oracle("sweep_words", "SELECT doc_id, native, 1 - count(DISTINCT tok) / count(*) AS dup_ratio FROM sweep_words GROUP BY ALL"))
 def dupe_rate(spark, sf):
-    return P.repetition(A.sweep_words(spark, sf), ["doc_id", "native"], "tok").select("doc_id", "native", "dup_ratio")
+    return P.repetition(A.sweep_words(spark, sf), ["doc_id", "native"]).select("doc_id", "native", "dup_ratio")
+
+
+@query(oracle("sweep_words", "SELECT lang, avg(dup) AS dup_ratio FROM (SELECT lang, doc_id, native, 1 - count(DISTINCT tok) / count(*) AS dup FROM sweep_words GROUP BY ALL) GROUP BY lang"))
+def dupe_mean(spark, sf):
+    return P.repetition(A.sweep_words(spark, sf), ["lang", "doc_id", "native"]).groupBy("lang").agg(F.avg("dup_ratio").alias("dup_ratio"))
 
 
 _PAIRS = """, d AS (SELECT DISTINCT lang, native, tok FROM sweep_words), n AS (SELECT lang, native, count(*) AS n FROM d GROUP BY ALL),
@@ -31,27 +36,33 @@ pairs AS (SELECT j.lang, a, b, i / (na.n + nb.n - i) AS jaccard FROM j JOIN n na
 
 @query(oracle("sweep_words", "").rstrip() + _PAIRS + "SELECT lang, a, b, jaccard FROM pairs")
 def jaccard_pairs(spark, sf):
-    return P.pair_overlap(A.sweep_words(spark, sf), "lang", "native", "tok")
+    return P.pair_overlap(A.sweep_vocabulary(spark, sf), "lang", "native", "tok")
 
 
 @query(oracle("sweep_words", "").rstrip() + _PAIRS + "SELECT lang, jaccard AS median FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY jaccard) AS r, count(*) OVER (PARTITION BY lang) AS n FROM pairs) WHERE r = floor(n * 0.5) + 1")
 def jaccard_median(spark, sf):
-    return P.picked(P.pair_overlap(A.sweep_words(spark, sf), "lang", "native", "tok"), ["lang"], "jaccard", 0.5, "median")
+    return P.picked(P.pair_overlap(A.sweep_vocabulary(spark, sf), "lang", "native", "tok"), "lang", "jaccard", 0.5, "median")
+
+
+@query(oracle("sweep_words", "").rstrip() + _PAIRS + "SELECT count(*) AS langs, avg(jaccard) AS mean_median FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY jaccard) AS r, count(*) OVER (PARTITION BY lang) AS n FROM pairs) WHERE r = floor(n * 0.5) + 1")
+def jaccard_mean_median(spark, sf):
+    medians = P.picked(P.pair_overlap(A.sweep_vocabulary(spark, sf), "lang", "native", "tok"), "lang", "jaccard", 0.5, "median")
+    return medians.agg(F.count("*").alias("langs"), F.avg("median").alias("mean_median"))
 
 
 @query(oracle("sweep_words", "SELECT lang, count(*) FILTER (n = cells) AS core, count(*) AS every, count(*) FILTER (n = cells) / count(*) AS stability FROM (SELECT lang, tok, count(DISTINCT native) AS n FROM sweep_words GROUP BY ALL) JOIN (SELECT lang, count(DISTINCT native) AS cells FROM sweep_words GROUP BY lang) USING (lang) GROUP BY lang"))
 def core_stability(spark, sf):
-    return P.core_stability(A.sweep_words(spark, sf), "lang", "native", "tok")
+    return P.core_stability(A.sweep_vocabulary(spark, sf), "lang", "native", "tok")
 
 
 @query(oracle("sweep", "SELECT native, elapsed_ms AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY native ORDER BY elapsed_ms) AS r, count(*) OVER (PARTITION BY native) AS n FROM sweep) WHERE r = floor(n * 0.95) + 1"))
 def p95_latency(spark, sf):
-    return P.picked(A.sweep(spark, sf), ["native"], "elapsed_ms", 0.95, "p95")
+    return P.picked(A.sweep(spark, sf), "native", "elapsed_ms", 0.95, "p95", F.floor(F.col("elapsed_ms") / 1000))
 
 
 @query(oracle("sweep_words", "SELECT lang, sum(c) * 0.3 * 0.10 / 1e6 + sum(items) * 40 * 0.30 / 1e6 AS cost, 100 * (sum(c) * 0.3 * 0.10 / 1e6 + sum(items) * 40 * 0.30 / 1e6) / sum(u) AS per_100 FROM (SELECT lang, doc_id, native, max(processed_len) AS c, count(*) AS items, count(DISTINCT tok) AS u FROM sweep_words GROUP BY ALL) GROUP BY lang"))
 def cost_proxy(spark, sf):
-    cells = A.sweep_words(spark, sf).groupBy("lang", "doc_id", "native").agg(F.max("processed_len").alias("c"), F.count("*").alias("items"), F.countDistinct("tok").alias("u"))
+    cells = A.sweep_words(spark, sf).groupBy("lang", "doc_id", "native").agg(F.max("processed_len").alias("c"), F.sum("n").alias("items"), F.count("*").alias("u"))
     cost = F.sum("c") * 0.3 * 0.10 / 1e6 + F.sum("items") * 40 * 0.30 / 1e6
     return cells.groupBy("lang").agg(cost.alias("cost"), (100 * cost / F.sum("u")).alias("per_100"))
 
@@ -120,7 +131,8 @@ def run_detector(spark, sf):
     return runs(A.tokens(spark, sf), "doc_id", "pos", F.col("tok"))
 
 
-@query(oracle("tokens", "SELECT lang, tok, sum(c) OVER (PARTITION BY lang ORDER BY tok ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (SELECT lang, tok, count(*) AS c FROM tokens WHERE length(tok) <= 3 GROUP BY ALL)"))
+@query(oracle("tokens", "SELECT lang, tok, sum(c) OVER (PARTITION BY lang ORDER BY tok ROWS UNBOUNDED PRECEDING)::BIGINT AS running, sum(c) OVER (PARTITION BY lang ORDER BY tok ROWS UNBOUNDED PRECEDING) / sum(c) OVER (PARTITION BY lang) AS share FROM (SELECT lang, tok, count(*) AS c FROM tokens GROUP BY ALL)"))
 def cumulative_counts(spark, sf):
-    c = A.tokens(spark, sf).where(F.length("tok") <= 3).groupBy("lang", "tok").agg(F.count("*").alias("c"))
-    return c.select("lang", "tok", F.sum("c").over(Window.partitionBy("lang").orderBy("tok").rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
+    c = with_total(A.tokens(spark, sf).groupBy("lang", "tok").agg(F.count("*").alias("c")), "lang", "c", "total")
+    summed = running(c, ["lang"], [letters(F.col("tok"))], [F.col("tok")], "running", "c")
+    return summed.select("lang", "tok", "running", (F.col("running") / F.col("total")).alias("share"))

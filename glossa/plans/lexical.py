@@ -10,6 +10,7 @@ from glossa.functions import lex, model
 from glossa.operators import adapters as A
 from glossa.operators.adapters import oracle
 from glossa.operators.extract import filter_chain
+from glossa.operators.ranking import letters, running
 from glossa.plans.base import query
 
 _STRIP = "^(" + "|".join(w.replace("'", "''") for w in K.STRIPPED) + r")\s+"
@@ -55,8 +56,8 @@ def cognate_adjust(spark, sf):
 
 
 #: Raw entries as an extraction gives them: lines of documents as words with articles, pairs and capitals.
-def _entries(spark, sf, some="content_id % 4 = 0"):
-    v = A.vocabulary(spark, sf).where(some).select("id", "lang", "original", "translation", "word_type", "doc_id", "pos")
+def _entries(spark, sf):
+    v = A.vocabulary(spark, sf).select("id", "lang", "original", "translation", "word_type", "doc_id", "pos")
     o, m = F.col("original"), F.col("pos") % 8
     plain = F.replace(o, F.lit("ß"), F.lit("ss"))
     made = F.when(m == 0, F.concat(F.lit("der "), o, F.lit(", die "), o, F.lit("in"))).when(m == 1, F.upper(plain)).when(m == 2, F.initcap(plain)).when(m == 3, F.concat(F.lit("the "), o, F.lit(" "), F.reverse(o))).when(m == 4, F.concat(o, F.lit(", "), o)).when(m == 5, F.concat(F.lit("l’"), o)).when(m == 6, F.concat(o, F.lit(", "), o, F.lit("e"))).otherwise(o)
@@ -64,7 +65,7 @@ def _entries(spark, sf, some="content_id % 4 = 0"):
 
 
 _ENTRIES = """, entries AS (SELECT id, lang, CASE pos % 8 WHEN 0 THEN 'der ' || original || ', die ' || original || 'in' WHEN 1 THEN upper(replace(original, 'ß', 'ss')) WHEN 2 THEN upper(replace(original, 'ß', 'ss')[1]) || replace(original, 'ß', 'ss')[2:] WHEN 3 THEN 'the ' || original || ' ' || reverse(original)
- WHEN 4 THEN original || ', ' || original WHEN 5 THEN 'l’' || original WHEN 6 THEN original || ', ' || original || 'e' ELSE original END AS original, translation, word_type, doc_id, pos FROM vocabulary WHERE content_id % 4 = 0)
+ WHEN 4 THEN original || ', ' || original WHEN 5 THEN 'l’' || original WHEN 6 THEN original || ', ' || original || 'e' ELSE original END AS original, translation, word_type, doc_id, pos FROM vocabulary)
 """
 
 
@@ -83,8 +84,8 @@ def sort_keys(spark, sf):
 
 @query(entry_oracle(f"SELECT id, row_number() OVER (PARTITION BY lang ORDER BY {_KEY}, id) AS place FROM entries"))
 def sort_alpha(spark, sf):
-    w = Window.partitionBy("lang").orderBy("key", "id")
-    return _entries(spark, sf).withColumn("key", lex.sort_key(F.col("original"))).select("id", F.row_number().over(w).cast("long").alias("place"))
+    e = _entries(spark, sf).withColumn("key", lex.sort_key(F.col("original")))
+    return running(e, ["lang"], [letters(F.col("key"))], [F.col("key"), F.col("id")], "place").select("id", "place")
 
 
 _PARTS = "list_transform(string_split(original, ','), lambda p: trim(p))"
@@ -145,15 +146,15 @@ def apostrophes(spark, sf):
     return _entries(spark, sf).select("id", lex.apostrophes(F.col("original")).alias("original"))
 
 
-@query(oracle("vocabulary", "SELECT id, CASE WHEN word_type = 'noun' THEN 'die ' || upper(original[1]) || original[2:] || ', ein ' || upper(translation[1]) || translation[2:] ELSE 'die ' || original || ', ein ' || translation END AS german FROM vocabulary WHERE content_id % 4 = 1 AND lang <> 'de'"))
+@query(oracle("vocabulary", "SELECT id, CASE WHEN word_type = 'noun' THEN 'die ' || upper(original[1]) || original[2:] || ', ein ' || upper(translation[1]) || translation[2:] ELSE 'die ' || original || ', ein ' || translation END AS german FROM vocabulary WHERE lang <> 'de'"))
 def german_caps(spark, sf):
-    v = A.vocabulary(spark, sf).where("content_id % 4 = 1 and lang <> 'de'")
+    v = A.vocabulary(spark, sf).where("lang <> 'de'")
     return v.select("id", lex.capitalise_german(F.concat(F.lit("die "), "original", F.lit(", ein "), "translation"), F.col("word_type")).alias("german"))
 
 
 @query(None)
 def full_chain(spark, sf):
-    return filter_chain(_entries(spark, sf, "true"), F.col("lang"), F.lit("de"), ["doc_id", "pos", "id"], group="doc_id").select("id", "original", "translation")
+    return filter_chain(_entries(spark, sf), F.col("lang"), F.lit("de"), ["doc_id", "pos", "id"], group="doc_id").select("id", "original", "translation")
 
 
 @query(oracle("vocabulary", r"""SELECT id, CASE WHEN given = '' THEN 'none' WHEN given = original THEN 'exact' WHEN length(original) >= 5 AND length(given) >= 5 AND levenshtein(given, original) <= 1 THEN 'tolerant' WHEN given = 'le ' || original THEN 'tolerant' ELSE 'none' END AS verdict

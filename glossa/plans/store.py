@@ -10,6 +10,7 @@ from glossa.functions import lex, model
 from glossa.operators import adapters as A
 from glossa.operators import store as S
 from glossa.operators.adapters import NOW_MS, oracle
+from glossa.operators.ranking import running
 from glossa.plans.base import query
 
 _DUE = f"(last_reviewed IS NULL OR {NOW_MS} - last_reviewed >= CASE leitner_box WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 8 WHEN 5 THEN 16 ELSE 1 END * 86400000)"
@@ -28,10 +29,10 @@ def contents_with_counts(spark, sf):
     return out.select("id", "title", "source_type", "created_at", "vocab_count")
 
 
-@query(oracle("vocabulary", "SELECT id, original, level, created_at, row_number() OVER (ORDER BY created_at, id) AS place FROM vocabulary WHERE content_id = 7 ORDER BY created_at, id"))
+@query(oracle("vocabulary", "SELECT content_id, id, original, level, created_at, row_number() OVER (PARTITION BY content_id ORDER BY created_at, id) AS place FROM vocabulary"))
 def vocab_by_content(spark, sf):
-    rows = A.vocabulary(spark, sf).where("content_id = 7")
-    return rows.select("id", "original", "level", "created_at", F.row_number().over(Window.orderBy("created_at", "id")).cast("long").alias("place"))
+    w = Window.partitionBy("content_id").orderBy("created_at", "id")
+    return A.vocabulary(spark, sf).select("content_id", "id", "original", "level", "created_at", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query(oracle("vocabulary", "SELECT id, level, leitner_box, created_at FROM vocabulary ORDER BY created_at DESC, id"))
@@ -43,13 +44,12 @@ def vocab_all_desc(spark, sf):
 def settings_map(spark, sf):
     e = A.table(spark, sf, "events").groupBy("event_type", "ts").agg(F.max("event_id").alias("event_id"))
     pairs = e.groupBy("event_type").agg(F.max_by("event_id", "ts").cast("string").alias("value"))
-    whole = pairs.agg(F.map_from_entries(F.collect_list(F.struct("event_type", "value"))).alias("m"))
-    return whole.select(F.explode("m").alias("key", "value"))
+    return pairs.select(F.col("event_type").alias("key"), "value")
 
 
-@query(oracle("vocabulary tokens", "SELECT DISTINCT t.lang, t.tok FROM tokens t WHERE doc_id % 2 = 0 AND EXISTS (SELECT 1 FROM vocabulary v WHERE v.original = t.tok AND v.lang <> t.lang)"))
+@query(oracle("vocabulary tokens", "SELECT DISTINCT t.lang, t.tok FROM tokens t WHERE EXISTS (SELECT 1 FROM vocabulary v WHERE v.original = t.tok AND v.lang <> t.lang)"))
 def vocab_exists_semi(spark, sf):
-    t = A.tokens(spark, sf).where("doc_id % 2 = 0").select("lang", "tok").distinct()
+    t = A.tokens(spark, sf).select("lang", "tok").distinct()
     v = A.vocabulary(spark, sf).select(F.col("lang").alias("l"), "original")
     return t.join(v, (t.tok == v.original) & (t.lang != v.l), "left_semi")
 
@@ -77,9 +77,9 @@ def stats_bundle(spark, sf):
     return S.statistics(A.vocabulary(spark, sf), NOW_MS)
 
 
-@query(oracle("vocabulary", "SELECT b AS leitner_box, count(id) AS n FROM (SELECT unnest(range(1, 8))::INTEGER AS b) LEFT JOIN vocabulary ON leitner_box = b GROUP BY b"))
+@query(oracle("vocabulary", "SELECT b AS leitner_box, count(id) AS n FROM (SELECT unnest(range(1, 6))::INTEGER AS b) LEFT JOIN vocabulary ON leitner_box = b GROUP BY b"))
 def box_counts_zero_filled(spark, sf):
-    return S.zero_filled(A.vocabulary(spark, sf), "leitner_box", 1, 7)
+    return S.zero_filled(A.vocabulary(spark, sf), "leitner_box", 1, 5)
 
 
 @query("SELECT user_id, event_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)::INTEGER AS nth FROM events) WHERE nth <= 3")
@@ -116,8 +116,8 @@ def learned_today(spark, sf):
 
 @query(oracle("vocabulary", f"SELECT id, row_number() OVER (PARTITION BY lang ORDER BY {_RANK} DESC, created_at, id) AS place FROM vocabulary"))
 def sort_level(spark, sf):
-    w = Window.partitionBy("lang").orderBy(F.desc(lex.level_rank(F.col("level"))), "created_at", "id")
-    return A.vocabulary(spark, sf).select("id", F.row_number().over(w).cast("long").alias("place"))
+    v, rank = A.vocabulary(spark, sf), -lex.level_rank(F.col("level"))
+    return running(v, ["lang"], [rank, F.floor(F.col("created_at") / K.DAY_MS)], [rank, F.col("created_at"), F.col("id")], "place").select("id", "place")
 
 
 @query(oracle("vocabulary", f"SELECT id FROM vocabulary WHERE {_DUE}"))

@@ -31,12 +31,11 @@ def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("sep", sep).csv(path)
 
 
-def level_columns(df: DataFrame, rows: int = 200) -> tuple[str | None, str | None]:
-    """(column of CEFR labels, column of lemmas) of a table, judged on its first rows: share of labels over a half; share of words over 0.7, at least half of them distinct."""
-    sample = df.limit(rows)
+def level_columns(df: DataFrame) -> tuple[str | None, str | None]:
+    """(column of CEFR labels, column of lemmas) of a table, judged on all its rows: share of labels over a half; share of words over 0.7, at least half of them distinct."""
     label, word = r"^\s*[ABC][12]\s*$", r"^\s*\p{L}[\p{L} '’-]{0,39}\s*$"
     aggs = [a for c in df.columns for a in (F.avg(F.coalesce(F.col(f"`{c}`").rlike(label), F.lit(False)).cast("int")), F.avg(F.coalesce(F.col(f"`{c}`").rlike(word), F.lit(False)).cast("int")), F.countDistinct(f"`{c}`") / F.count("*"))]
-    figures = sample.agg(*aggs).first() or []
+    figures = df.agg(*aggs).first() or []
     by = {c: figures[3 * i : 3 * i + 3] for i, c in enumerate(df.columns)}
     level = next((c for c, (a, _, _) in by.items() if (a or 0) > 0.5), None)
     return level, next((c for c, (_, b, d) in by.items() if c != level and (b or 0) > 0.7 and (d or 0) >= 0.5), None)
@@ -54,7 +53,7 @@ def vocab_rows(results: DataFrame) -> DataFrame:
 
 def summary_rows(results: DataFrame, levels: list[str]) -> DataFrame:
     """One row per result with a column per level: the ladder first, then other keys that occur, by name."""
-    keys = [r[0] for r in results.select(F.explode(F.map_keys("levelDistribution")).alias("k")).distinct().limit(1000).collect()]
+    keys = [r[0] for r in results.select(F.explode(F.map_keys("levelDistribution")).alias("k")).distinct().collect()]
     order = [*levels, *sorted(set(keys) - set(levels))]
     return results.select("url", "lang", "native", "ok", *(F.coalesce(F.expr(f"try_element_at(levelDistribution, '{k}')"), F.lit(0)).alias(k) for k in order))
 

@@ -12,7 +12,7 @@ from glossa.functions import constants as K
 
 
 def sliding_limiter(calls: DataFrame, who: str, limit: int = K.LIMITER_CALLS, span_ms: int = K.LIMITER_MS) -> DataFrame:
-    """who, event_id, accepted: a call is accepted if fewer than limit calls were in the span_ms before it.
+    """who, event_id, accepted: a call is accepted if fewer than limit accepted ones are at most span_ms older.
 
     Calls are sorted by owner and time inside partitions; a task keeps the last accepted times of one owner."""
 
@@ -23,7 +23,7 @@ def sliding_limiter(calls: DataFrame, who: str, limit: int = K.LIMITER_CALLS, sp
             for o, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if o != owner:
                     owner, recent = o, deque()
-                while recent and t - recent[0] >= span_ms:
+                while recent and t - recent[0] > span_ms:
                     recent.popleft()
                 out.append(len(recent) < limit)
                 if out[-1]:
