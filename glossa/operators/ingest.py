@@ -10,66 +10,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossa.functions import article as article_text
 from glossa.functions import text as X
 
-_DROPPED = {"script", "style", "noscript", "iframe", "svg", "nav", "footer", "table", "figure", "figcaption", "aside", "head"}
-_BLOCKS = {"p", "div", "article", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "blockquote", "tr"}
-_VOID = {"br", "hr", "img", "input", "meta", "link", "wbr"}
-_NOISE = re.compile(r"\b(ad|ads|advert|share|social|related|newsletter|comments?|promo|breadcrumb)\b", re.I)
+#: Elements that are no article text, those whose text ends a paragraph, and parts of class names of side matter.
+DROPPED = {"table", "figure", "figcaption", "svg", "nav", "aside"}
+BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "blockquote", "pre", "section", "article", "header", "footer", "dt", "dd"}
+NOISE = ("infobox", "sidebar", "breadcrumb", "byline", "metadata", "share", "social", "navbox", "catlinks", "mw-editsection")
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_NUMBER = re.compile(r"\s*\[?\d+\]?\s*")
 _SENTENCE = re.compile(r"[.!?]\s+(?=\p{Lu})")
 
 
-class _Article(HTMLParser):
-    """Text blocks of a page with the depth of the article element that holds them."""
+class _Text(HTMLParser):
+    """The text of a page without side matter; two line ends behind each block. The text of an element sup is kept apart until it ends."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack, self.blocks, self.now, self.article = [], [], [], 0
-
-    def _flush(self):
-        if t := re.sub(r"\s+", " ", "".join(self.now)).strip():
-            self.blocks.append((self.article > 0, t))
-        self.now = []
+        self.stack, self.out, self.notes, self.within, self.inside = [], [], [], [], []
 
     def handle_starttag(self, tag, attrs):
-        if tag in _BLOCKS:
-            self._flush()
-        if tag not in _VOID:
-            bad = tag in _DROPPED or any(k in ("class", "id") and v and _NOISE.search(v) for k, v in attrs)
-            self.stack.append((tag, bad or bool(self.stack and self.stack[-1][1])))
-            self.article += tag == "article"
+        name = next((v or "" for k, v in attrs if k == "class"), "").lower()
+        bad = tag in DROPPED or any(n in name for n in NOISE)
+        if tag == "article" and not bad and not (self.stack and self.stack[-1][1]):
+            self.within.append(len(self.out))
+        if tag in _VOID:
+            if tag == "br" and not bad and not (self.stack and self.stack[-1][1]):
+                self.out.append("\n\n")
+            return
+        self.stack.append((tag, bad or bool(self.stack and self.stack[-1][1])))
+        if tag == "sup":
+            self.notes.append(len(self.out))
 
     def handle_endtag(self, tag):
-        if tag in _BLOCKS:
-            self._flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.article -= sum(t == "article" for t, _ in self.stack[i:])
-                del self.stack[i:]
-                break
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        while at is not None and len(self.stack) > at:
+            name, bad = self.stack.pop()
+            if name == "sup" and _NUMBER.fullmatch("".join(self.out[(start := self.notes.pop()) :])):
+                del self.out[start:]
+            if name in BLOCKS and not bad:
+                self.out.append("\n\n")
+            if name == "article" and not bad and self.within:
+                self.inside.append("".join(self.out[self.within.pop() :]))
 
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][1]):
-            self.now.append(data)
+            self.out.append(data)
 
 
 @F.pandas_udf(T.StringType())
-def article(html: pd.Series) -> pd.Series:
-    """The article's text (blocks by blank lines): what stands in an article element, else all blocks of 40 characters or more."""
+def page_text(html: pd.Series) -> pd.Series:
+    """The text of a page (or of its article elements, if it has any) without tables, figures, side matter and numbers of notes."""
 
     def one(s: str | None) -> str | None:
         if s is None:
             return None
-        p = _Article()
+        p = _Text()
         p.feed(s)
         p.close()
-        p._flush()
-        inside = [t for a, t in p.blocks if a]
-        return "\n\n".join(inside or [t for _, t in p.blocks if len(t) >= 40])
+        for tag, _ in reversed(p.stack):
+            p.handle_endtag(tag)
+        return "".join(p.inside or p.out)
 
     return html.map(one)
 
 
+def article(pages: DataFrame, html: str = "html", name: str = "article") -> DataFrame:
+    """pages with the cleaned text of each whole page."""
+    return article_text.cleaned(pages.withColumn(name, page_text(X.strip_noise(F.col(html)))), name)
+
+
+def scanned(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, reason, text: scanned texts in the order of the steps: those that are no usable text keep the reason and lose the text, the others lose stray lines, then garbage lines, then line wraps."""
+    judged = docs.select(key, F.col(text).alias("text"), X.ocr_reason(F.col(text)).alias("reason"))
+    good = judged.where("reason is null").select(key, X.clean_lines(F.col("text")).alias("text"))
+    kept = garbage_free(good, known, key).select(F.col(key).alias("_k"), F.col("text").alias("_t"))
+    return judged.select(key, "reason").join(kept, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, "reason", X.join_wraps(F.col("_t")).alias("text"))
+
+
 def chunk(max_chars: int):
     """A function of a column: its texts in chunks of at most max_chars, cut behind the first end of a sentence in the last 500 characters."""
 
@@ -133,3 +151,8 @@ def detect_language(docs: DataFrame, profiles: DataFrame, key: str = "doc_id", t
     score = grams.join(F.broadcast(profiles), "gram").groupBy(key, lang).agg(F.sum("weight").alias("w"))
     best = score.groupBy(key).agg(F.max_by(lang, F.struct("w", lang)).alias("detected"))
     return docs.select(key).join(best, key, "left")
+
+
+def mismatched(rows: DataFrame, detected: str, wanted: str) -> DataFrame:
+    """The rows that are to be rejected: a language was detected, and it is another."""
+    return rows.where(F.col(detected).isNotNull() & (F.col(detected) != F.col(wanted)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossa.functions import article as R
 from glossa.functions import constants as K
 from glossa.functions import lex
 from glossa.functions import text as X
@@ -31,7 +32,46 @@ def text_density(spark, sf):
 
 @query(None)
 def article_clean(spark, sf):
-    return A.table(spark, sf, "pages").select("page_id", I.article("html").alias("article"))
+    return I.article(A.table(spark, sf, "pages")).select("page_id", "article")
+
+
+_TRIM = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _post(table: str, key: str) -> str:
+    """The clean-up of articles over column text, a step at a time."""
+    same = lambda n: " AND ".join([f"len(w) % {n} = 0", *(f"w[1:len(w) // {n}] = w[len(w) // {n} * {i} + 1:len(w) // {n} * {i + 1}]" for i in range(1, n))])
+    once = rf"list_transform(string_split(text, chr(10)), lambda line: list_transform([regexp_split_to_array({_TRIM('line')}, '\s+')], lambda w: CASE WHEN {same(3)} THEN array_to_string(w[1:len(w) // 3], ' ') WHEN {same(2)} THEN array_to_string(w[1:len(w) // 2], ' ') ELSE line END)[1])"
+    words = lambda x: rf"list_distinct(regexp_split_to_array(lower({x}), '\s+'))"
+    steps = [
+        rf"SELECT {key}, regexp_replace(regexp_replace(regexp_replace({_TRIM('text')}, '\n{{3,}}', e'\n\n', 'g'), '[^\S\n]+', ' ', 'g'), '(?m)^ | $', '', 'g') AS text FROM {table}",
+        rf"SELECT {key}, regexp_replace(array_to_string(p[coalesce(nullif(list_position(list_transform(p, lambda x: x = '' OR length(x) >= 30 OR regexp_matches(x, '[.!?:,;]')), true), 0), len(p)):], e'\n\n'), '\A\n+', '') AS text FROM (SELECT {key}, regexp_split_to_array(text, '\n+') AS p FROM s0)",
+        *(rf"SELECT {key}, regexp_replace(text, '{p}', '') AS text FROM s{i}" for i, p in enumerate((r"\A(?:\d{1,2}:\d{2}\n+)+", R.NAMED_DATE.replace("(?iu)", "(?i)"), R.ISO_DATE, R.NUMBER_DATE.replace("(?iu)", "(?i)"), R.CALL.replace("(?iu)", "(?i)"), R.PRINTED.replace("(?iu)", "(?i)")), 1)),
+        rf"SELECT {key}, array_to_string({once}, chr(10)) AS text FROM s7",
+        rf"SELECT {key}, CASE WHEN len(p) >= 2 AND length(p[1]) > 20 AND (starts_with(p[2], p[1]) OR len(list_intersect({words('p[1]')}, {words('p[2]')})) / len({words('p[1]')}) > 0.8) THEN array_to_string(p[2:], e'\n\n') ELSE text END AS text FROM (SELECT {key}, text, regexp_split_to_array(text, '\n\n+') AS p FROM s8)",
+    ]
+    return "WITH " + ",\n".join(f"s{i} AS ({s})" for i, s in enumerate(steps)) + f"\nSELECT {key}, " + _TRIM(r"regexp_replace(text, '\n{3,}', e'\n\n', 'g')") + " AS text FROM s9"
+
+
+@query(_post("documents", "doc_id"))
+def article_post(spark, sf):
+    return R.cleaned(A.table(spark, sf, "documents").select("doc_id", "text"), "text")
+
+
+_ANSWER = r"(CASE WHEN doc_id % 3 = 0 THEN 'TITLE: ' || regexp_replace(text[1:20], '[-\s]+', ' ', 'g') || e'\n---\n' ELSE '' END) || CASE WHEN doc_id % 7 = 0 THEN 'NO_ARTICLE_CONTENT' ELSE text END"
+_HEAD = _TRIM(rf"regexp_replace({_TRIM("answer[1:strpos(answer, '---') - 1]")}, '(?i)^TITLE:\s*', '')")
+
+
+@query(rf"""SELECT doc_id, CASE WHEN cut > 0 AND head <> '' THEN head ELSE 'https://a.b/' || doc_id END AS title, NOT contains(answer, 'NO_ARTICLE_CONTENT') AND length({_TRIM("CASE WHEN cut > 0 THEN answer[cut + 3:] ELSE answer END")}) >= 50 AS ok
+FROM (SELECT doc_id, answer, strpos(answer, '---') AS cut, {_HEAD} AS head FROM (SELECT doc_id, {_ANSWER} AS answer FROM documents))""")
+def article_answers(spark, sf):
+    """Answers about pages: some with a title line, some without, some that say that there is no article."""
+    d = A.table(spark, sf, "documents")
+    m, url = F.col("doc_id"), F.concat(F.lit("https://a.b/"), F.col("doc_id").cast("string"))
+    head = F.when(m % 3 == 0, F.concat(F.lit("TITLE: "), F.regexp_replace(F.substring("text", 1, 20), r"[-\s]+", " "), F.lit("\n---\n"))).otherwise("")
+    answer = F.concat(head, F.when(m % 7 == 0, "NO_ARTICLE_CONTENT").otherwise(F.col("text")))
+    p = d.select("doc_id", R.parsed_answer(answer, url).alias("p"))
+    return p.select("doc_id", "p.title", "p.ok")
 
 
 @query("SELECT doc_id, length(text) < 100 OR len(regexp_extract_all(text, '[{}();:#.]')) / length(text) > 0.05 AS code FROM documents")
@@ -84,6 +124,20 @@ def garbage_lines(spark, sf):
     return I.garbage_free(d, known)
 
 
+@query(None)
+def ocr_pipeline(spark, sf):
+    known = A.zipf_table(A.tokens(spark, sf)).where("c >= 3").select(F.col("tok").alias("word"))
+    return I.scanned(A.table(spark, sf, "documents"), known)
+
+
+@query(None)
+def language_mismatch(spark, sf):
+    """Documents whose detected language is another than their own."""
+    d = A.table(spark, sf, "documents")
+    found = I.detect_language(d, I.trigram_profiles(d)).join(d.select("doc_id", "lang"), "doc_id")
+    return I.mismatched(found, "detected", "lang").select("doc_id", "lang", "detected")
+
+
 @query(None)
 def lang_detect(spark, sf):
     d = A.table(spark, sf, "documents")

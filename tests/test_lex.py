@@ -54,8 +54,6 @@ def test_text(spark):
     assert [r[0] for r in got] == ["One. Two!", "abc def ghi", "short"]
     assert values(spark, [("a\nb\n\nc  d",)], "t string", text.join_wraps(t)) == [("a b\n\nc d",)]
     assert values(spark, [("x",), ("This is readable text, really.",), ("1234 5678 9012 34567 89 1234",)], "t string", text.ocr_reason(t)) == [("short",), (None,), ("symbols",)]
-    page = "<html><nav>menu</nav><article><p>Hello <b>big</b> world</p><div class='ad'>buy</div></article></html>"
-    assert values(spark, [(page,), (None,)], "t string", ingest.article("t")) == [("Hello big world",), (None,)]
     long = "Aa bb. " * 100
     chunks = values(spark, [(long,)], "t string", ingest.chunk(200)("t"))[0][0]
     assert all(len(c) <= 200 for c in chunks) and "".join(chunks).replace(" ", "") == long.replace(" ", "")
