@@ -42,9 +42,10 @@ def core_stability(words: DataFrame, group: str, cell: str, key: str) -> DataFra
 
 
 def diff(a: DataFrame, b: DataFrame, key: str, value: str, lower_is_better: Column) -> DataFrame:
-    """key, a, b, delta, verdict of the same figures of two runs."""
+    """key, a, b, delta, pct (of a), verdict of the same figures of two runs."""
     both = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key, "full_outer").withColumn("delta", F.col("b") - F.col("a"))
     better = F.when(lower_is_better, F.col("delta") < 0).otherwise(F.col("delta") > 0)
+    both = both.withColumn("pct", F.when(F.col("a") != 0, 100 * F.col("delta") / F.col("a")))
     return both.withColumn("verdict", F.when(F.col("delta").isNull(), "missing").when(F.col("delta") == 0, "same").when(better, "better").otherwise("worse"))
 
 

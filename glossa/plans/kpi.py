@@ -77,11 +77,11 @@ def per_lang_pivot(spark, sf):
     return A.vocabulary(spark, sf).groupBy("lang").agg(*(F.count_if(F.col("level") == x).alias(x) for x in K.LEVELS))
 
 
-@query(oracle("vocabulary", "SELECT content_id, level, count(*) AS n FROM vocabulary GROUP BY ALL"))
+@query(oracle("vocabulary", "SELECT content_id, level || '.' || word_type AS key, count(*) AS n FROM vocabulary GROUP BY ALL"))
 def level_histogram_map(spark, sf):
-    n = A.vocabulary(spark, sf).groupBy("content_id", "level").agg(F.count("*").alias("n"))
-    whole = n.groupBy("content_id").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("m"))
-    return whole.select("content_id", F.explode("m").alias("level", "n"))
+    n = A.vocabulary(spark, sf).groupBy("content_id", "level", "word_type").agg(F.count("*").alias("n"))
+    whole = n.groupBy("content_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("level", F.lit("."), "word_type"), "n"))).alias("m"))
+    return whole.select("content_id", F.explode("m").alias("key", "n"))
 
 
 @query(oracle("vocabulary", "SELECT DISTINCT word_type || '.' || level AS key FROM vocabulary"))
@@ -95,35 +95,19 @@ def capped_samples(spark, sf):
     return P.capped(A.vocabulary(spark, sf), ["lang", "level"], ["doc_id", "pos", "id"], 15).select("lang", "level", "id", "nth")
 
 
-@query(oracle("features", "SELECT lang, tok, zipf, level FROM features WHERE zipf >= 4.5 AND level IN ('B1', 'B2', 'C1', 'C2') OR zipf <= 2.7 AND level IN ('A1', 'A2')"))
-def zipf_anomalies(spark, sf):
-    f = A.features(A.tokens(spark, sf))
-    return f.where("zipf >= 4.5 and level in ('B1', 'B2', 'C1', 'C2') or zipf <= 2.7 and level in ('A1', 'A2')").select("lang", "tok", "zipf", "level")
+@query(oracle("sweep_words", "SELECT lang, count(*) FILTER (most >= 3) AS h13 FROM (SELECT lang, doc_id, native, max(n) AS most FROM (SELECT lang, doc_id, native, tok, count(*) AS n FROM sweep_words GROUP BY ALL) GROUP BY ALL) GROUP BY lang"))
+def h13_repeats(spark, sf):
+    """Runs in which an entry comes three times or more."""
+    return P.repetition(A.sweep_words(spark, sf), ["lang", "doc_id", "native"]).groupBy("lang").agg(F.count_if(F.col("most") >= 3).alias("h13"))
 
 
-_FLAGS = {
-    "h1": "original = translation", "h2": "length(trim(translation)) < 2", "h3": "length(trim(translation)) > 20", "h12": "word_type NOT IN ('phrase', 'noun') AND length(original) > 12",
-    "h19": "word_type = 'other' AND length(original) > 8", "same_end": "substr(original, 1, 1) = substr(translation, 1, 1)",
-}
-
-
-@query(oracle("vocabulary", "SELECT lang, " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _FLAGS.items()) + " FROM vocabulary GROUP BY lang"))
-def heuristics(spark, sf):
-    return A.vocabulary(spark, sf).groupBy("lang").agg(*(F.count_if(F.expr(c)).alias(n) for n, c in _FLAGS.items()))
-
-
-@query(oracle("vocabulary", "SELECT key, a, b, b - a AS delta, CASE WHEN b - a IS NULL THEN 'missing' WHEN b = a THEN 'same' WHEN (key = 'C2') = (b < a) THEN 'better' ELSE 'worse' END AS verdict FROM (SELECT level AS key, count(*) AS a FROM vocabulary WHERE doc_id % 2 = 0 GROUP BY 1) FULL JOIN (SELECT level AS key, count(*) AS b FROM vocabulary WHERE doc_id % 2 = 1 GROUP BY 1) USING (key)"))
+@query(oracle("vocabulary", "SELECT key, a, b, b - a AS delta, CASE WHEN a <> 0 THEN 100 * (b - a) / a END AS pct, CASE WHEN b - a IS NULL THEN 'missing' WHEN b = a THEN 'same' WHEN (key = 'C2') = (b < a) THEN 'better' ELSE 'worse' END AS verdict FROM (SELECT level AS key, count(*) AS a FROM vocabulary WHERE doc_id % 2 = 0 GROUP BY 1) FULL JOIN (SELECT level AS key, count(*) AS b FROM vocabulary WHERE doc_id % 2 = 1 GROUP BY 1) USING (key)"))
 def kpi_diff(spark, sf):
     v = A.vocabulary(spark, sf)
     a, b = (v.where(f"doc_id % 2 = {i}").groupBy(F.col("level").alias("key")).agg(F.count("*").alias("n")) for i in (0, 1))
     return P.diff(a, b, "key", "n", F.col("key") == "C2")
 
 
-@query(oracle("sweep_words", "SELECT native, lang, avg(CASE WHEN length(tok) > 3 THEN 1.0 ELSE 0.0 END) AS long_share, count(*) AS n FROM sweep_words GROUP BY ALL"))
-def native_matrix(spark, sf):
-    return A.sweep_words(spark, sf).groupBy("native", "lang").agg(F.avg((F.length("tok") > 3).cast("double")).alias("long_share"), F.count("*").alias("n"))
-
-
 @query(oracle("tokens", "SELECT doc_id, key, start, n FROM (SELECT doc_id, tok AS key, run, min(pos) AS start, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, tok ORDER BY pos) AS run FROM tokens) GROUP BY ALL) WHERE n >= 3"))
 def run_detector(spark, sf):
     from glossa.operators.extract import runs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.plans import evaluation, ingest, kpi, lexical, qa, store
+from glossa.plans import evaluation, ingest, kpi, lexical, qa, reports, store
 from glossa.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "ingest", "kpi", "lexical", "qa", "store"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "ingest", "kpi", "lexical", "qa", "reports", "store"]
