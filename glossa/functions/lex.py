@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,7 +109,7 @@ def capitalise_german(c: Column, kind: Column) -> Column:
 
 
 def normal_answer(c: Column) -> Column:
-    return F.lower(F.regexp_replace(trim(c), r"\s+", " "))
+    return composed(F.lower(F.regexp_replace(trim(c), r"\s+", " ")))
 
 
 def bare_answer(s: Column) -> Column:
@@ -162,3 +164,32 @@ def cognate_shift(a: Column, b: Column) -> Column:
     n = F.greatest(F.length(a), F.length(b))
     d = F.when(n == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / n)
     return F.when(d < 0.3, -0.08).when(d > 0.8, 0.04).otherwise(0.0)
+
+
+def _named(code: Column, names: dict[str, str], rest: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), code), rest)
+
+
+def language_name(code: Column, english: bool = False) -> Column:
+    return _named(code, K.ENGLISH_NAMES if english else K.NATIVE_NAMES, code)
+
+
+def language_flag(code: Column) -> Column:
+    """The two regional signs of the language's country, or nothing."""
+    return _named(code, {k: "".join(chr(0x1F1E6 + ord(x) - 65) for x in v) for k, v in K.COUNTRIES.items()}, F.lit(""))
+
+
+def image_title(text: Column) -> Column:
+    """The first five words of a scanned text and an ellipsis."""
+    return F.concat(F.array_join(F.slice(F.split(trim(text), r"\s+"), 1, 5), " "), F.lit("…"))
+
+
+#: Letters with marks behind them, and the single characters they make.
+COMPOSED = {letter + mark: one for mark in "\u0300\u0301\u0302\u0303\u0308\u030a\u030b\u030c\u0327\u0328" for letter in "abcdefghijklmnopqrstuvwxyz" if len(one := unicodedata.normalize("NFC", letter + mark)) == 1}
+
+
+def composed(low: Column) -> Column:
+    """Lower-case letters with their marks as one character each, where there is one."""
+    table = F.create_map(*(F.lit(x) for kv in COMPOSED.items() for x in kv))
+    whole = F.array_join(F.transform(F.regexp_extract_all(low, F.lit(r"(?s).\p{M}?"), 0), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(low.rlike(r"\p{M}"), whole).otherwise(low)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import constants as K
-from glossa.functions import model
+from glossa.functions import lex, model
 
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -76,3 +76,59 @@ def streaks(days: DataFrame, who: str, day: str, today: str) -> DataFrame:
     island = F.date_sub("day", F.row_number().over(Window.partitionBy(who).orderBy("day")))
     runs = d.withColumn("island", island).groupBy(who, "island").agg(F.count("*").alias("n"), F.max("day").alias("last"))
     return runs.groupBy(who).agg(F.max("n").alias("best"), F.coalesce(F.max(F.when(F.col("last") == F.lit(today).cast("date"), F.col("n"))), F.lit(0)).alias("current"))
+
+
+def searched(cards: DataFrame, text: str) -> DataFrame:
+    """Cards that hold a text in either language, whatever the case; all of them for a blank text."""
+    low = text.lower()
+    return cards.where(F.lower("original").contains(low) | F.lower("translation").contains(low)) if text.strip() else cards
+
+
+def looked_up(asked: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """asked with the value of its key in table, null where it is absent."""
+    return asked.join(table.select(key, value), key, "left")
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows with those columns that changes (one row a key) give another value; others, and rows without a change, stay."""
+    new = changes.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_new_{c}") for c in columns))
+    met = rows.join(new, F.col(key) == F.col("_key"), "left")
+    return met.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).select(*rows.columns)
+
+
+def cleared(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables without rows, as after a reset."""
+    return {name: t.where(F.lit(False)) for name, t in tables.items()}
+
+
+def with_days(days: DataFrame, new: DataFrame, day: str) -> DataFrame:
+    """Days with new ones, each once, in order."""
+    return days.select(day).unionAll(new.select(day)).distinct().orderBy(day)
+
+
+#: The direction in which a sort begins: newest first, the others from the least.
+DIRECTIONS = {"date": "desc", "alphabetical": "asc", "level": "asc", "box": "asc"}
+
+
+def toggled(direction: str) -> str:
+    return "asc" if direction == "desc" else "desc"
+
+
+def sort_columns(by: str, direction: str | None = None) -> list[Column]:
+    """What cards are ordered by; cards that are equal in it stay in the order of their ids."""
+    key = {"date": F.col("created_at"), "alphabetical": lex.sort_key(F.col("original")), "level": lex.level_rank(F.col("level")), "box": F.col("leitner_box")}[by]
+    return [F.desc(key) if (direction or DIRECTIONS[by]) == "desc" else F.asc(key), F.asc("id")]
+
+
+def practice_round(cards: DataFrame, seed: int, n: int = 20) -> DataFrame:
+    """The next n cards, those of one box and day in an order that looks random."""
+    return cards.orderBy("leitner_box", F.coalesce("last_reviewed", F.lit(0)), F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+
+
+def settings_in_use(stored: DataFrame, device: str = "en") -> DataFrame:
+    """native, learning, direction and the other settings in use: unsupported codes become en, missing ones go by the device, and a missing language to learn is another than the native one."""
+    ok = lambda c: F.when(F.col(c).isin(*K.LANGUAGES), F.col(c)).when(F.col(c).isNotNull(), "en")
+    native = F.coalesce(ok("native"), F.lit(device if device in K.LANGUAGES else "en"))
+    learning = F.coalesce(ok("learning"), F.when(native != "en", "en").otherwise(next(x for x in K.LANGUAGES if x != "en")))
+    side = F.when(F.col("direction") == "native-to-learning", "translation").when(F.col("direction") == "learning-to-native", "original").otherwise("either")
+    return stored.select("owner", native.alias("native"), learning.alias("learning"), side.alias("side"), F.coalesce("level", F.lit("A2")).alias("level"), F.coalesce("cards", F.lit("20")).cast("int").alias("cards"))

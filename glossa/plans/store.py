@@ -105,8 +105,7 @@ def level_filter(spark, sf):
 
 @query(oracle("vocabulary", "SELECT id FROM vocabulary WHERE contains(lower(original), 'tion') OR contains(lower(translation), 'tion')"))
 def search_filter(spark, sf):
-    v = A.vocabulary(spark, sf)
-    return v.where(F.lower("original").contains("tion") | F.lower("translation").contains("tion")).select("id")
+    return S.searched(A.vocabulary(spark, sf), "TION").select("id")
 
 
 @query(oracle("vocabulary", f"SELECT id, leitner_box FROM vocabulary WHERE last_reviewed >= {_MIDNIGHT}"))
@@ -162,21 +161,6 @@ def month_days(spark, sf):
     return r.select("card", F.to_date("ts").alias("day")).distinct()
 
 
-@query("SELECT conv_id, turn, CASE WHEN role IS NULL OR role NOT IN ('user', 'assistant') THEN 'bad role' WHEN text IS NULL OR length(text) = 0 THEN 'empty' WHEN strlen(text) > 1000 THEN 'too long' ELSE 'ok' END AS verdict FROM conversations")
-def message_validation(spark, sf):
-    c = A.table(spark, sf, "conversations")
-    verdict = F.when(F.col("role").isNull() | ~F.col("role").isin("user", "assistant"), "bad role").when(F.col("text").isNull() | (F.length("text") == 0), "empty").when(F.octet_length("text") > 1000, "too long").otherwise("ok")
-    return c.select("conv_id", "turn", verdict.alias("verdict"))
-
-
-@query("SELECT event_id, CASE WHEN s >= 200 AND s < 300 THEN 'ok' WHEN s IN (301, 302) THEN 'moved' WHEN s = 404 OR s = 410 THEN 'gone' WHEN s = 403 OR s = 429 THEN 'blocked' WHEN s >= 500 THEN 'server' ELSE 'other' END AS category FROM (SELECT event_id, [200, 301, 403, 404, 429, 500, 503, 410, 302, 418][event_id % 10 + 1] AS s FROM events)")
-def url_category(spark, sf):
-    status = F.element_at(F.array(*map(F.lit, (200, 301, 403, 404, 429, 500, 503, 410, 302, 418))), (F.col("event_id") % 10 + 1).cast("int"))
-    s = F.col("s")
-    kind = F.when(s.between(200, 299), "ok").when(s.isin(301, 302), "moved").when(s.isin(404, 410), "gone").when(s.isin(403, 429), "blocked").when(s >= 500, "server").otherwise("other")
-    return A.table(spark, sf, "events").select("event_id", status.alias("s")).select("event_id", kind.alias("category"))
-
-
 @query(None)
 def limiter_sliding(spark, sf):
     """At most 10 accepted calls in any 60 s per user: what was rejected doesn't count, so each user's calls are folded in time order."""
