@@ -232,7 +232,8 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
         sign = np.array([1.0] * (len(best) + len(more)) + [-1.0] * len(negative))
         weight = 20 * np.concatenate([np.full(len(best), 50.0), np.full(len(more), 2.0), [min(100.0, 2.0 + 5 * seen.get(w, (0, 0))[0]) for w in negative]])
         w, bias = _svm(x, sign, weight)
-        table = (columns @ (root @ w)).astype(np.float32)
+        own = root @ w
+        table = np.concatenate([columns[i : i + 4096] @ own for i in range(0, TABLE, 4096)]).astype(np.float32)  # in parts: doubles of all columns take 268 MB
         m = margins(letters, starts, table, bias)
         score = dict(zip(names, m.tolist()))
         hard = list(dict.fromkeys(hard + sorted(clean, key=lambda w: (-score[w], w))[:300]))

@@ -362,6 +362,37 @@ def test_emails_equal_the_pattern():
         assert [x[1:] for x in pii.base_spans(t) if x[0] == "email"] == [m.span() for m in rx.finditer(t)]
 
 
+def luhn(digits):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15),
+}
+
+
+def plain_spans(text):
+    return [(kind, *m.span()) for kind, (rx, good) in BASE.items() for m in re.finditer(rx, text) if good(m)]
+
+
+def test_base_spans_equal_the_patterns(spark):
+    rng = random.Random(16)
+    alphabets = ["ab@@..1- é", "0125.  a", "0 -19 4x", "+0 (1).-9a", "12.34-56 +7@a.b中"]
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1112", "6011000990139424", "378282246310005", "4222222222222222222"]
+    texts = ["".join(rng.choice(a) for _ in range(rng.randint(0, 45))) for _ in range(400) for a in alphabets]
+    texts += [f"{rng.choice('x 中')}{rng.choice(cards)}{rng.choice(['', ' ', '0', '-'])}{rng.choice(['+1 415 555 2671', '10.0.0.256', '255.255.255.255.1', 'a@b.c.'])}" for _ in range(300)]
+    got = {r.doc_id: r for r in pii.scanned(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = plain_spans(t)
+        r = got[i]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in want) for k in BASE), t
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest(), t
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(",")) | {""}, t
+
+
 SF = "/root/testdata/sf0.1"
 
 
@@ -383,6 +414,41 @@ def test_letter_triples_have_places_of_their_own():
     assert code.max() < toxicity.TABLE and len(np.unique(code)) > 0.85 * code.size
 
 
+def test_the_table_equals_an_explicit_kernel():
+    rng = np.random.default_rng(6)
+    word = lambda: bytes([0, *rng.integers(1, 27, rng.integers(3, 14)).tolist(), 0])
+
+    def vector(w):
+        out = {}
+        for at in combinations(range(len(w)), 3):
+            if at[2] - at[0] <= toxicity.SPAN:
+                t = tuple(w[i] for i in at)
+                out[t] = out.get(t, 0) + toxicity.DECAY ** (at[2] - at[0] + 1)
+        size = np.sqrt(sum(toxicity.DECAY ** (2 * (c - a + 1)) for a, b, c in combinations(range(len(w)), 3) if c - a <= toxicity.SPAN))
+        return {t: x / size for t, x in out.items()}
+
+    def place(t):
+        return int(toxicity._code(*(np.array([c], np.uint32) for c in t))[0])
+
+    taken, words = {}, []
+    while len(words) < 60:  # triples of these words have places of their own
+        v = vector(w := word())
+        new = {place(t): t for t in v}
+        if len(new) == len(v) and all(taken.get(p, t) == t for p, t in new.items()):
+            taken |= new
+            words.append(w)
+    marks, others = words[:20], words[20:]
+    dot = lambda a, b: sum(x * b.get(t, 0) for t, x in a.items())
+    want = np.array([[dot(vector(w), vector(m)) for m in marks] for w in others])
+    columns = toxicity._features(marks)
+    assert np.abs(toxicity._kernel(others, columns) - want).max() < 1e-5
+    alpha = rng.normal(size=20)
+    flat = np.frombuffer(b"".join(others), np.uint8)
+    starts = np.cumsum([len(w) for w in others]) - [len(w) for w in others]
+    got = toxicity.margins(flat, starts, (columns @ alpha).astype(np.float32), 0.25)
+    assert np.abs(got - (want @ alpha + 0.25)).max() < 1e-4
+
+
 def test_toxicity_without_witnesses_keeps_documents(spark):
     docs = documents(spark, ["horrible insults", "nastier phrases", "friendly greetings", "", None])
     labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
