@@ -10,8 +10,10 @@ from glossa.functions import model
 from glossa.operators import adapters as A
 from glossa.operators import calibrate as C
 from glossa.operators import kpi as P
+from glossa.operators import predict as R
 from glossa.operators.adapters import oracle
 from glossa.plans.base import query
+from glossa.sources import goldlists as G
 
 
 def gold(spark, sf):
@@ -83,9 +85,114 @@ def min_sense(spark, sf):
     return gold(spark, sf).groupBy("lang", F.substring("tok", 1, 2).alias("stem")).agg(F.min_by("tok", F.struct("gold", "tok")).alias("word"), F.min("gold").alias("gold"), F.bool_or(F.col("pred").isNull()).alias("unseen"))
 
 
-@query(gold_oracle("SELECT lang, tok FROM gold WHERE zipf IS NOT NULL AND NOT (gold = 6 AND zipf >= 5.5) AND NOT (gold = 5 AND zipf >= 6.0) AND NOT (lang = 'en' AND gold >= 4 AND length(tok) < 3)"))
+#: Rows of lists: a source by the length of the word, flags of missing features, and the level's name.
+_LISTED = ", listed AS (SELECT lang, tok, gold, pred, zipf, (zipf IS NULL)::INTEGER AS fb_zipf, (length(tok) % 2 = 1)::INTEGER AS fb_aoa, CASE WHEN length(tok) % 11 = 0 THEN 'LLM-oracle' WHEN lang = 'en' AND length(tok) % 3 = 0 THEN 'Oxford-5000' ELSE 'KELLY-' || lang END AS source, ['A1', 'A2', 'B1', 'B2', 'C1', 'C2'][gold] AS cefr FROM gold)\n"
+
+
+def listed(spark, sf):
+    n, lang = F.length("tok"), F.col("lang")
+    source = F.when(n % 11 == 0, "LLM-oracle").when((lang == "en") & (n % 3 == 0), "Oxford-5000").otherwise(F.concat(F.lit("KELLY-"), lang))
+    return gold(spark, sf).select("lang", "tok", "gold", "pred", "zipf", F.col("zipf").isNull().cast("int").alias("fb_zipf"), (n % 2 == 1).cast("int").alias("fb_aoa"), source.alias("source"), F.element_at(F.array(*map(F.lit, K.LEVELS)), F.col("gold").cast("int")).alias("cefr"))
+
+
+def list_oracle(body: str) -> str:
+    return gold_oracle("").rstrip() + _LISTED + body
+
+
+_INFORMED = "(fb_zipf = 0 OR fb_aoa = 0) AND NOT coalesce(cefr = 'C2' AND zipf >= 5.5, false) AND NOT coalesce(cefr = 'C1' AND zipf >= 6.0, false) AND zipf IS NOT NULL"
+
+
+@query(list_oracle(f"SELECT lang, tok FROM listed WHERE {_INFORMED} AND NOT (source = 'KELLY-en' AND cefr IN ('B2', 'C1', 'C2'))"))
 def gold_filters(spark, sf):
-    return gold(spark, sf).where("zipf is not null and not (gold = 6 and zipf >= 5.5) and not (gold = 5 and zipf >= 6.0) and not (lang = 'en' and gold >= 4 and length(tok) < 3)").select("lang", "tok")
+    return R.calibration_rows(listed(spark, sf).where("zipf is not null"), ("B2", "C1", "C2")).select("lang", "tok")
+
+
+@query(list_oracle(f"SELECT lang, tok, source FROM listed WHERE {_INFORMED} AND NOT (source = 'KELLY-en' AND cefr = 'C2') AND source <> 'LLM-oracle'"))
+def compare_filters(spark, sf):
+    return R.calibration_rows(listed(spark, sf).where("zipf is not null"), ("C2",), oracle=False).select("lang", "tok", "source")
+
+
+_SPECS = [("English lists", "en", ["KELLY-en", "Oxford-5000"]), ("KELLY-en", "en", ["KELLY-en"]), ("Oxford-5000", "en", ["Oxford-5000"]), ("KELLY-de", "de", ["KELLY-de"]), ("KELLY-fr", "fr", ["KELLY-fr"]), ("all of es", "es", ["KELLY-es", "LLM-oracle"])]
+_SPEC_ROWS = "(VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in _SPECS) + ") AS t(label, l, sources)"
+
+
+@query(list_oracle(f", met AS (SELECT label, gold, pred, tok, fb_zipf, fb_aoa, row_number() OVER (PARTITION BY label, gold ORDER BY tok) AS r FROM listed JOIN {_SPEC_ROWS} ON lang = l AND list_contains(sources, source)), m AS (SELECT label, min(n) AS least FROM (SELECT label, gold, count(*) AS n FROM met GROUP BY ALL) GROUP BY label) SELECT label, variant, {_FIGURES} FROM (SELECT met.*, unnest(list_filter(['A', CASE WHEN fb_zipf + fb_aoa < 2 THEN 'B' END, CASE WHEN r <= least THEN 'C' END], lambda x: x IS NOT NULL)) AS variant FROM met JOIN m USING (label)) WHERE pred IS NOT NULL GROUP BY ALL"))
+def list_variants(spark, sf):
+    specs = spark.createDataFrame(_SPECS, "label string, lang string, sources array<string>")
+    return R.list_variants(listed(spark, sf), specs, "tok")
+
+
+_RAW = "gold - (length(tok) % 3) * 0.25 + CASE WHEN gold = 1 THEN 0.5 ELSE 0.0 END"
+
+
+@query(list_oracle(f", s AS (SELECT *, raw = floor(raw) AS pristine FROM (SELECT *, ({_RAW})::DOUBLE AS raw FROM listed)), v AS (SELECT *, unnest(list_filter(['A', CASE WHEN raw <> 6 THEN 'B' END, CASE WHEN raw <> 6 AND pristine THEN 'C' END, CASE WHEN raw <> 6 THEN 'D' END], lambda x: x IS NOT NULL)) AS variant FROM s) SELECT variant, count(*) FILTER (ok) AS n, avg((pred = gold)::INT) FILTER (ok) AS exact, avg((abs(pred - gold) <= 1)::INT) FILTER (ok) AS near, avg(abs(pred - gold)) FILTER (ok) AS mae, count(*) FILTER (fb_zipf + fb_aoa = 2) AS double FROM (SELECT *, pred IS NOT NULL AND (variant <> 'D' OR fb_zipf + fb_aoa < 2) AS ok FROM v) GROUP BY variant"))
+def sense_variants(spark, sf):
+    raw = (F.col("gold") - (F.length("tok") % 3) * 0.25 + F.when(F.col("gold") == 1, 0.5).otherwise(0.0)).cast("double")
+    rows = listed(spark, sf).withColumn("raw", raw).withColumn("pristine", F.col("raw") == F.floor("raw"))
+    return R.sense_variants(rows)
+
+
+@query(list_oracle("SELECT who, count(*) AS n, avg((p = gold)::INT) AS exact, avg((abs(p - gold) <= 1)::INT) AS near, avg(abs(p - gold)) AS mae FROM (SELECT gold, unnest(['local', 'remote']) AS who, unnest([pred, CASE WHEN length(tok) % 4 > 0 THEN 1 + (length(tok) + gold) % 6 END]) AS p FROM listed) WHERE p IS NOT NULL GROUP BY who"))
+def head_to_head(spark, sf):
+    remote = F.when(F.length("tok") % 4 > 0, 1 + (F.length("tok") + F.col("gold")) % 6)
+    both = listed(spark, sf).select("gold", F.explode(F.map_from_arrays(F.array(F.lit("local"), F.lit("remote")), F.array(F.col("pred").cast("long"), remote.cast("long")))).alias("who", "pred"))
+    return R.figures(both, ["who"])
+
+
+@query(list_oracle("SELECT sharded, pooled, CASE WHEN sharded - pooled > 0.01 THEN 'sharded' WHEN sharded - pooled < -0.005 THEN 'pooled' ELSE 'equal' END AS verdict FROM (SELECT sum(e * n) / sum(n) AS sharded FROM (SELECT lang, count(*) AS n, avg((pred = gold)::INT) AS e FROM listed WHERE pred IS NOT NULL AND fb_aoa = 0 GROUP BY lang)), (SELECT avg((pred = gold)::INT) AS pooled FROM listed WHERE pred IS NOT NULL)"))
+def shard_verdict(spark, sf):
+    rows = listed(spark, sf)
+    a = R.figures(rows.where("fb_aoa = 0"), ["lang"]).agg((F.sum(F.col("exact") * F.col("n")) / F.sum("n")).alias("sharded"))
+    b = R.figures(rows.withColumn("all", F.lit(1)), ["all"]).select(F.col("exact").alias("pooled"))
+    return a.join(F.broadcast(b)).withColumn("verdict", R.verdict(F.col("sharded"), F.col("pooled")))
+
+
+@query(list_oracle(f"SELECT lang, tok, CASE WHEN e < -0.1559 THEN 1 WHEN e < 0.6753 THEN 2 WHEN e < 1.5918 THEN 3 WHEN e < 2.013 THEN 4 WHEN e < 2.6026 THEN 5 ELSE 6 END AS level FROM (SELECT lang, tok, -1.9267 * z + 4.7804 * CASE WHEN fb_zipf = 1 AND fb_aoa = 1 THEN 0.4 WHEN fb_aoa = 0 THEN least(1.0, (least(18.0, 2.0 + length(tok)) - 2) / 16) ELSE 1 - z END AS e FROM (SELECT *, least(1.0, coalesce(zipf, 0) / 7) AS z FROM listed))"))
+def stored_predictions(spark, sf):
+    z = model.zipf_norm(F.col("zipf"))
+    a = F.when(F.col("fb_aoa") == 0, model.clamp01((A.aoa(F.col("tok")) - 2) / 16)).otherwise(1 - z)
+    return listed(spark, sf).select("lang", "tok", R.predicted(z, a, F.col("fb_zipf"), F.col("fb_aoa")).cast("long").alias("level"))
+
+
+@query(list_oracle("SELECT lang, tok, CASE WHEN fb_zipf + fb_aoa < 2 THEN 'known' WHEN tok < 'g' THEN 'B2' WHEN tok < 'p' THEN 'B1' ELSE 'B2' END AS level, fb_zipf + fb_aoa = 2 AND tok >= 'g' AND tok < 'p' AS asked FROM listed"))
+def classify_with_answers(spark, sf):
+    """Words that no feature tells about take cached levels, then recorded answers, then the model's own."""
+    w = listed(spark, sf).select("lang", F.col("tok").alias("word"), "zipf", F.when(F.col("fb_aoa") == 0, A.aoa(F.col("tok"))).alias("aoa"), F.lit(0.0).alias("shift"))
+    cache = w.where("word < 'g'").select("lang", "word", F.lit("B2").alias("level"))
+    answers = w.select("lang", "word", F.when(F.col("word") < "p", "I should say B1, not B2.").otherwise("It is C22 or so.").alias("answer"))
+    got = R.classified(w, cache, answers)
+    return got.select("lang", F.col("word").alias("tok"), F.when(F.col("confidence") != "low", "known").otherwise(F.col("level")).alias("level"), "asked")
+
+
+@query(None)
+def balanced_sample(spark, sf):
+    return R.balanced_sample(listed(spark, sf).select("lang", F.col("tok").alias("word"), "cefr"), 20, 42)
+
+
+@query(None)
+def picked_pages(spark, sf):
+    """Five documents of each language behind the first three, drawn without replacement."""
+    return R.picked_entries(A.table(spark, sf, "documents").select("lang", "doc_id"), "doc_id", skip=3, limit=5)
+
+
+@query(gold_oracle("SELECT word, raw, raw = floor(raw) AS pristine, greatest(1, least(6, floor(raw + 0.5)))::INTEGER AS level FROM (SELECT tok AS word, min(gold + CASE WHEN lang = 'de' AND gold < 6 THEN 0.25 ELSE 0.0 END)::DOUBLE AS raw FROM gold WHERE regexp_matches(tok, '^[a-z][a-z''-]*$') GROUP BY tok)"))
+def sense_levels(spark, sf):
+    """Words and the levels of their senses, as two tables: each language gives a sense."""
+    g = gold(spark, sf)
+    words = g.select("tok").distinct().select(F.concat(F.lit("w-"), "tok").alias("word_id"), F.col("tok").alias("word"))
+    pos = g.select(F.concat(F.lit("w-"), "tok").alias("word_id"), (F.col("gold") + F.when((F.col("lang") == "de") & (F.col("gold") < 6), 0.25).otherwise(0.0)).cast("string").alias("level"))
+    return G.senses(words, pos)
+
+
+_RATES = {"A1": "a", "A2": "b", "B2": "c"}
+
+
+@query(gold_oracle(r"SELECT tok AS word, CASE WHEN length(tok) * 0.1 >= 0.5 THEN 'A1' WHEN gold * 0.2 >= 0.5 THEN 'A2' WHEN length(tok) = 4 THEN 'B2' END AS cefr FROM gold WHERE lang = 'fr' AND length(tok) BETWEEN 2 AND 40 AND (length(tok) >= 5 OR gold >= 3 OR length(tok) = 4)"))
+def frequency_levels(spark, sf):
+    """A table of rates by level: a word gets the first level at which it is frequent."""
+    g = gold(spark, sf).where("lang = 'fr'")
+    table = g.select(F.concat(F.lit('"'), "tok", F.lit('"')).alias("word"), (F.length("tok") * 0.1).cast("string").alias("a"), (F.col("gold") * 0.2).cast("string").alias("b"), F.when(F.length("tok") == 4, "0.5").otherwise("n/a").alias("c"))
+    return G.frequency_list(table, "word", _RATES, "fr", "list").select("word", "cefr")
 
 
 @query(gold_oracle(", n AS (SELECT *, row_number() OVER (ORDER BY zipf) AS r, count(*) OVER () AS total FROM gold WHERE zipf IS NOT NULL), s AS (SELECT gold, round_even(sum(count(*)) OVER (ORDER BY gold) / max(total) * (max(total) - 1), 0) + 1 AS spot FROM n GROUP BY gold) SELECT s.gold, n.zipf AS cut FROM s JOIN n ON n.r = s.spot"))
@@ -93,13 +200,6 @@ def quantile_cuts(spark, sf):
     return C.cut_points(gold(spark, sf).where("zipf is not null").select("gold", "zipf"), "zipf", "gold")
 
 
-@query(gold_oracle("SELECT part, count(*) AS n, avg((pred = gold)::INT) AS exact FROM (SELECT *, unnest(CASE WHEN zipf >= 3.5 THEN ['all', 'frequent'] ELSE ['all'] END) AS part FROM gold WHERE pred IS NOT NULL) GROUP BY part"))
-def gold_variants(spark, sf):
-    g = gold(spark, sf).where("pred is not null")
-    part = F.when(F.col("zipf") >= 3.5, F.array(F.lit("all"), F.lit("frequent"))).otherwise(F.array(F.lit("all")))
-    return g.withColumn("part", F.explode(part)).groupBy("part").agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("gold")).cast("int")).alias("exact"))
-
-
 @query(None)
 def ordinal_fit(spark, sf):
     f = gold(spark, sf).where("zipf is not null")

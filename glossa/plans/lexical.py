@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.functions import constants as K
+from glossa.functions import lemma as L
 from glossa.functions import lex, model
+from glossa.functions.indefinite import with_indefinite
 from glossa.operators import adapters as A
 from glossa.operators.adapters import oracle
 from glossa.operators.extract import filter_chain
@@ -179,3 +181,36 @@ def display_levels(spark, sf):
 @query("SELECT page_id, coalesce(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1)), '^www\\.', ''), '') AS host FROM pages")
 def host_norm(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", lex.host(F.col("url")).alias("host"))
+
+
+_WORD = r"^\p{L}[\p{L}''\- ]*\p{L}?$"
+
+
+@query(entry_oracle(rf"SELECT id, CASE WHEN regexp_matches(w, '{_WORD}') AND length(w) BETWEEN 2 AND 40 THEN w END AS lemma FROM (SELECT id, CASE WHEN contains(f, ' ') AND split_part(f, ' ', 1) IN ('der', 'die', 'das', 'le', 'la', 'les', 'l', 'el', 'los', 'las', 'lo', 'i', 'gli', 'un', 'una', 'um', 'uma', 'o', 'os', 'as', 'de', 'het', 'een', 'en', 'ett', 'sich', 'se', 'si') THEN array_to_string(string_split(f, ' ')[2:], ' ') ELSE f END AS w FROM (SELECT id, lower({_FIRST}) AS f FROM entries))"))
+def lemmas(spark, sf):
+    return _entries(spark, sf).select("id", L.lemma(F.col("original")).alias("lemma"))
+
+
+@query(entry_oracle(rf"SELECT id, upper(c) IN ('A1', 'A2', 'B1', 'B2', 'C1', 'C2') AS label, length(c) BETWEEN 2 AND 40 AND regexp_matches(c, '^\p{{L}}[\p{{L}}''\- ()]*$') AS word FROM (SELECT id, trim(regexp_replace(CASE WHEN pos % 3 = 0 THEN '“' || level || '”' ELSE '«' || original || '» ' END, '[‘’“”''\"`«»‹›]', '', 'g')) AS c FROM entries JOIN (SELECT id AS i, level FROM vocabulary) ON i = id)"))
+def cell_tests(spark, sf):
+    e = _entries(spark, sf).join(A.vocabulary(spark, sf).select(F.col("id").alias("i"), "level"), F.col("id") == F.col("i"))
+    cell = L.clean_cell(F.when(F.col("pos") % 3 == 0, F.concat(F.lit("“"), "level", F.lit("”"))).otherwise(F.concat(F.lit("«"), "original", F.lit("» "))))
+    return e.select("id", L.is_label(cell).alias("label"), L.is_lemma(cell).alias("word"))
+
+
+@query(None)
+def indefinite_articles(spark, sf):
+    """Every noun with the article that the text it was found in, or its ending, tells."""
+    v = A.vocabulary(spark, sf).where("word_type = 'noun'").select("id", "lang", "original", "content_id")
+    met = v.join(A.contents(spark, sf).select(F.col("id").alias("c"), "original_text"), F.col("content_id") == F.col("c"))
+    return met.select("id", with_indefinite(F.col("original"), F.array("original"), F.col("original_text"), F.col("lang")).alias("original"))
+
+
+_GENDER = r"""CASE lang WHEN 'en' THEN 'c' WHEN 'fr' THEN CASE WHEN regexp_matches(o, '(tion|sion|ance|ence|ée|ette|esse|aison|ude|té|rie|ie|ure|eur)$') THEN 'f' WHEN regexp_matches(o, '(age|eau|ment|isme|scope|phone|gramme|mètre)$') THEN 'm' END
+ WHEN 'es' THEN CASE WHEN o IN ('día', 'mapa', 'problema', 'sistema', 'tema', 'programa', 'planeta', 'clima', 'idioma', 'poema', 'drama') THEN 'm' WHEN o IN ('mano', 'foto', 'moto', 'radio') THEN 'f' WHEN regexp_matches(o, '(ción|sión|dad|tad|tud|umbre|ez|ía)$') THEN 'f' WHEN o LIKE '%ma' THEN 'm' WHEN o LIKE '%a' THEN 'f' ELSE 'm' END END"""
+
+
+@query(oracle("vocabulary", rf"SELECT id, CASE WHEN g IS NULL THEN o WHEN lang = 'en' THEN CASE WHEN regexp_matches(o, '(?i)^(hour|honest|honor|honour|heir|MBA|FBI|SUV|RSVP)') THEN 'an ' WHEN regexp_matches(o, '(?i)^(university|universal|uniform|unit|utopia|useful|user|eu|euro|once|one)') THEN 'a ' WHEN regexp_matches(o, '^[aeiou]') THEN 'an ' ELSE 'a ' END || o WHEN lang = 'fr' THEN CASE g WHEN 'f' THEN 'une ' ELSE 'un ' END || o ELSE CASE g WHEN 'f' THEN 'una ' ELSE 'un ' END || o END AS original FROM (SELECT id, lang, original AS o, {_GENDER.replace(' o ', ' original ').replace('(o,', '(original,')} AS g FROM vocabulary WHERE word_type = 'noun')"))
+def indefinite_by_ending(spark, sf):
+    v = A.vocabulary(spark, sf).where("word_type = 'noun'")
+    return v.select("id", with_indefinite(F.col("original"), F.array("original"), F.lit(""), F.col("lang")).alias("original"))
