@@ -45,6 +45,12 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it comes in fewer files than there are cores (a file of one row group is read by one task)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, seed: str, share: int = 1000) -> DataFrame:
     """left with the columns of right (unique by on, but for on and weight) that has its value of on, null where none has.
 

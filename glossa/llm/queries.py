@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Row
 
 from glossa.llm import bpe, chat, counts, decontaminate, jaccard, pii, quality, shards, topk, toxicity
-from glossa.llm.common import stored
+from glossa.llm.common import spread, stored
 
 
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op9_byte_bpe(spark, sf_dir):
