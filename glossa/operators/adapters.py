@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it comes in fewer files than there are cores (a file of one row group is read by one task)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     kind = F.element_at(F.array(*map(F.lit, ("text", "image", "link", "manual"))), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -23,10 +29,14 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"))
     return d.select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0)).alias("pos", "w")).select("lang", "doc_id", F.col("pos").cast("long").alias("pos"), F.lower("w").alias("tok"))
 
 
+def word_counts(toks: DataFrame) -> DataFrame:
+    return toks.groupBy("lang", "tok").agg(F.count("*").alias("c"))
+
+
 def zipf(c: Column, total: Column) -> Column:
     """The logarithm of a word's rate per thousand million, to three digits."""
     return F.round(F.log10(c / total * 1e9), 3)
@@ -34,7 +44,7 @@ def zipf(c: Column, total: Column) -> Column:
 
 def zipf_table(toks: DataFrame) -> DataFrame:
     """lang, tok, c, zipf: counts per word and its frequency on the Zipf scale."""
-    counts = with_total(toks.groupBy("lang", "tok").agg(F.count("*").alias("c")), "lang", "c", "total")
+    counts = with_total(word_counts(toks), "lang", "c", "total")
     return counts.select("lang", "tok", "c", zipf(F.col("c"), F.col("total")).alias("zipf"))
 
 

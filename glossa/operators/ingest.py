@@ -116,19 +116,22 @@ def chunk(max_chars: int):
 def garbage_free(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", least_lines: int = 3) -> DataFrame:
     """key, text without lines that hold a garbage token and no known one (known: word); texts of few lines stay whole.
 
-    Tokens meet the word list in one join, lines are judged by aggregation and put together again by their place."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "s"))
+    Whether a line may hold garbage is told on the line itself; only the tokens of such lines meet the word list, and only
+    the places of lines that go come back to the texts."""
     strip = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-    toks = lines.select(key, "line", F.explode(F.split("s", r"\s+")).alias("t")).select(key, "line", F.regexp_replace("t", strip, "").alias("t")).where(F.length("t") >= 4)
-    met = toks.join(known.select(F.col("word").alias("w")).distinct(), F.lower("t") == F.col("w"), "left").withColumn("in_list", F.col("w").isNotNull())
     t, inside = F.col("t"), F.col("in_list")
-    caps = (F.length(t) >= 5) & (t == F.upper(t))
-    bad = t.rlike(r"\p{IsLatin}") & (X.dirty_mix(t) | (~inside & (X.odd_casing(t) | caps | X.odd_sounds(t))))
-    judged = met.groupBy(key, "line").agg((F.max(bad.cast("int")) == 1).alias("bad"), F.bool_or(inside).alias("known")).where("bad and not known").select(key, "line")
-    full = docs.select(key, (F.size(F.filter(F.split(text, "\n"), lambda s: s.rlike(r"\S"))) >= least_lines).alias("judge")).where("judge").select(key)
-    drop = judged.join(full, key, "left_semi").withColumn("gone", F.lit(True))
-    kept = lines.join(drop, [key, "line"], "left").where("gone is null")
-    return kept.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "s"))), lambda x: x["s"]), "\n").alias("text"))
+    odd = lambda t: X.odd_casing(t) | ((F.length(t) >= 5) & (t == F.upper(t))) | X.odd_sounds(t)
+    latin = lambda t: t.rlike(r"\p{IsLatin}")
+    judged = docs.where(F.size(F.filter(F.split(text, "\n"), lambda s: s.rlike(r"\S"))) >= least_lines)
+    lines = judged.select(key, F.posexplode(F.split(text, "\n")).alias("line", "s"))
+    lines = lines.select(key, "line", F.filter(F.transform(F.split("s", r"\s+"), lambda x: F.regexp_replace(x, strip, "")), lambda x: F.length(x) >= 4).alias("ts"))
+    toks = lines.where(F.exists("ts", lambda x: latin(x) & (X.dirty_mix(x) | odd(x)))).select(key, "line", F.explode("ts").alias("t"))
+    met = toks.join(known.select(F.col("word").alias("w")).distinct(), F.lower("t") == F.col("w"), "left").withColumn("in_list", F.col("w").isNotNull())
+    bad = latin(t) & (X.dirty_mix(t) | (~inside & odd(t)))
+    gone = met.groupBy(key, "line").agg((F.max(bad.cast("int")) == 1).alias("bad"), F.bool_or(inside).alias("known")).where("bad and not known")
+    gone = gone.groupBy(F.col(key).alias("_k")).agg(F.collect_set("line").alias("_gone"))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains("_gone", i)), "\n")
+    return docs.select(key, text).join(gone, F.col(key) == F.col("_k"), "left").select(key, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias("text"))
 
 
 def route(url: Column, image: Column, text: Column) -> Column:

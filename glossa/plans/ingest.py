@@ -32,7 +32,7 @@ def text_density(spark, sf):
 
 @query(None)
 def article_clean(spark, sf):
-    return I.article(A.table(spark, sf, "pages")).select("page_id", "article")
+    return I.article(A.spread(A.table(spark, sf, "pages"))).select("page_id", "article")
 
 
 _TRIM = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -91,7 +91,7 @@ def ocr_valid(spark, sf):
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) <> 1 AND (s = '' OR NOT regexp_matches(s, '^[\d\p{P}\p{S}\s]+$'))), chr(10)), '\n{3,}', e'\n\n', 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents""")
 def ocr_lines(spark, sf):
-    return A.table(spark, sf, "documents").select("doc_id", X.clean_lines(F.col("text")).alias("text"))
+    return A.spread(A.table(spark, sf, "documents")).select("doc_id", X.clean_lines(F.col("text")).alias("text"))
 
 
 #: Runs of line ends are put between marks, so what is left of them are single ones.
@@ -114,20 +114,20 @@ def truncate_sentence(spark, sf):
 
 @query(None)
 def chunk_text(spark, sf):
-    return A.table(spark, sf, "documents").select("doc_id", F.posexplode(I.chunk(2500)("text")).alias("ordinal", "chunk"))
+    return A.spread(A.table(spark, sf, "documents")).select("doc_id", F.posexplode(I.chunk(2500)("text")).alias("ordinal", "chunk"))
 
 
 @query(None)
 def garbage_lines(spark, sf):
-    d = A.table(spark, sf, "documents")
-    known = A.zipf_table(A.tokens(spark, sf)).where("c >= 3").select(F.col("tok").alias("word"))
+    d = A.spread(A.table(spark, sf, "documents"))
+    known = A.word_counts(A.tokens(spark, sf)).where("c >= 3").select(F.col("tok").alias("word"))
     return I.garbage_free(d, known)
 
 
 @query(None)
 def ocr_pipeline(spark, sf):
-    known = A.zipf_table(A.tokens(spark, sf)).where("c >= 3").select(F.col("tok").alias("word"))
-    return I.scanned(A.table(spark, sf, "documents"), known)
+    known = A.word_counts(A.tokens(spark, sf)).where("c >= 3").select(F.col("tok").alias("word"))
+    return I.scanned(A.spread(A.table(spark, sf, "documents")), known)
 
 
 @query(None)
@@ -140,7 +140,7 @@ def language_mismatch(spark, sf):
 
 @query(None)
 def lang_detect(spark, sf):
-    d = A.table(spark, sf, "documents")
+    d = A.spread(A.table(spark, sf, "documents"))
     return I.detect_language(d, I.trigram_profiles(d))
 
 

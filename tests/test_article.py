@@ -48,3 +48,10 @@ def test_scanned_texts(spark):
     docs = spark.createDataFrame([(1, "These are readable\nlines of text.\n7\nxX3bq zzzkrtwq\n\nMore readable lines"), (2, "no"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: (r.reason, r.text) for r in ingest.scanned(docs, known).collect()}
     assert got == {1: (None, "These are readable lines of text.\n\nMore readable lines"), 2: ("short", None), 3: (None, None)}
+
+
+def test_garbage_lines(spark):
+    known = spark.createDataFrame([("readable",), ("line",)], "word string")
+    rows = [(1, "plain words here\nxX3bq zzzkrtwq\nreadable xX3bq zzzkrtwq\nABCDEF\n12-ab9c\nABCDEF Line\n\nкириллица bcdfghk"), (2, "xX3bq\nzzzkrtwq"), (3, None), (4, ""), (5, "a\nb\n(zzzkrtwq)\nREADABLE\nab7cd, here")]
+    got = {r.doc_id: r.text for r in ingest.garbage_free(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert got == {1: "plain words here\nreadable xX3bq zzzkrtwq\nABCDEF Line\n", 2: rows[1][1], 3: None, 4: "", 5: "a\nb\nREADABLE"}
