@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.plans import evaluation, ingest, kpi, learning, lexical, qa, reports, store
+from glossa.plans import evaluation, files, ingest, kpi, learning, lexical, qa, reports, store
 from glossa.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "ingest", "kpi", "learning", "lexical", "qa", "reports", "store"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "files", "ingest", "kpi", "learning", "lexical", "qa", "reports", "store"]

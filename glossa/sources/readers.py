@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,18 @@ def merged_dumps(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(DUMP).option("multiLine", True).json(paths).select("ranAt", F.input_file_name().alias("file"), F.explode("results").alias("r")).select("ranAt", "file", "r.*")
 
 
+def checked_dumps(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The dumps as they are (ranAt, results, file); one without a list of results is an error that names its file."""
+    rows = spark.read.schema(DUMP).option("multiLine", True).json(paths).withColumn("file", F.input_file_name())
+    return rows.withColumn("results", F.when(F.col("results").isNotNull(), F.col("results")).otherwise(F.raise_error(F.concat("file", F.lit(" has no results")))))
+
+
+def merged_totals(dumps: DataFrame) -> DataFrame:
+    """One row for several dumps: the first ranAt, the numbers of files, runs, good runs and entries, and the summed times."""
+    r = dumps.select("ranAt", F.size("results").alias("runs"), *(F.aggregate("results", F.lit(0).cast("long"), f).alias(n) for n, f in (("ok", lambda a, x: a + F.coalesce(x["ok"], F.lit(False)).cast("long")), ("entries", lambda a, x: a + F.coalesce(x["vocabCount"], F.lit(0)).cast("long")), ("wall_ms", lambda a, x: a + F.coalesce(x["elapsedMs"], F.lit(0)).cast("long")))))
+    return r.agg(F.min("ranAt").alias("ran_at"), F.count("*").alias("files"), *(F.sum(c).alias(c) for c in ("runs", "ok", "entries", "wall_ms")))
+
+
 def vocab_rows(results: DataFrame) -> DataFrame:
     """One flat row per item of the results, forms joined by bars, ready for a CSV."""
     return results.select("url", "lang", "native", F.explode("vocab").alias("v")).select("url", "lang", "native", "v.original", "v.translation", "v.level", "v.type", F.array_join("v.source_forms", "|").alias("source_forms"))
@@ -62,6 +77,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("error").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir); where none is set and all is one process, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-glossa-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def with_kept_oracle(new: DataFrame, old: DataFrame, source: str = "LLM-oracle") -> DataFrame:
     """A rebuilt gold list that keeps the old rows of one source."""
     return new.unionByName(old.where(F.col("source") == source))

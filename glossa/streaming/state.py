@@ -59,3 +59,55 @@ def review_state(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"card": [key[0]], "box": [box], "correct": [right], "incorrect": [wrong]})
 
     return events.groupBy("card").applyInPandasWithState(fold, "card long, box int, correct long, incorrect long", "box int, correct long, incorrect long", "update", "NoTimeout")
+
+
+def _stateful(events: DataFrame, who: str, decide, state: str, out: str) -> DataFrame:
+    """who, event_id, and what decide(state or None, time in ms) gives for each event of a micro-batch, in time order: (out, new state)."""
+
+    def run(key, frames, kept):
+        import pandas as pd
+
+        now = kept.get[0] if kept.exists else None
+        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        got = []
+        for t in rows["t"].tolist():
+            x, now = decide(now, int(t))
+            got.append(x)
+        kept.update((now,))
+        yield pd.DataFrame({who: [key[0]] * len(rows), "event_id": rows["event_id"].tolist(), out.split()[0]: got})
+
+    kind = events.schema[who].dataType.simpleString()
+    rows = events.select(who, "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    return rows.groupBy(who).applyInPandasWithState(run, f"{who} {kind}, event_id long, {out}", f"kept {state}", "append", "NoTimeout")
+
+
+def limited(events: DataFrame, who: str, limit: int = K.LIMITER_CALLS, span_ms: int = K.LIMITER_MS) -> DataFrame:
+    """The sliding limiter on a stream: who, event_id, accepted; the state of an owner is the times of the accepted calls of the last span."""
+
+    def decide(recent, t):
+        recent = [x for x in recent or [] if t - x <= span_ms]
+        ok = len(recent) < limit
+        return ok, [*recent, t] if ok else recent
+
+    return _stateful(events, who, decide, "array<long>", "accepted boolean")
+
+
+def under_quota(events: DataFrame, who: str, quota: int = K.DAILY_QUOTA) -> DataFrame:
+    """The daily quota on a stream: who, event_id, nth (of its owner's day; 0 beyond the quota). The state is a day and its count."""
+
+    def decide(kept, t):
+        day, n = kept or (t // K.DAY_MS, 0)
+        n = n if day == t // K.DAY_MS else 0
+        return (n + 1 if n < quota else 0), [t // K.DAY_MS, min(n + 1, quota)]
+
+    return _stateful(events, who, decide, "array<long>", "nth long")
+
+
+def cached(events: DataFrame, key: str, ttl_ms: int = K.FALLBACK_TTL_MS) -> DataFrame:
+    """A cache with a lifetime on a stream: key, event_id, hit: the key was stored at most ttl_ms before; a miss stores it anew."""
+
+    def decide(kept, t):
+        hit = bool(kept) and t - kept[0] <= ttl_ms
+        return hit, kept if hit else [t]
+
+    return _stateful(events, key, decide, "array<long>", "hit boolean")

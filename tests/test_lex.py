@@ -40,6 +40,16 @@ def test_answers_and_counts(spark):
     assert [r[0] for r in got] == ["999", "1.2k", "100k", "1.2M", "0", "1k"]
 
 
+def test_answers_with_parts_articles_and_marks(spark):
+    rows = [
+        ("Hund", "der Hund, die Hündin", "tolerant"), ("die Hündin", "der Hund, die Hündin", "tolerant"), ("der Hund, die Hündin", "der Hund, die Hündin", "exact"), ("l'école", "école", "tolerant"), ("école", "l'école", "tolerant"), ("ECOLE", "école", "tolerant"),
+        ("e\u0301cole", "école", "exact"), ("der Ba\u0308r", "Bär", "tolerant"), ("maison", "la maisons", "tolerant"), ("chat", "chats", "none"), ("katze", "die Katzen", "tolerant"), ("abcde", "abxye", "none"), ("  der   Hund ", "Der Hund", "exact"), ("un", "un chat", "none"), ("", "x", "none"),
+    ]
+    got = values(spark, [r[:2] for r in rows], "a string, b string", lex.match_answer(F.col("a"), F.col("b")))
+    assert [(r[:2], g) for r, (g,) in zip(rows, got) if r[2] != g] == []
+    assert store.searched(spark.createDataFrame([("Tion", "x"), ("y", "z")], "original string, translation string"), " ").count() == 2
+
+
 def test_model(spark):
     z, a = F.col("z"), F.col("a")
     got = values(spark, [(7.0, 2.0), (0.0, 18.0), (None, None)], "z double, a double", model.level(model.difficulty(z, a)), model.confidence(z, a))
@@ -54,6 +64,8 @@ def test_text(spark):
     assert [r[0] for r in got] == ["One. Two!", "abc def ghi", "short"]
     assert values(spark, [("a\nb\n\nc  d",)], "t string", text.join_wraps(t)) == [("a b\n\nc d",)]
     assert values(spark, [("x",), ("This is readable text, really.",), ("1234 5678 9012 34567 89 1234",)], "t string", text.ocr_reason(t)) == [("short",), (None,), ("symbols",)]
+    parts = values(spark, [("x" * 50 + ". Élan " + "y" * 60,), ("x" * 50 + ". ārs " + "y" * 60,), ("x" * 50 + "! Ωmega " + "y" * 60,), ("x" * 50 + "? Жук " + "y" * 60,), (None,)], "t string", ingest.chunk(100)("t"))
+    assert [p and len(p[0]) for (p,) in parts] == [51, 100, 51, 51, None]
     long = "Aa bb. " * 100
     chunks = values(spark, [(long,)], "t string", ingest.chunk(200)("t"))[0][0]
     assert all(len(c) <= 200 for c in chunks) and "".join(chunks).replace(" ", "") == long.replace(" ", "")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from glossa.streaming.state import first_seen, minute_counts
+from glossa.operators import store
+from glossa.streaming.state import cached, first_seen, limited, minute_counts, sliding_limiter, under_quota
 
 
 def run(spark, tmp_path, events, make, mode, name):
@@ -22,3 +23,31 @@ def test_first_seen_keeps_one_row_per_key(spark, tmp_path):
     events = spark.createDataFrame([(i, i % 5) for i in range(40)], "event_id long, k long").withColumn("ts", F.timestamp_seconds("event_id"))
     got = run(spark, tmp_path, events, lambda s: first_seen(s, "k"), "append", "firsts")
     assert sorted(r.k for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
+def clock(spark, rows):
+    return spark.createDataFrame(rows, "user_id long, event_id long, ms long").selectExpr("user_id", "event_id", "timestamp_millis(ms) as ts")
+
+
+def test_limiter_counts_calls_that_are_a_minute_old(spark):
+    calls = clock(spark, [(1, i, i) for i in range(10)] + [(1, 10, 60_000), (1, 11, 60_001), (1, 12, 60_001), (2, 13, 5)])
+    got = {r.event_id: r.accepted for r in sliding_limiter(calls, "user_id").collect()}
+    assert got == {i: True for i in range(10)} | {10: False, 11: True, 12: False, 13: True}
+
+
+def test_streamed_limits_equal_batches(spark, tmp_path):
+    events = clock(spark, [(i % 3, i, i * 2500 + (i % 7) * 900) for i in range(150)]).coalesce(1)
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    got = run(spark, tmp_path / "a", events, lambda s: limited(s, "user_id"), "append", "limited")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sliding_limiter(events, "user_id").collect()))
+    days = clock(spark, [(i % 2, i, i * 9_000_000) for i in range(60)]).coalesce(1)
+    got = run(spark, tmp_path / "b", days, lambda s: under_quota(s, "user_id"), "append", "quota")
+    want = store.within_quota(days, "user_id", F.col("ts"), ["ts", "event_id"])
+    assert sorted((r.event_id, r.nth) for r in got.where("nth > 0").collect()) == sorted((r.event_id, r.nth) for r in want.collect())
+
+
+def test_cache_with_a_lifetime(spark, tmp_path):
+    day = 86_400_000
+    events = clock(spark, [(1, 0, 0), (1, 1, 30 * day), (1, 2, 30 * day + 1), (1, 3, 31 * day), (2, 4, 31 * day)]).coalesce(1)
+    got = run(spark, tmp_path, events, lambda s: cached(s, "user_id"), "append", "cached")
+    assert {r.event_id: r.hit for r in got.collect()} == {0: False, 1: True, 2: False, 3: True, 4: False}
