@@ -82,22 +82,32 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of an extraction: documents by native language other than their own, with the words each run kept."""
-    natives = spark.createDataFrame([(i, n) for i, n in enumerate(K.LANGUAGES)], "k int, native string")
+    natives = _natives(spark)
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     return d.join(F.broadcast(natives), F.col("lang") != F.col("native")).select("*", ((F.col("doc_id") + F.col("k")) % 13 != 0).alias("ok"), (F.col("n_chars") + 17 * F.col("k")).alias("elapsed_ms"), F.least("n_chars", F.lit(2000)).alias("processed_len"))
 
 
 def sweep_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lang, doc_id, native, processed_len, tok, n: how often a run kept a word. Words are counted before they meet the natives."""
-    n = tokens(spark, sf_dir).groupBy("doc_id", "tok", (F.col("pos") % 3).alias("r")).agg(F.count("*").alias("c"))
-    met = sweep(spark, sf_dir).where("ok").join(n, "doc_id").where((F.col("r") + F.col("k")) % 3 != 0)
-    return met.groupBy("lang", "doc_id", "native", "processed_len", "tok").agg(F.sum("c").alias("n"))
+    """lang, doc_id, native, processed_len, tok, n: how often a run kept a word.
+
+    Texts are dealt by document once, so words are counted, and what follows is grouped by document, where the text is. A word is
+    counted by the remainders of its places, from which each native's count is a sum."""
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    w = d.select("lang", "doc_id", "n_chars", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0)).alias("pos", "w"))
+    c = w.groupBy("doc_id", "lang", "n_chars", F.lower("w").alias("tok")).agg(*(F.count_if(F.col("pos") % 3 == r).alias(f"c{r}") for r in range(3)))
+    met = c.join(F.broadcast(_natives(spark)), (F.col("lang") != F.col("native")) & ((F.col("doc_id") + F.col("k")) % 13 != 0))
+    n = sum((F.when((r + F.col("k")) % 3 != 0, F.col(f"c{r}")).otherwise(0) for r in range(3)), F.lit(0))
+    return met.select("lang", "doc_id", "native", F.least("n_chars", F.lit(2000)).alias("processed_len"), "tok", n.cast("long").alias("n")).where("n > 0")
+
+
+def _natives(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, n) for i, n in enumerate(K.LANGUAGES)], "k int, native string")
 
 
 def sweep_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, native, tok: the words that any run of a language for a native kept. What decides that is the remainders of places
     and documents, so words meet the natives once for each of these."""
-    natives = spark.createDataFrame([(i, n) for i, n in enumerate(K.LANGUAGES)], "k int, native string")
+    natives = _natives(spark)
     some = tokens(spark, sf_dir).select("lang", "tok", (F.col("pos") % 3).alias("r"), (F.col("doc_id") % 13).alias("q")).distinct()
     met = some.join(F.broadcast(natives), F.col("lang") != F.col("native")).where((F.col("q") + F.col("k")) % 13 != 0).where((F.col("r") + F.col("k")) % 3 != 0)
     return met.select("lang", "native", "tok").distinct()
