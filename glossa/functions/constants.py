@@ -26,3 +26,5 @@ FALLBACK_TTL_MS, LIMITER_CALLS, LIMITER_MS, PER_MINUTE = 30 * DAY_MS, 10, 60_000
 NATIVE_NAMES = {"en": "English", "de": "Deutsch", "fr": "Français", "es": "Español", "it": "Italiano", "pt": "Português", "nl": "Nederlands", "sv": "Svenska", "no": "Norsk", "da": "Dansk", "pl": "Polski", "cs": "Čeština"}
 ENGLISH_NAMES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "sv": "Swedish", "no": "Norwegian", "da": "Danish", "pl": "Polish", "cs": "Czech"}
 COUNTRIES = {"de": "DE", "en": "GB", "fr": "FR", "es": "ES", "it": "IT", "pt": "PT", "nl": "NL", "sv": "SE", "no": "NO", "da": "DK", "pl": "PL", "cs": "CZ"}
+#: Families of the languages.
+FAMILIES = {"germanic": ("en", "de", "nl", "sv", "no", "da"), "romance": ("fr", "es", "it", "pt"), "slavic": ("pl", "cs")}

@@ -73,6 +73,11 @@ def is_multi_word_noun(original: Column, kind: Column) -> Column:
     return F.coalesce(kind.isin("noun", "other") & leak, F.lit(False))
 
 
+def is_usable_word(tok: Column) -> Column:
+    """A letter and 1 to 29 letters, hyphens or apostrophes."""
+    return F.coalesce(tok.rlike(r"^\p{L}[\p{L}'-]{1,29}$"), F.lit(False))
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents."""
     return F.translate(F.lower(c), K.ACCENTED, K.PLAIN)

@@ -205,3 +205,14 @@ def ordinal_fit(spark, sf):
     f = gold(spark, sf).where("zipf is not null")
     z, a = model.zipf_norm(F.col("zipf")), model.aoa_norm(A.aoa(F.col("tok")), F.col("zipf"))
     return C.fitted(f.select("lang", "gold", z.alias("zipf_norm"), a.alias("aoa_norm")), "lang", ["zipf_norm", "aoa_norm"], "gold")
+
+
+@query(None)
+def family_fit(spark, sf):
+    """The same fit for each family of languages, and the spread of its weights over the families."""
+    f = gold(spark, sf).where("zipf is not null")
+    z, a = model.zipf_norm(F.col("zipf")), model.aoa_norm(A.aoa(F.col("tok")), F.col("zipf"))
+    family = F.coalesce(*(F.when(F.col("lang").isin(*langs), name) for name, langs in K.FAMILIES.items()))
+    fits = C.fitted(f.select(family.alias("family"), "gold", z.alias("zipf_norm"), a.alias("aoa_norm")).where("family is not null"), "family", ["zipf_norm", "aoa_norm"], "gold")
+    spread = fits.groupBy("name").agg(F.avg("value").alias("value"), F.stddev_pop("value").alias("spread"), F.max("value") - F.min("value")).toDF("name", "value", "spread", "range")
+    return fits.select("group", "name", "value", F.lit(None).cast("double").alias("spread"), F.lit(None).cast("double").alias("range")).unionAll(spread.select(F.lit("all").alias("group"), "name", "value", "spread", "range"))

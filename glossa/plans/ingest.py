@@ -105,13 +105,22 @@ def join_wraps(spark, sf):
     return d.select("doc_id", X.join_wraps(F.col("text")).alias("text"))
 
 
-@query(rf"""SELECT doc_id, CASE WHEN length(text) <= {K.BASIC_LIMIT} THEN text WHEN e > 0 THEN regexp_replace(text[1:e + CASE WHEN regexp_matches(text[e + 1], '^["''»)\]]$') THEN 1 ELSE 0 END], '\s+$', '')
- WHEN regexp_matches(text[{K.BASIC_LIMIT + 1}:], '\s') THEN regexp_replace(text[1:{K.BASIC_LIMIT} + length(regexp_extract(text[{K.BASIC_LIMIT + 1}:], '^(\S*)', 1))], '\s+$', '') ELSE text END AS text
-FROM (SELECT doc_id, text, length(regexp_extract(text[1:{K.BASIC_LIMIT}], '^(.*[.!?…])', 1, 's')) AS e FROM documents)""")
+def _cut(limit: int) -> str:
+    return rf"""SELECT doc_id, CASE WHEN length(text) <= {limit} THEN text WHEN e > 0 THEN regexp_replace(text[1:e + CASE WHEN regexp_matches(text[e + 1], '^["''»)\]]$') THEN 1 ELSE 0 END], '\s+$', '')
+ WHEN regexp_matches(text[{limit + 1}:], '\s') THEN regexp_replace(text[1:{limit} + length(regexp_extract(text[{limit + 1}:], '^(\S*)', 1))], '\s+$', '') ELSE text END AS text
+FROM (SELECT doc_id, text, length(regexp_extract(text[1:{limit}], '^(.*[.!?…])', 1, 's')) AS e FROM documents)"""
+
+
+@query(_cut(K.BASIC_LIMIT))
 def truncate_sentence(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", X.truncated(F.col("text"), K.BASIC_LIMIT).alias("text"))
 
 
+@query(_cut(K.PRO_LIMIT))
+def truncate_pro(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", X.truncated(F.col("text"), K.PRO_LIMIT).alias("text"))
+
+
 @query(None)
 def chunk_text(spark, sf):
     return A.spread(A.table(spark, sf, "documents")).select("doc_id", F.posexplode(I.chunk(2500)("text")).alias("ordinal", "chunk"))

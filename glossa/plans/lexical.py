@@ -44,10 +44,18 @@ def oov_cross_corpus(spark, sf):
     return t.where("doc_id % 2 = 1").select("lang", "tok").distinct().join(t.where("doc_id % 2 = 0").select("tok").distinct(), "tok", "left_anti").select("lang", "tok")
 
 
+@query(oracle("tokens", "SELECT lang, tok, tok IN (SELECT tok FROM tokens WHERE doc_id % 2 = 0) AS known FROM (SELECT DISTINCT lang, tok FROM tokens WHERE doc_id % 2 = 1)"))
+def known_anywhere(spark, sf):
+    """Words of odd documents, and whether the list of any language (of even documents) has them."""
+    t = A.tokens(spark, sf)
+    lists = t.where("doc_id % 2 = 0").select(F.col("tok").alias("w")).distinct()
+    return t.where("doc_id % 2 = 1").select("lang", "tok").distinct().join(lists, F.col("tok") == F.col("w"), "left").select("lang", "tok", F.col("w").isNotNull().alias("known"))
+
+
 @query(oracle("freq", r"SELECT lang, tok, zipf, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY zipf DESC, tok) AS r FROM freq WHERE regexp_matches(tok, '^\p{L}[\p{L}''-]{1,29}$')) WHERE r <= 50"))
 def top_words_per_lang(spark, sf):
     w = Window.partitionBy("lang").orderBy(F.desc("zipf"), "tok")
-    f = A.zipf_table(A.tokens(spark, sf)).where(F.col("tok").rlike(r"^\p{L}[\p{L}'-]{1,29}$"))
+    f = A.zipf_table(A.tokens(spark, sf)).where(lex.is_usable_word(F.col("tok")))
     return f.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 50").select("lang", "tok", "zipf", "place")
 
 

@@ -121,3 +121,14 @@ def zipf_anomalies(spark, sf):
     e = runs(spark, sf).withColumn("key", lex.lookup_key(F.col("original"))).join(z, (F.col("lang") == F.col("l")) & (F.col("key") == F.col("k")), "left")
     zipf = F.coalesce("z", F.lit(0.0))
     return e.select("id", "level", zipf.alias("zipf"), X.zipf_anomaly(zipf, F.col("level"), F.col("word_type")).alias("anomaly")).where("anomaly is not null")
+
+
+_KINDS = ("noun", "verb", "adjective", "phrase", "other")
+
+
+@query(run_oracle("SELECT learn, count(*) AS n, " + ", ".join([*(f"count(*) FILTER (word_type = '{k}') AS {k}" for k in _KINDS), *(f"count(*) FILTER (level = '{x}') AS {x}" for x in K.LEVELS), *(f"count(*) FILTER ({_COUNTS[h]}) AS {h}" for h in ("h1", "h15", "h17"))]) + f" FROM {_WIDE} GROUP BY learn"))
+def report_pivot(spark, sf):
+    """By language: entries by type and by level, and those with the flags that a report gives by language."""
+    f = X.flags()
+    counts = [*(F.count_if(F.col("word_type") == k).alias(k) for k in _KINDS), *(F.count_if(F.col("level") == x).alias(x) for x in K.LEVELS), *(F.count_if(f[h]).alias(h) for h in ("h1", "h15", "h17"))]
+    return runs(spark, sf).groupBy("learn").agg(F.count("*").alias("n"), *counts)
