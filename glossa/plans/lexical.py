@@ -206,14 +206,6 @@ def cell_tests(spark, sf):
     return e.select("id", L.is_label(cell).alias("label"), L.is_lemma(cell).alias("word"))
 
 
-@query(None)
-def indefinite_articles(spark, sf):
-    """Every noun with the article that the text it was found in, or its ending, tells."""
-    v = A.vocabulary(spark, sf).where("word_type = 'noun'").select("id", "lang", "original", "content_id")
-    met = v.join(A.contents(spark, sf).select(F.col("id").alias("c"), "original_text"), F.col("content_id") == F.col("c"))
-    return met.select("id", with_indefinite(F.col("original"), F.array("original"), F.col("original_text"), F.col("lang")).alias("original"))
-
-
 _GENDER = r"""CASE lang WHEN 'en' THEN 'c' WHEN 'fr' THEN CASE WHEN regexp_matches(o, '(tion|sion|ance|ence|ée|ette|esse|aison|ude|té|rie|ie|ure|eur)$') THEN 'f' WHEN regexp_matches(o, '(age|eau|ment|isme|scope|phone|gramme|mètre)$') THEN 'm' END
  WHEN 'es' THEN CASE WHEN o IN ('día', 'mapa', 'problema', 'sistema', 'tema', 'programa', 'planeta', 'clima', 'idioma', 'poema', 'drama') THEN 'm' WHEN o IN ('mano', 'foto', 'moto', 'radio') THEN 'f' WHEN regexp_matches(o, '(ción|sión|dad|tad|tud|umbre|ez|ía)$') THEN 'f' WHEN o LIKE '%ma' THEN 'm' WHEN o LIKE '%a' THEN 'f' ELSE 'm' END END"""
 
@@ -222,3 +214,17 @@ _GENDER = r"""CASE lang WHEN 'en' THEN 'c' WHEN 'fr' THEN CASE WHEN regexp_match
 def indefinite_by_ending(spark, sf):
     v = A.vocabulary(spark, sf).where("word_type = 'noun'")
     return v.select("id", with_indefinite(F.col("original"), F.array("original"), F.lit(""), F.col("lang")).alias("original"))
+
+
+#: Articles before a noun in its text, with every separator doubled so that one match leaves the next one's.
+_SIGNALS = {"en": ("the|a|an", "'c'"), "de": ("der|die|das|den|dem|des|einen|einem|einer|eines|eine|ein", "CASE WHEN x IN ('der', 'den', 'dem', 'des', 'ein', 'einen', 'einem', 'eines') THEN 'm' WHEN x = 'das' THEN 'n' ELSE 'f' END"), "fr": ("les|le|la|l''|une|un|du|des|aux|au", "CASE WHEN x IN ('le', 'un', 'du', 'au') THEN 'm' WHEN x IN ('la', 'une') THEN 'f' END"), "es": ("unos|unas|una|un|los|las|el|la|lo|al|del", "CASE WHEN x IN ('el', 'los', 'lo', 'al', 'del', 'un', 'unos') THEN 'm' ELSE 'f' END")}
+_TOLD = "CASE lang " + " ".join(f"WHEN '{k}' THEN list_transform(regexp_extract_all(twice, '(?i)(?:^|[^\\p{{L}}])({alt})[''\\s]+(?:' || o || ')(?:$|[^\\p{{L}}])', 1), lambda t: list_transform([lower(t)], lambda x: {case})[1])" for k, (alt, case) in _SIGNALS.items()) + " END"
+_MOST = "CASE WHEN len(s) = 0 THEN NULL ELSE list_extract(list_sort(list_transform(['m', 'f', 'n', 'c'], lambda g: (-len(list_filter(s, lambda y: y = g)), list_position(['m', 'f', 'n', 'c'], g), g))), 1)[3] END"
+
+
+@query(oracle("vocabulary", rf"SELECT id, CASE WHEN g IS NULL THEN o WHEN lang = 'en' THEN CASE WHEN regexp_matches(o, '(?i)^(hour|honest|honor|honour|heir|MBA|FBI|SUV|RSVP)') THEN 'an ' WHEN regexp_matches(o, '(?i)^(university|universal|uniform|unit|utopia|useful|user|eu|euro|once|one)') THEN 'a ' WHEN regexp_matches(o, '^[aeiou]') THEN 'an ' ELSE 'a ' END || o ELSE CASE lang WHEN 'fr' THEN CASE g WHEN 'f' THEN 'une ' ELSE 'un ' END WHEN 'de' THEN CASE g WHEN 'f' THEN 'eine ' ELSE 'ein ' END ELSE CASE g WHEN 'f' THEN 'una ' ELSE 'un ' END END || o END AS original FROM (SELECT id, lang, o, coalesce({_MOST}, {_GENDER}) AS g FROM (SELECT id, lang, o, list_filter({_TOLD}, lambda x: x IS NOT NULL)[1:5] AS s FROM (SELECT v.id, v.lang, v.original AS o, regexp_replace(d.text, '([^\p{{L}}])', '\1\1', 'g') AS twice FROM vocabulary v JOIN documents d ON d.doc_id = v.content_id WHERE word_type = 'noun')))"))
+def indefinite_articles(spark, sf):
+    """Every noun with the article that the text it was found in, or its ending, tells."""
+    v = A.vocabulary(spark, sf).where("word_type = 'noun'").select("id", "lang", "original", "content_id")
+    met = v.join(A.contents(spark, sf).select(F.col("id").alias("c"), "original_text"), F.col("content_id") == F.col("c"))
+    return met.select("id", with_indefinite(F.col("original"), F.array("original"), F.col("original_text"), F.col("lang")).alias("original"))
