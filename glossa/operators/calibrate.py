@@ -7,21 +7,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.ranking import running
+from glossa.operators.ranking import FEW_GROUPS, letters, running, with_total
 
 
-def split(df: DataFrame, strata: list[str], order: list[Column], share: float = 0.8) -> DataFrame:
-    """df with train: in each stratum the first max(1, round half even of share * n) rows by order."""
-    w = Window.partitionBy(*strata)
-    rows = df.withColumns({"_r": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
-    return rows.withColumn("train", F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share))).drop("_r", "_n")
+def split(df: DataFrame, strata: list[str], order: list[Column], blocks: list[Column], share: float = 0.8) -> DataFrame:
+    """df with train: in each stratum the first max(1, round half even of share * n) rows by order (blocks: as for running)."""
+    rows = running(with_total(df.withColumn("_one", F.lit(1)), strata, "_one", "_n"), strata, blocks, order, "_r")
+    return rows.withColumn("train", F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share))).drop("_one", "_r", "_n")
 
 
 def downsampled(df: DataFrame, group: str, level: str, order: str) -> DataFrame:
-    """As many rows of each level as the rarest level of the group has, the first by order."""
-    n = df.groupBy(group, level).count().groupBy(group).agg(F.min("count").alias("_least"))
-    w = Window.partitionBy(group, level).orderBy(order)
-    return df.join(n, group).withColumn("_r", F.row_number().over(w)).where("_r <= _least").drop("_r", "_least")
+    """As many rows of each level as the rarest level of the group has, the first by order (a text)."""
+    n = df.groupBy(group, level).count().groupBy(F.col(group).alias("_g")).agg(F.min("count").alias("_least"))
+    if n.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        n = F.broadcast(n)
+    ranked = running(df, [group, level], [letters(F.col(order))], [F.col(order)], "_r")
+    return ranked.join(n, F.col(group).eqNullSafe(F.col("_g"))).where("_r <= _least").drop("_r", "_least", "_g")
 
 
 def cut_points(df: DataFrame, value: str, level: str) -> DataFrame:

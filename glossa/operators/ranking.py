@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 FEW_GROUPS = 10_000
 
 
-def with_total(counts: DataFrame, group: str, value: str, name: str) -> DataFrame:
+def with_total(counts: DataFrame, group: str | list[str], value: str, name: str) -> DataFrame:
     """counts with the sum of value over each group. The sums are aggregated, so no group is gathered, and meet the counts in a
     join: a broadcast where a count of the groups says that they are few, else one on the group."""
-    totals = counts.groupBy(F.col(group).alias("_g")).agg(F.sum(value).alias(name))
-    if counts.select(group).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+    group = [group] if isinstance(group, str) else group
+    totals = counts.groupBy(*(F.col(c).alias(f"_g_{c}") for c in group)).agg(F.sum(value).alias(name))
+    if counts.select(*group).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
         totals = F.broadcast(totals)
-    return counts.join(totals, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    return counts.join(totals, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]).drop(*(f"_g_{c}" for c in group))
+
+
+def tiles(df: DataFrame, group: list[str], blocks: list[Column], order: list[Column], k: int, name: str) -> DataFrame:
+    """df with name 1..k: its group's rows by order in k parts, the first ones one row longer where k doesn't divide them."""
+    ranked = running(with_total(df.withColumn("_one", F.lit(1)), group, "_one", "_n"), group, blocks, order, "_place")
+    size, more, at = F.floor(F.col("_n") / k), F.col("_n") % k, F.col("_place")
+    long = more * (size + 1)
+    tile = F.when(at <= long, F.ceil(at / (size + 1))).otherwise(more + F.ceil((at - long) / F.greatest(size, F.lit(1))))
+    return ranked.withColumn(name, tile.cast("long")).drop("_one", "_n", "_place")
 
 
 def running(df: DataFrame, group: list[str], blocks: list[Column], order: list[Column], name: str, value: str | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.functions import constants as K
@@ -12,6 +11,7 @@ from glossa.operators import calibrate as C
 from glossa.operators import kpi as P
 from glossa.operators import predict as R
 from glossa.operators.adapters import oracle
+from glossa.operators.ranking import letters, tiles
 from glossa.plans.base import query
 from glossa.sources import goldlists as G
 
@@ -19,8 +19,7 @@ from glossa.sources import goldlists as G
 def gold(spark, sf):
     """lang, tok, gold 1..6, pred 1..6 (null if the other half of the documents lacks the word), zipf: words of even documents, levels by frequency rank."""
     t = A.tokens(spark, sf)
-    w = Window.partitionBy("lang").orderBy(F.desc("c"), "tok")
-    g = t.where("doc_id % 2 = 0").groupBy("lang", "tok").agg(F.count("*").alias("c")).withColumn("gold", F.ntile(6).over(w).cast("long"))
+    g = tiles(A.word_counts(t.where("doc_id % 2 = 0")), ["lang"], [-F.col("c"), letters(F.col("tok"))], [F.desc("c"), F.col("tok")], 6, "gold")
     f = A.zipf_table(t.where("doc_id % 2 = 1")).select("lang", "tok", "zipf")
     eta = model.difficulty(F.col("zipf"), A.aoa(F.col("tok")))
     rank = F.array_position(F.array(*map(F.lit, K.LEVELS)), model.level(eta))
@@ -70,7 +69,7 @@ def balanced_downsample(spark, sf):
 
 @query(gold_oracle("SELECT lang, tok, gold, r <= greatest(1, round_even(0.8 * n, 0)) AS train FROM (SELECT *, row_number() OVER (PARTITION BY lang, gold ORDER BY reverse(tok), tok) AS r, count(*) OVER (PARTITION BY lang, gold) AS n FROM gold)"))
 def strat_split(spark, sf):
-    return C.split(gold(spark, sf), ["lang", "gold"], [F.reverse("tok"), F.col("tok")]).select("lang", "tok", "gold", "train")
+    return C.split(gold(spark, sf), ["lang", "gold"], [F.reverse("tok"), F.col("tok")], [letters(F.reverse("tok"))]).select("lang", "tok", "gold", "train")
 
 
 @query(gold_oracle("SELECT CASE WHEN p AND l THEN 'both right' WHEN p THEN 'model only' WHEN l THEN 'other only' ELSE 'both wrong' END AS verdict, count(*) AS n FROM (SELECT pred = gold AS p, 1 + (length(tok) + gold) % 6 = gold AS l FROM gold WHERE pred IS NOT NULL) GROUP BY 1"))
