@@ -156,10 +156,11 @@ def apostrophes(spark, sf):
     return _entries(spark, sf).select("id", lex.apostrophes(F.col("original")).alias("original"))
 
 
-@query(oracle("vocabulary", "SELECT id, CASE WHEN word_type = 'noun' THEN 'die ' || upper(original[1]) || original[2:] || ', ein ' || upper(translation[1]) || translation[2:] ELSE 'die ' || original || ', ein ' || translation END AS german FROM vocabulary WHERE lang <> 'de'"))
+@query(oracle("vocabulary", "SELECT id, CASE WHEN word_type = 'noun' THEN 'die ' || upper(o[1]) || o[2:] || ', ein ' || upper(t[1]) || t[2:] ELSE 'die ' || o || ', ein ' || t END AS german FROM (SELECT *, replace(original, 'ß', 'ss') AS o, replace(translation, 'ß', 'ss') AS t FROM vocabulary WHERE lang <> 'de')"))
 def german_caps(spark, sf):
     v = A.vocabulary(spark, sf).where("lang <> 'de'")
-    return v.select("id", lex.capitalise_german(F.concat(F.lit("die "), "original", F.lit(", ein "), "translation"), F.col("word_type")).alias("german"))
+    o, t = (F.replace(c, F.lit("ß"), F.lit("ss")) for c in ("original", "translation"))
+    return v.select("id", lex.capitalise_german(F.concat(F.lit("die "), o, F.lit(", ein "), t), F.col("word_type")).alias("german"))
 
 
 @query(None)
