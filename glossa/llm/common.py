@@ -60,7 +60,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, weight: str, total:
     hot = F.broadcast(right.where(F.col(weight) > bound).select(F.col(on).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values)))
     cold = right.where(F.col(weight) <= bound).select(F.col(on).alias("_cold"), F.lit(True).alias("_is"), *(F.col(c).alias(f"_cold_{c}") for c in values))
     met = left.join(hot, F.col(on) == F.col("_hot"), "left").withColumn("_asks", F.col(on).isNotNull() & F.col("_hot").isNull())
-    met = met.withColumn("_by", F.when(F.col("_asks"), F.col(on)).otherwise(F.xxhash64(seed)))
+    other = F.xxhash64(seed).cast("string") if left.schema[on].dataType.typeName() == "string" else F.xxhash64(seed)
+    met = met.withColumn("_by", F.when(F.col("_asks"), F.col(on)).otherwise(other))
     met = met.join(cold, (F.col("_by") == F.col("_cold")) & (F.col("_asks") == F.col("_is")), "left")
     return met.select(*left.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values))
 

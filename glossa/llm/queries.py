@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Row
 
-from glossa.llm import bpe, chat, counts, decontaminate, jaccard, pii, quality, shards, topk, toxicity
+from glossa.llm import bpe, chat, counts, covertree, decontaminate, jaccard, lexical, pii, quality, shards, topk, toxicity, whiten
 from glossa.llm.common import spread, stored
 
 
@@ -56,7 +56,19 @@ def op6_quality(spark, sf_dir):
     return quality.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_chat_formatting": op5_chat_formatting, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_token_counts": op8_token_counts, "op9_byte_bpe": op9_byte_bpe, "op10_sharding": op10_sharding}
+def op11_cover_tree(spark, sf_dir):
+    return covertree.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_exact_top_k": op2_exact_top_k, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_chat_formatting": op5_chat_formatting, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op8_token_counts": op8_token_counts, "op9_byte_bpe": op9_byte_bpe, "op10_sharding": op10_sharding, "op11_cover_tree": op11_cover_tree, "op12_lexical_search": op12_lexical_search, "op13_whitening": op13_whitening}
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {
@@ -94,4 +106,22 @@ hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(ra
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+    "op11_cover_tree": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x), c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id""",
+    "op12_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT r, doc_id, unnest(w) AS t, len(w) AS n FROM d),
+f AS (SELECT r, doc_id, n, t, count(*) AS tf FROM u GROUP BY ALL),
+g AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+w AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, g GROUP BY t, nd),
+s AS (SELECT item_id, r, doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))))::BIGINT AS score
+  FROM b JOIN f ON f.t = b.t JOIN w ON w.t = b.t, g GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50""",
 }
