@@ -6,16 +6,26 @@ a shuffle, so no key is hot. Every change commits a manifest. Its table is writt
 file named by the writer's token is renamed to the number that follows the version the change was planned on. A rename
 moves the folder at once or, where another writer has taken the number, leaves that writer's token in its place: then the
 change is planned anew on the newer version, and a merge whose runs are gone is dropped. So a version is whole or absent, and
-no two changes build on the same one. Readers follow the highest version, so they see the old or the new files, never both;
-what a failed writer left is in no manifest. Superseded files go when no kept version names them.
+no two changes build on the same one. Folders of commits stay for good, also when their version's files are gone, so a number is
+never free again and a writer that was late by any time finds it taken. Readers follow the highest version, so they see the old
+or the new files, never both.
+
+vacuum() deletes what no kept version names. The newest versions are kept, and for a stated time also each version that another has
+followed; files that no version names yet, of writers still at work or dead ones, are left alone for that time too. A writer whose version's manifest
+was deleted meanwhile plans anew; readers must finish within the time, and writers too, whose files are else gone (an error, never a version without them).
+
+The folder must lie in a file system with atomic renames (HDFS, or a local or mounted disk that all share); object stores copy
+on rename and do not qualify.
 
 Cases: all columns, nulls, very long texts and repeated rows are kept as they are, whatever a column's name; an arrival
 without rows makes no run; a store without runs reads as an empty table; a folder of a commit without a token (none is made
-by a writer that dies, for renames are atomic) is no version."""
+by a writer that dies, for renames are atomic) is no version. The driver holds a row per run, of which there are fan-in times
+the number of tiers; append(by=) makes a run of each value of its column, so that column must have few."""
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
 from collections.abc import Callable
 
@@ -43,15 +53,28 @@ class ShardStore:
         """The token of the writer that committed a version."""
         return next((n for n in self._names(f"commits/{version}", True) if not n.startswith(".")), None)
 
+    def _written(self) -> dict[int, list[str]]:
+        """Tokens of the manifests that are there, by the version they were written for; committed or not."""
+        out: dict[int, list[str]] = {}
+        for version, _, token in (name.partition("-") for name in self._names("manifests", False)):
+            out.setdefault(int(version), []).append(token)
+        return out
+
     def versions(self) -> list[int]:
-        return sorted(v for v in map(int, filter(str.isdigit, self._names("commits", False))) if self._token(v))
+        """Committed versions whose manifests are kept."""
+        return sorted(v for v, tokens in self._written().items() if self._token(v) in tokens)
+
+    def newest(self) -> int:
+        """The highest committed version, 0 if there is none."""
+        written = self._written()
+        return next((v for v in sorted(written, reverse=True) if self._token(v) in written[v]), 0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """One row per file of a version (the newest if none is given)."""
-        version = version or (self.versions() or [0])[-1]
+        version = self.newest() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{self._token(version)}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{version}-{self._token(version)}")
 
     def _claim(self, version: int, token: str) -> bool:
         """Makes token the writer of version, if it has none."""
@@ -70,14 +93,22 @@ class ShardStore:
     def _commit(self, change: Callable[[DataFrame], DataFrame | None]) -> int | None:
         """Commits change(newest manifest) as the version after it; plans anew when another writer was faster. None: nothing to commit."""
         while True:
-            planned, token = (self.versions() or [0])[-1], uuid.uuid4().hex
-            files = change(self.manifest(planned))
-            if files is None:
-                return None
-            files.coalesce(1 + files.count() // 1_000_000).write.parquet(f"{self.root}/manifests/{token}")
+            planned, token = self.newest(), uuid.uuid4().hex
+            path = f"{self.root}/manifests/{planned + 1}-{token}"
+            try:
+                files = change(self.manifest(planned))
+                if files is None:
+                    return None
+                files.coalesce(1 + files.count() // 1_000_000).write.parquet(path)
+            except Exception:
+                if not planned or planned in self.versions():
+                    raise
+                continue  # the manifest was vacuumed while the change was planned on it
+            if not self._fs.exists(self._path(path)):
+                raise RuntimeError("the change took longer than vacuum() leaves the files of unfinished ones")
             if self._claim(planned + 1, token):
                 return planned + 1
-            self._fs.delete(self._path(f"{self.root}/manifests/{token}"), True)
+            self._fs.delete(self._path(path), True)
 
     def _tier(self, size: int) -> int:
         return 0 if size <= self.base else math.ceil(math.log(size / self.base, self.fan_in) - 1e-9)
@@ -115,7 +146,7 @@ class ShardStore:
                 tiers.setdefault(r[1], []).append(r)
             full = min((t for t, rs in tiers.items() if len(rs) >= self.fan_in), default=None)
             if full is None:
-                return (self.versions() or [0])[-1]
+                return self.newest()
             self.merge(tiers[full], full, schema)
 
     def merge(self, runs: list[tuple], tier: int, schema) -> int | None:
@@ -136,16 +167,27 @@ class ShardStore:
             self._fs.delete(self._path(folder), True)
         return version
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes the runs that only versions before the last keep ones name, and those versions' manifests and commits."""
+    def _age(self, path: str) -> float:
+        """Seconds since a file or folder was last changed, 0 if it is gone."""
+        at = self._path(f"{self.root}/{path}")
+        return time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 if self._fs.exists(at) else 0.0
+
+    def vacuum(self, keep: int = 1, seconds: float = 86_400) -> None:
+        """Deletes the manifests of versions that are neither among the last keep ones nor were followed by another less than seconds ago,
+        and files and manifests of at least that age that no kept version names. Commits stay."""
         have = self.versions()
-        old, kept = have[:-keep], have[-keep:]
-        names = lambda vs: {r[0] for v in vs for r in self.manifest(v).select("run").distinct().collect()}
-        for run in names(old) - names(kept):
-            self._fs.delete(self._path(f"{self.root}/data/{run}"), True)
-        for v in old:
-            self._fs.delete(self._path(f"{self.root}/manifests/{self._token(v)}"), True)
-            self._fs.delete(self._path(f"{self.root}/commits/{v}"), True)
+        kept = {v for i, v in enumerate(have) if i >= len(have) - max(1, keep) or self._age(f"commits/{have[i + 1]}") < seconds}
+        named = {r[0] for v in kept for r in self.manifest(v).select("run").distinct().collect()}
+        for run in self._names("data", False):
+            parts = [f"{run}/{p}" for p in self._names(f"data/{run}", False) if "=" in p] or [run]
+            for part in parts:
+                if part not in named and self._age(f"data/{part}") >= seconds:
+                    self._fs.delete(self._path(f"{self.root}/data/{part}"), True)
+        for v, tokens in self._written().items():
+            for token in tokens:
+                committed = v in have and token == self._token(v)
+                if committed and v not in kept or not committed and self._age(f"manifests/{v}-{token}") >= seconds:
+                    self._fs.delete(self._path(f"{self.root}/manifests/{v}-{token}"), True)
 
     def read(self, schema, where: str | None = None) -> DataFrame:
         """The rows of the newest version; where: the name of a column that is added, with each row's run, tier and shard (its file)."""
@@ -175,6 +217,6 @@ def sharded(docs: DataFrame, key: str = "doc_id", target_bytes: int = 128 << 20,
     arrival, at = free("arrival", docs.columns), free("at", docs.columns)
     store.append(docs.withColumn(arrival, of), by=arrival)
     version = store.compact(docs.schema)
-    store.vacuum()
+    store.vacuum(seconds=0)  # nobody else knows this store
     rows = store.read(docs.schema, where=at)
     return rows.select(F.col(f"`{key}`"), *(F.col(f"`{at}`.{c}").alias(c) for c in ("run", "tier", "shard")), F.lit(version).cast("long").alias("version"))
