@@ -103,9 +103,16 @@ sizes AS (SELECT DISTINCT n FROM win),
 g AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
 occ AS (SELECT g.doc_id, g.i, g.n, win.item_id FROM g JOIN win ON g.g = win.g AND g.n = win.n),
 hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM occ) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY doc_id)
-SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY doc_id),
+p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM d),
+cnt AS (SELECT t, count(*) AS n FROM p GROUP BY t),
+q AS (SELECT item_id, t, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), encode(t)) AS r FROM (SELECT DISTINCT item_id, unnest(w) AS t FROM b) LEFT JOIN cnt USING (t)),
+q4 AS (SELECT * FROM q WHERE r <= 4), rare AS (SELECT item_id, t, (SELECT count(*) FROM q4 x WHERE x.item_id = q4.item_id) AS wanted FROM q4 WHERE r = 1 AND n > 0),
+near AS (SELECT DISTINCT item_id, doc_id FROM (SELECT rare.item_id, a.doc_id, a.i, wanted, count(DISTINCT q4.t) AS had FROM rare JOIN p a ON a.t = rare.t JOIN q4 ON q4.item_id = rare.item_id
+  JOIN p c ON c.t = q4.t AND c.doc_id = a.doc_id AND abs(c.i - a.i) <= 10 GROUP BY ALL) WHERE had = wanted),
+ns AS (SELECT doc_id, count(*) AS n_near FROM near GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id LEFT JOIN ns ON ns.doc_id = d.doc_id""",
     "op11_cover_tree": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
