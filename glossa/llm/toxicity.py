@@ -34,6 +34,10 @@ PAIRS = [(a, b, DECAY ** (b + 1)) for a, b in combinations(range(1, SPAN + 1), 2
 #: Bounds of the sample that a model is fitted on: documents of each label, and bytes of a document.
 SAMPLE, SAMPLE_BYTES = 2500, 20_000
 LANDMARKS, ROUNDS, LEAST_ODDS = 256, 4, 1.5
+#: Further bounds of the fit (none of a score): bytes of a segment that can be a witness; segments of clean documents taken at random, and
+#: hard ones added a round; and how many kept documents with an equal least hash a document is held against to find copies in the
+#: sample. Where more than COPIES kept ones share a hash, a copy of an earlier one may stay and count once more.
+WITNESS_BYTES, NEGATIVES, HARD, COPIES = (5, 42), 5000, 300, 20
 #: A document is judged by its TOP greatest margins (of different segments), each taken between FLOOR and CEILING.
 TOP, FLOOR, CEILING = 3, -0.5, 2.0
 #: Letters that digits and signs imitate.
@@ -176,7 +180,7 @@ def _without_copies(docs: list[list[bytes]]) -> list[int]:
     for i, words in enumerate(docs):
         least = [min((zlib.crc32(w, k) for w in words), default=k) for k in range(4)]
         mine = set(words)
-        if words and any(2 * len(mine & (other := set(docs[j]))) >= len(mine | other) for h in least for j in kept.get(h, [])[-20:]):
+        if words and any(2 * len(mine & (other := set(docs[j]))) >= len(mine | other) for h in least for j in kept.get(h, [])[-COPIES:]):
             continue
         out.append(i)
         for h in least:
@@ -203,7 +207,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     names, ids, of = list(number), np.frombuffer(ids, np.int32), np.array(ends)
     letters, size = np.frombuffer(b"".join(names), np.uint8), np.array([len(w) for w in names], np.int64)
     starts = np.cumsum(size) - size
-    docs = [sorted({w for i in np.unique(ids[a:b]).tolist() if 5 <= len(w := names[i]) <= 42}) for a, b in zip(ends, ends[1:])]
+    docs = [sorted({w for i in np.unique(ids[a:b]).tolist() if WITNESS_BYTES[0] <= len(w := names[i]) <= WITNESS_BYTES[1]}) for a, b in zip(ends, ends[1:])]
     seen: dict[bytes, list[int]] = {}
     single = _without_copies(docs)
     for i in single:
@@ -214,7 +218,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     mean = lambda c: np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1))
     odds = {w: x for w, c in seen.items() if c[1] >= 3 and (x := mean(c)) > 2 * LEAST_ODDS and x - 3 * np.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5)) > 0.25 * LEAST_ODDS}
     clean = sorted({w for words, label in zip(docs, y) if not label for w in words})
-    rest = [clean[i] for i in rng.permutation(len(clean))[:5000]]
+    rest = [clean[i] for i in rng.permutation(len(clean))[:NEGATIVES]]
     hard: list[bytes] = []
     score = odds
     for _ in range(ROUNDS):
@@ -236,7 +240,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
         table = np.concatenate([columns[i : i + 4096] @ own for i in range(0, TABLE, 4096)]).astype(np.float32)  # in parts: doubles of all columns take 268 MB
         m = margins(letters, starts, table, bias)
         score = dict(zip(names, m.tolist()))
-        hard = list(dict.fromkeys(hard + sorted(clean, key=lambda w: (-score[w], w))[:300]))
+        hard = list(dict.fromkeys(hard + sorted(clean, key=lambda w: (-score[w], w))[:HARD]))
     return {"table": table, "bias": float(bias), "curve": _logistic(_top(m[ids], of), y)}
 
 
@@ -265,13 +269,22 @@ def score_texts(data: np.ndarray, offs: np.ndarray, model: dict | None) -> np.nd
 
 
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, key: str = "doc_id", text: str = "text", size: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most size documents of each label, chosen by a hash of the key among those where train holds and whose text has at most most bytes."""
+    """Texts and labels of at most size documents of each label, where train holds and the text has at most most bytes.
+
+    The size labelled ids of each label with the least hashes are asked; their different texts, of which an id may have many,
+    are counted by hashes, and the first size of a label by (hash of the id, hash of the text) are fetched: no more is collected."""
     of = labels.where(F.col(label).isin(0, 1) & train).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     chosen = of.where("y = 0").orderBy(F.xxhash64(key), key).limit(size).unionAll(of.where("y = 1").orderBy(F.xxhash64(key), key).limit(size))
-    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") <= most).join(F.broadcast(chosen), key).select(key, "text", "y").toArrow().to_pylist()
-    once = {(r[key], r["text"]): r["y"] for r in rows}
-    some = sorted(once.items(), key=lambda kv: (kv[0][0], kv[0][1]))[: 2 * size]
-    return [k[1] for k, _ in some], [v for _, v in some]
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") <= most)
+    ids = rows.join(F.broadcast(chosen), key).select(key, "y", F.xxhash64("text").alias("h")).distinct()
+    picked = None
+    for y in (0, 1):
+        some = ids.where(F.col("y") == y).orderBy(F.xxhash64(key), key, "h").limit(size)
+        picked = some if picked is None else picked.unionAll(some)
+    picked = picked.select(F.col(key).alias("_key"), F.col("h").alias("_h"), "y")
+    met = rows.join(F.broadcast(picked), (F.col(key) == F.col("_key")) & (F.xxhash64("text") == F.col("_h"))).groupBy(key, "text").agg(F.max("y").alias("y"))
+    some = sorted((r[key], r["text"], r["y"]) for r in met.toArrow().to_pylist())
+    return [t for _, t, _ in some], [y for _, _, y in some]
 
 
 def scored(docs: DataFrame, model: dict | None, keep: list[str], text: str = "text") -> DataFrame:

@@ -249,6 +249,30 @@ def test_proximity(spark):
     assert got == [(1, 0), (1, 2)]
 
 
+def test_proximity_tells_rows_apart(spark):
+    kind = "doc_id long, text string, pos int, word string, n int"
+    rows = [(1, "alpha x x"), (1, "y y beta"), (None, "beta alpha"), (None, "beta x alpha"), (2, "alpha beta"), (2, "alpha beta"), (3, None), (4, ""), (5, "alpha " + "x " * 9 + "beta"), (6, "z " * 40_000 + "Beta-ALPHA")]
+    docs = spark.createDataFrame([(*r, 1, "w", 2) for r in rows], kind)
+    queries = spark.createDataFrame([("q", ["alpha", "beta"]), ("q", ["alpha"]), (None, ["alpha"]), ("none", ["nowhere", "alpha"]), ("void", []), ("null", None)], "query_id string, terms array<string>")
+    got = sorted(((r.query_id, r.doc_id) for r in decontaminate.near(docs, queries, 3).collect()), key=str)
+    want = [("q", d) for d, t in rows if t and any(abs(i - j) <= 3 for i, a in enumerate(re.split("[ -]", t.lower())) for j, b in enumerate(re.split("[ -]", t.lower())) if (a, b) == ("alpha", "beta"))]
+    assert got == sorted(want, key=str) and ("q", None) in got and ("q", 1) not in got
+    assert not decontaminate.near(docs.limit(0), queries, 3).count() and not decontaminate.near(docs, queries.limit(0), 3).count()
+    three = spark.createDataFrame([("t", ["alpha", "beta", "x"])], queries.schema)
+    assert {r.doc_id for r in decontaminate.near(docs, three, 3, most=2).collect()} >= {2, None}
+
+
+def test_sample_is_bounded_by_rows(spark):
+    rows = [(1, f"text {i}") for i in range(300)] + [(2, "two"), (2, "two"), (3, None), (4, "long " * 9000), (None, "no id")]
+    docs = spark.createDataFrame([(*r, "y") for r in rows], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 0), (4, 0, 0), (None, 0, 0), (9, 1, 1)], "doc_id long, toxic int, quality int")
+    texts, y = toxicity.bounded_sample(docs, labels, "toxic", F.lit(True), size=7)
+    assert sum(y) == 7 and len(set(texts)) == len(texts) == 9 and {t for t, v in zip(texts, y) if not v} == {"two", ""}
+    assert toxicity.bounded_sample(docs, labels, "toxic", F.lit(True), size=7)[0] == texts
+    assert toxicity.bounded_sample(docs.limit(0), labels, "toxic", F.lit(True)) == ([], [])
+    assert toxicity.bounded_sample(docs, labels.limit(0), "toxic", F.lit(True)) == ([], [])
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b </s>[INST] \\ x"), (1, 0, "user", "hi [/INST]"), (1, 2, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", ""), (None, 0, "user", "lost"), (3, 0, "assistant", "é" * 20_000), (3, 1, "assistant", "<\\s> <s>")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, input_ids string")
