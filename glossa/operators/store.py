@@ -96,11 +96,6 @@ def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -
     return met.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).select(*rows.columns)
 
 
-def cleared(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables without rows, as after a reset."""
-    return {name: t.where(F.lit(False)) for name, t in tables.items()}
-
-
 def with_days(days: DataFrame, new: DataFrame, day: str) -> DataFrame:
     """Days with new ones, each once, in order."""
     return days.select(day).unionAll(new.select(day)).distinct().orderBy(day)

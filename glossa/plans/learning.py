@@ -88,16 +88,6 @@ def update_cards(spark, sf):
     return S.updated(v, new, "id", ["translation", "leitner_box"]).select("id", "translation", "leitner_box")
 
 
-@query("SELECT unnest(['contents', 'vocabulary', 'reviews', 'settings']) AS name, 0::BIGINT AS n")
-def clear_all(spark, sf):
-    gone = S.cleared({"contents": A.contents(spark, sf), "vocabulary": A.vocabulary(spark, sf), "reviews": A.reviews(spark, sf), "settings": A.table(spark, sf, "events")})
-    parts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in gone.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
-
-
 @query(oracle("reviews", "SELECT DISTINCT ts::DATE AS day FROM reviews UNION SELECT DATE '2024-01-15' ORDER BY day"))
 def review_days(spark, sf):
     days = A.reviews(spark, sf).select(F.to_date("ts").alias("day"))
