@@ -159,11 +159,3 @@ def avg_per_day(spark, sf):
 def month_days(spark, sf):
     r = A.reviews(spark, sf).where((F.col("ts") >= F.lit("2024-01-01").cast("timestamp")) & (F.col("ts") < F.lit("2024-02-01").cast("timestamp")))
     return r.select("card", F.to_date("ts").alias("day")).distinct()
-
-
-@query(None)
-def limiter_sliding(spark, sf):
-    """At most 10 accepted calls in any 60 s per user: what was rejected doesn't count, so each user's calls are folded in time order."""
-    from glossa.streaming.state import sliding_limiter
-
-    return sliding_limiter(A.table(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id")

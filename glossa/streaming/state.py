@@ -1,38 +1,61 @@
-"""Structured Streaming forms of reviews, limits and quotas, and the folds that they share with batch queries."""
+"""The sliding limiter on a table, and streams of built-in aggregates."""
 
 from __future__ import annotations
 
 from collections import deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import constants as K
 
 
+def segments(calls: DataFrame, who: str, span_ms: int, block_ms: int = K.DAY_MS // 24) -> DataFrame:
+    """calls (who, t, event_id) with start: the latest call of the owner, up to this one, that none came before within span_ms.
+
+    Gaps are found inside blocks of time, and between a block's first call and the last one before it by a window over an
+    owner's blocks, so no task sorts all calls of an owner."""
+    rows = calls.withColumn("_block", F.floor(F.col("t") / block_ms))
+    inside = Window.partitionBy(who, "_block").orderBy("t", "event_id")
+    begins = F.when(F.lag("t").over(inside).isNull() | (F.col("t") - F.lag("t").over(inside) > span_ms), F.col("t"))
+    rows = rows.withColumn("_begins", begins)
+    each = rows.groupBy(who, "_block").agg(F.min("t").alias("_from"), F.max("t").alias("_to"), F.max("_begins").alias("_last"))
+    over = Window.partitionBy(who).orderBy("_block")
+    each = each.withColumn("_joined", F.coalesce(F.col("_from") - F.lag("_to").over(over) <= span_ms, F.lit(False)))
+    # A block whose calls all go on from the one before begins nothing of its own.
+    own = F.when(~(F.col("_joined") & (F.col("_last") == F.col("_from"))), F.col("_last"))
+    before = F.last(own, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select(F.col(who).alias("_who"), F.col("_block").alias("_b"), "_from", "_joined", before.alias("_before"))
+    met = rows.join(each, F.col(who).eqNullSafe(F.col("_who")) & (F.col("_block") == F.col("_b")))
+    last = F.max(F.when(~(F.col("_joined") & (F.col("_begins") == F.col("_from"))), F.col("_begins"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("start", F.coalesce(last, "_before")).select(*calls.columns, "start")
+
+
 def sliding_limiter(calls: DataFrame, who: str, limit: int = K.LIMITER_CALLS, span_ms: int = K.LIMITER_MS) -> DataFrame:
     """who, event_id, accepted: a call is accepted if fewer than limit accepted ones are at most span_ms older.
 
-    Calls are sorted by owner and time inside partitions; a task keeps the last accepted times of one owner."""
+    After a gap of more than span_ms nothing is remembered, so an owner's calls are dealt over tasks at such gaps, and folded in
+    time order between them; a task keeps the last accepted times of one stretch. Calls without a time are left out."""
 
     def run(batches):
-        owner, recent = None, deque()
+        stretch, recent = None, deque()
         for batch in batches:
             out = []
-            for o, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if o != owner:
-                    owner, recent = o, deque()
+            for o, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if (o, s) != stretch:
+                    stretch, recent = (o, s), deque()
                 while recent and t - recent[0] > span_ms:
                     recent.popleft()
                 out.append(len(recent) < limit)
                 if out[-1]:
                     recent.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], [who, "event_id", "accepted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(out, pa.bool_())], [who, "event_id", "accepted"])
 
     kind = calls.schema[who].dataType.simpleString()
-    rows = calls.select(who, "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t")).repartition(who).sortWithinPartitions(who, "t", "event_id")
-    return rows.mapInArrow(run, f"{who} {kind}, event_id long, accepted boolean")
+    rows = calls.select(who, "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    cut = segments(rows, who, span_ms).select(who, "start", "t", "event_id").repartition(who, "start").sortWithinPartitions(who, "start", "t", "event_id")
+    return cut.mapInArrow(run, f"{who} {kind}, event_id long, accepted boolean")
 
 
 def minute_counts(events: DataFrame, who: str = "user_id", late: str = "10 minutes") -> DataFrame:
@@ -43,71 +66,3 @@ def minute_counts(events: DataFrame, who: str = "user_id", late: str = "10 minut
 def first_seen(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     """The first event of each key; state older than the watermark is dropped."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
-
-
-def review_state(events: DataFrame) -> DataFrame:
-    """card, box, correct, incorrect after each micro-batch: reviews are folded in time order on the card's state."""
-
-    def fold(key, frames, state):
-        import pandas as pd
-
-        box, right, wrong = state.get if state.exists else (1, 0, 0)
-        for pdf in frames:
-            for ok in pdf.sort_values(["ts", "event_id"])["correct"]:
-                box, right, wrong = (min(box + 1, 5), right + 1, wrong) if ok else (1, right, wrong + 1)
-        state.update((box, right, wrong))
-        yield pd.DataFrame({"card": [key[0]], "box": [box], "correct": [right], "incorrect": [wrong]})
-
-    return events.groupBy("card").applyInPandasWithState(fold, "card long, box int, correct long, incorrect long", "box int, correct long, incorrect long", "update", "NoTimeout")
-
-
-def _stateful(events: DataFrame, who: str, decide, state: str, out: str) -> DataFrame:
-    """who, event_id, and what decide(state or None, time in ms) gives for each event of a micro-batch, in time order: (out, new state)."""
-
-    def run(key, frames, kept):
-        import pandas as pd
-
-        now = kept.get[0] if kept.exists else None
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        got = []
-        for t in rows["t"].tolist():
-            x, now = decide(now, int(t))
-            got.append(x)
-        kept.update((now,))
-        yield pd.DataFrame({who: [key[0]] * len(rows), "event_id": rows["event_id"].tolist(), out.split()[0]: got})
-
-    kind = events.schema[who].dataType.simpleString()
-    rows = events.select(who, "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
-    return rows.groupBy(who).applyInPandasWithState(run, f"{who} {kind}, event_id long, {out}", f"kept {state}", "append", "NoTimeout")
-
-
-def limited(events: DataFrame, who: str, limit: int = K.LIMITER_CALLS, span_ms: int = K.LIMITER_MS) -> DataFrame:
-    """The sliding limiter on a stream: who, event_id, accepted; the state of an owner is the times of the accepted calls of the last span."""
-
-    def decide(recent, t):
-        recent = [x for x in recent or [] if t - x <= span_ms]
-        ok = len(recent) < limit
-        return ok, [*recent, t] if ok else recent
-
-    return _stateful(events, who, decide, "array<long>", "accepted boolean")
-
-
-def under_quota(events: DataFrame, who: str, quota: int = K.DAILY_QUOTA) -> DataFrame:
-    """The daily quota on a stream: who, event_id, nth (of its owner's day; 0 beyond the quota). The state is a day and its count."""
-
-    def decide(kept, t):
-        day, n = kept or (t // K.DAY_MS, 0)
-        n = n if day == t // K.DAY_MS else 0
-        return (n + 1 if n < quota else 0), [t // K.DAY_MS, min(n + 1, quota)]
-
-    return _stateful(events, who, decide, "array<long>", "nth long")
-
-
-def cached(events: DataFrame, key: str, ttl_ms: int = K.FALLBACK_TTL_MS) -> DataFrame:
-    """A cache with a lifetime on a stream: key, event_id, hit: the key was stored at most ttl_ms before; a miss stores it anew."""
-
-    def decide(kept, t):
-        hit = bool(kept) and t - kept[0] <= ttl_ms
-        return hit, kept if hit else [t]
-
-    return _stateful(events, key, decide, "array<long>", "hit boolean")
