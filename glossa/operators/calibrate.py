@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.ranking import FEW_GROUPS, letters, running, with_total
+from glossa.operators.ranking import letters, running, with_total
 
 
 def split(df: DataFrame, strata: list[str], order: list[Column], blocks: list[Column], share: float = 0.8) -> DataFrame:
@@ -19,8 +19,6 @@ def split(df: DataFrame, strata: list[str], order: list[Column], blocks: list[Co
 def downsampled(df: DataFrame, group: str, level: str, order: str) -> DataFrame:
     """As many rows of each level as the rarest level of the group has, the first by order (a text)."""
     n = df.groupBy(group, level).count().groupBy(F.col(group).alias("_g")).agg(F.min("count").alias("_least"))
-    if n.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
-        n = F.broadcast(n)
     ranked = running(df, [group, level], [letters(F.col(order))], [F.col(order)], "_r")
     return ranked.join(n, F.col(group).eqNullSafe(F.col("_g"))).where("_r <= _least").drop("_r", "_least", "_g")
 
@@ -29,9 +27,9 @@ def cut_points(df: DataFrame, value: str, level: str) -> DataFrame:
     """level, cut: the value at round half even of (cumulative share of the level * (n - 1)) among all sorted values.
 
     Equal values are counted, and their counts summed by whole numbers of the value; the levels, a ladder of a few, are broadcast."""
-    n = df.count()
-    shares = df.groupBy(level).count().withColumn("cum", F.sum("count").over(Window.orderBy(level)) / n)
-    spots = shares.select(level, (F.bround(F.col("cum") * (n - 1)) + 1).cast("long").alias("spot"))
+    n = F.sum("count").over(Window.partitionBy())
+    shares = df.groupBy(level).count().select(level, n.alias("n"), (F.sum("count").over(Window.orderBy(level)) / n).alias("cum"))
+    spots = shares.select(level, (F.bround(F.col("cum") * (F.col("n") - 1)) + 1).cast("long").alias("spot"))
     counts = running(df.groupBy(value).count().withColumn("_all", F.lit(1)), ["_all"], [F.floor(value)], [F.col(value)], "upto", "count")
     at = counts.join(F.broadcast(spots), F.col("upto") >= F.col("spot"))
     return at.groupBy(level).agg(F.min(value).alias("cut"))

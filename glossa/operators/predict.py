@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossa.functions import constants as K
 from glossa.functions import lemma as L
 from glossa.functions import lex, model
+from glossa.operators.ranking import letters, running
 
 
 def classified(words: DataFrame, cache: DataFrame, answers: DataFrame) -> DataFrame:
@@ -46,9 +47,8 @@ def list_variants(rows: DataFrame, specs: DataFrame, order: str) -> DataFrame:
     """Figures of every list of specs (label, lang, sources) in three variants: A all rows, B those with a feature, C as many of each level as the rarest has (the first by order)."""
     s = specs.select("label", F.col("lang").alias("_l"), F.explode("sources").alias("_s"))
     met = rows.join(F.broadcast(s), (F.col("lang") == F.col("_l")) & (F.col("source") == F.col("_s"))).drop("_l", "_s")
-    cell = Window.partitionBy("label", "gold")
-    least = met.groupBy("label", "gold").count().groupBy("label").agg(F.min("count").alias("_least"))
-    ranked = met.withColumn("_r", F.row_number().over(cell.orderBy(order))).join(F.broadcast(least), "label")
+    least = met.groupBy("label", "gold").count().groupBy(F.col("label").alias("_label")).agg(F.min("count").alias("_least"))
+    ranked = running(met, ["label", "gold"], [letters(F.col(order))], [F.col(order)], "_r").join(least, F.col("label") == F.col("_label")).drop("_label")
     parts = F.array_compact(F.array(F.lit("A"), F.when(F.col("fb_zipf") + F.col("fb_aoa") < 2, "B"), F.when(F.col("_r") <= F.col("_least"), "C")))
     return figures(ranked.withColumn("variant", F.explode(parts)), ["label", "variant"])
 
@@ -88,12 +88,15 @@ def balanced_sample(rows: DataFrame, n: int, seed: int, word: str = "word") -> D
 
 
 def picked_entries(corpus: DataFrame, order: str, index: int | None = None, skip: int = 0, limit: int | None = None, seed: int = 42) -> DataFrame:
-    """Entries (lang, ...) of each language with their index: the one asked for; else those behind skip, limit of them drawn without replacement if a limit is given."""
-    rows = corpus.withColumn("index", F.row_number().over(Window.partitionBy("lang").orderBy(order)) - 1)
+    """Entries (lang, ...) of each language with their index by order (a whole number): the one asked for; else those behind skip, limit of them drawn without replacement if a limit is given."""
+    rows = running(corpus, ["lang"], [F.floor(F.col(order) / 1000)], [F.col(order)], "index").withColumn("index", F.col("index") - 1)
     if index is not None:
         return rows.where(F.col("index") == index)
     rows = rows.where(F.col("index") >= skip)
     if limit is None:
         return rows
-    w = Window.partitionBy("lang").orderBy(*_shuffled(seed, "lang", "index"))
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+    # The first ones of each block of entries, of which a language has few, then the first ones of these.
+    shuffled = _shuffled(seed, "lang", "index")
+    blocks, whole = Window.partitionBy("lang", F.floor(F.col("index") / 100_000)), Window.partitionBy("lang")
+    some = rows.withColumn("_r", F.row_number().over(blocks.orderBy(*shuffled))).where(F.col("_r") <= limit)
+    return some.withColumn("_r", F.row_number().over(whole.orderBy(*shuffled))).where(F.col("_r") <= limit).drop("_r")

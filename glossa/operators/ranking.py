@@ -6,17 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Groups whose totals may be broadcast.
-FEW_GROUPS = 10_000
-
-
 def with_total(counts: DataFrame, group: str | list[str], value: str, name: str) -> DataFrame:
     """counts with the sum of value over each group. The sums are aggregated, so no group is gathered, and meet the counts in a
-    join: a broadcast where a count of the groups says that they are few, else one on the group."""
+    join, which adaptive execution turns into a broadcast where the sums, as they have come out, are small; else it splits large groups."""
     group = [group] if isinstance(group, str) else group
     totals = counts.groupBy(*(F.col(c).alias(f"_g_{c}") for c in group)).agg(F.sum(value).alias(name))
-    if counts.select(*group).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
-        totals = F.broadcast(totals)
     return counts.join(totals, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]).drop(*(f"_g_{c}" for c in group))
 
 

@@ -14,6 +14,7 @@ from glossa.operators.adapters import oracle
 from glossa.operators.ranking import letters, tiles
 from glossa.plans.base import query
 from glossa.sources import goldlists as G
+from glossa.sources.readers import rate_columns, scratch, sniffed_csv
 
 
 def gold(spark, sf):
@@ -183,15 +184,16 @@ def sense_levels(spark, sf):
     return G.senses(words, pos)
 
 
-_RATES = {"A1": "a", "A2": "b", "B2": "c"}
-
-
-@query(gold_oracle(r"SELECT tok AS word, CASE WHEN length(tok) * 0.1 >= 0.5 THEN 'A1' WHEN gold * 0.2 >= 0.5 THEN 'A2' WHEN length(tok) = 4 THEN 'B2' END AS cefr FROM gold WHERE lang = 'fr' AND length(tok) BETWEEN 2 AND 40 AND (length(tok) >= 5 OR gold >= 3 OR length(tok) = 4)"))
+@query(gold_oracle(r"SELECT lang AS language, tok AS word, CASE WHEN length(tok) * 0.1 >= 0.5 THEN 'A1' WHEN gold * 0.2 >= 0.5 THEN 'A2' WHEN length(tok) = 4 THEN 'B2' END AS cefr FROM gold WHERE length(tok) BETWEEN 2 AND 40 AND (length(tok) >= 5 OR gold >= 3 OR length(tok) = 4)"))
 def frequency_levels(spark, sf):
-    """A table of rates by level: a word gets the first level at which it is frequent."""
-    g = gold(spark, sf).where("lang = 'fr'")
-    table = g.select(F.concat(F.lit('"'), "tok", F.lit('"')).alias("word"), (F.length("tok") * 0.1).cast("string").alias("a"), (F.col("gold") * 0.2).cast("string").alias("b"), F.when(F.length("tok") == 4, "0.5").otherwise("n/a").alias("c"))
-    return G.frequency_list(table, "word", _RATES, "fr", "list").select("word", "cefr")
+    """A table of rates by level, whose columns are told by their names among such of other figures: a word gets the first level at which it is frequent."""
+    g, path = gold(spark, sf), scratch(spark, "rates")
+    rates = {"level_freq@a1": (F.length("tok") * 0.1).cast("string"), "F@A2": (F.col("gold") * 0.2).cast("string"), "freq_b2": F.when(F.length("tok") == 4, "0.5").otherwise("n/a")}
+    others = {n: F.lit("9") for n in ("tf-idf@A1", "D@A1", "freq_A2", "SFI@A2", "U@B2", "total_B2")}
+    g.select("lang", F.col("tok").alias("Word"), *(v.alias(n) for n, v in (others | rates).items())).write.option("header", True).option("sep", ";").csv(path)
+    table = sniffed_csv(spark, path)
+    word, columns = rate_columns(table.columns, K.LEVELS)
+    return G.frequency_list(table, word, columns, F.col("lang"), "list").select("language", "word", "cefr")
 
 
 @query(gold_oracle(", n AS (SELECT *, row_number() OVER (ORDER BY zipf) AS r, count(*) OVER () AS total FROM gold WHERE zipf IS NOT NULL), s AS (SELECT gold, round_even(sum(count(*)) OVER (ORDER BY gold) / max(total) * (max(total) - 1), 0) + 1 AS spot FROM n GROUP BY gold) SELECT s.gold, n.zipf AS cut FROM s JOIN n ON n.r = s.spot"))

@@ -9,6 +9,7 @@ from glossa.operators import adapters as A
 from glossa.operators.adapters import oracle
 from glossa.plans.base import query
 from glossa.sources import goldlists as G
+from glossa.sources import jsonarray as J
 from glossa.sources import readers as R
 
 
@@ -51,22 +52,24 @@ def gold_jsonl_skipped(spark, sf):
 def sniffed_csv(spark, sf):
     """The vocabulary as a file with semicolons, whose separator and columns of words and labels are found again."""
     path = R.scratch(spark, "csv")
-    A.vocabulary(spark, sf).select("id", "original", "level").repartition(1).write.option("header", True).option("sep", ";").csv(path)
+    A.vocabulary(spark, sf).select("id", "original", "level").write.option("header", True).option("sep", ";").csv(path)
     table = R.sniffed_csv(spark, path)
     level, word = R.level_columns(table.drop("id"))
     return table.select("id", F.col(word).alias("original"), F.col(level).alias("level"))
 
 
 def _dumps(spark, sf):
-    """Runs of an extraction as dumps, one file per native language."""
+    """Runs of an extraction as dumps, a hundred documents to a file, of three days, seeds and versions."""
     v = A.vocabulary(spark, sf)
     item = F.struct("original", "translation", "level", F.col("word_type").alias("type"), F.array("original", F.reverse("original")).alias("source_forms"))
     n = v.groupBy("content_id", "level").agg(F.count("*").alias("c")).groupBy("content_id").agg(F.map_from_entries(F.collect_list(F.struct("level", "c"))).alias("levels"))
     words = v.groupBy("content_id").agg(F.collect_list(item).alias("vocab")).join(n, "content_id")
     runs = A.table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(words, F.col("doc_id") == F.col("content_id"))
-    each = runs.select((F.col("doc_id") % 3).alias("part"), F.struct(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), "lang", F.lit("en").alias("native"), (F.col("doc_id") % 4 != 0).alias("ok"), F.col("n_chars").alias("elapsedMs"), F.col("n_chars").alias("textLength"), F.size("vocab").cast("long").alias("vocabCount"), F.col("levels").alias("levelDistribution"), "vocab").alias("r"))
-    path = R.scratch(spark, "dumps")
-    each.groupBy("part").agg(F.collect_list("r").alias("results")).select("part", F.concat(F.lit("2026-04-2"), F.col("part").cast("string")).alias("ranAt"), "results").write.partitionBy("part").json(path)
+    each = runs.select((F.col("doc_id") % 3).alias("part"), F.floor(F.col("doc_id") / 300).alias("chunk"), F.struct(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), "lang", F.lit("en").alias("native"), (F.col("doc_id") % 4 != 0).alias("ok"), F.col("n_chars").alias("elapsedMs"), F.col("n_chars").alias("textLength"), F.size("vocab").cast("long").alias("vocabCount"), F.col("levels").alias("levelDistribution"), "vocab").alias("r"))
+    path, part = R.scratch(spark, "dumps"), F.col("part").cast("string")
+    dumps = each.groupBy("part", "chunk").agg(F.collect_list("r").alias("results"), F.sum("r.elapsedMs").cast("double").alias("wall"))
+    dumps = dumps.select("part", "chunk", F.concat(F.lit("2026-04-2"), part).alias("ranAt"), F.col("part").alias("seed"), F.concat(F.lit("v"), part).alias("promptVersion"), "results", F.struct(F.col("wall").alias("wallSec")).alias("totals"))
+    dumps.write.partitionBy("part", "chunk").json(path)
     return path
 
 
@@ -74,20 +77,34 @@ def _dumps(spark, sf):
 def vocab_csv(spark, sf):
     """Entries of merged dumps, written as the flat CSV and read again."""
     path = R.scratch(spark, "vocab")
-    R.write_csv(R.vocab_rows(R.merged_dumps(spark, [_dumps(spark, sf)]).select("url", "lang", "native", "vocab")), path)
+    R.write_csv(R.vocab_rows(R.merged_dumps(spark, [_dumps(spark, sf) + "/*/*"]).select("url", "lang", "native", "vocab")), path)
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
 @query(oracle("vocabulary", "SELECT 'u' || content_id AS url, count(*) FILTER (level = 'A1') AS A1, count(*) FILTER (level = 'A2') AS A2, count(*) FILTER (level = 'B1') AS B1, count(*) FILTER (level = 'B2') AS B2, count(*) FILTER (level = 'C1') AS C1, count(*) FILTER (level = 'C2') AS C2 FROM vocabulary GROUP BY content_id"))
 def summary_csv(spark, sf):
-    return R.summary_rows(R.merged_dumps(spark, [_dumps(spark, sf)]), list(K.LEVELS)).select("url", *K.LEVELS)
+    return R.summary_rows(R.merged_dumps(spark, [_dumps(spark, sf) + "/*/*"]), list(K.LEVELS)).select("url", *K.LEVELS)
 
 
-@query(oracle("vocabulary", "SELECT min('2026-04-2' || doc_id % 3) AS ran_at, count(DISTINCT doc_id % 3) AS files, count(*) AS runs, count(*) FILTER (doc_id % 4 <> 0) AS ok, sum(n)::BIGINT AS entries, sum(n_chars)::BIGINT AS wall_ms FROM documents JOIN (SELECT content_id, count(*) AS n FROM vocabulary GROUP BY 1) ON content_id = doc_id"))
+@query(oracle("vocabulary", "SELECT min('2026-04-2' || doc_id % 3) AS ran_at, count(DISTINCT (doc_id % 3, doc_id // 300)) AS files, count(*) AS runs, count(*) FILTER (doc_id % 4 <> 0) AS ok, sum(n)::BIGINT AS entries, sum(n_chars)::BIGINT AS wall_ms FROM documents JOIN (SELECT content_id, count(*) AS n FROM vocabulary GROUP BY 1) ON content_id = doc_id"))
 def merged_totals(spark, sf):
     return R.merged_totals(R.checked_dumps(spark, [_dumps(spark, sf)]))
 
 
+@query(oracle("vocabulary", "SELECT min('2026-04-2' || doc_id % 3) AS ran_at, min(doc_id % 3) AS seed, 'v' || min(doc_id % 3) AS prompt_version, sum(n_chars)::DOUBLE AS wall_s, count(DISTINCT (doc_id % 3, doc_id // 300)) AS files FROM documents WHERE doc_id IN (SELECT content_id FROM vocabulary)"))
+def merged_meta(spark, sf):
+    """What the frames of dumps say together; the first file's settings win."""
+    frames = J.frames(spark, _dumps(spark, sf) + "/*/*", J.META)
+    return J.merged_frame(frames).select("ran_at", "seed", "prompt_version", "wall_s", "files")
+
+
+@query(oracle("vocabulary", "SELECT field, value, first, count(*) AS files FROM (SELECT DISTINCT doc_id % 3 AS p, doc_id // 300 AS c, (SELECT min(doc_id % 3) FROM documents WHERE doc_id IN (SELECT content_id FROM vocabulary)) AS f FROM documents WHERE doc_id IN (SELECT content_id FROM vocabulary)), (SELECT unnest(['seed', 'promptVersion']) AS field), (SELECT '' AS x), LATERAL (SELECT CASE field WHEN 'seed' THEN p::VARCHAR ELSE 'v' || p END AS value, CASE field WHEN 'seed' THEN f::VARCHAR ELSE 'v' || f END AS first) WHERE p <> f GROUP BY ALL"))
+def dump_disagreements(spark, sf):
+    """How many files state another seed or version than the first one."""
+    said = J.disagreements(J.frames(spark, _dumps(spark, sf) + "/*/*", J.META))
+    return said.groupBy("field", "value", "first").agg(F.count("*").alias("files"))
+
+
 @query(oracle("vocabulary", "SELECT original AS word, 'list' AS source FROM (SELECT DISTINCT original FROM vocabulary WHERE lang = 'en') UNION ALL SELECT original, 'LLM-oracle' FROM vocabulary WHERE lang = 'de'"))
 def rebuilt_gold(spark, sf):
     """A list that is built anew keeps the rows that a model gave before."""

@@ -77,10 +77,12 @@ def labelled_cells(rows: DataFrame, source: str, language: str = "en") -> DataFr
     return _gold(first, language, F.col("cefr"), source)
 
 
-def frequency_list(table: DataFrame, word: str, levels: dict[str, str], language: str, source: str) -> DataFrame:
-    """A table with a rate per level (level to column): the first level at which a word is frequent."""
+def frequency_list(table: DataFrame, word: str, levels: dict[str, str], language: str | Column, source: str) -> DataFrame:
+    """A list of words with a rate for each level (levels: the columns of the rates): a word gets the first level at which it is frequent."""
     rates = {k: F.expr(f"try_cast(`{c}` as double)") for k, c in levels.items()}
-    return _gold(table.select(L.lemma(L.unquoted(F.col(word))).alias("word"), L.frequency_level(rates).alias("cefr")).where("cefr is not null"), language, F.col("cefr"), source)
+    of = F.lit(language) if isinstance(language, str) else language
+    rows = table.select(L.lemma(L.unquoted(F.col(word))).alias("word"), L.frequency_level(rates).alias("cefr"), of.alias("language"))
+    return _gold(rows.where("cefr is not null"), F.col("language"), F.col("cefr"), source)
 
 
 def norms(table: DataFrame, word: str, value: str, order: str) -> DataFrame:

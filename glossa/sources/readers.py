@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.sources import jsonarray
+
 DUMP = "ranAt string, results array<struct<url string, lang string, native string, ok boolean, error string, elapsedMs long, textLength long, processedTextLength long, vocabCount long, levelDistribution map<string, long>, vocab array<struct<original string, translation string, level string, type string, source_forms array<string>>>>>"
+#: Names of columns of words, and parts of names of columns that hold other figures than rates.
+WORD_NAMES, EXCLUDED = "lemma|word|form|wordform", r"tf[-_]?idf|^d@|^sfi@|^u@|nb_doc|total"
 GOLD = "word string, language string, cefr string, source string"
 
 
@@ -35,18 +40,41 @@ def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def level_columns(df: DataFrame) -> tuple[str | None, str | None]:
-    """(column of CEFR labels, column of lemmas) of a table, judged on all its rows: share of labels over a half; share of words over 0.7, at least half of them distinct."""
+    """(column of CEFR labels, column of lemmas) of a table, judged on all its rows: share of labels over a half; share of words over 0.7, at least half of them
+    distinct (by a sketch, so that one pass with few bytes a column does). Columns with names of figures (EXCLUDED) are neither."""
     label, word = r"^\s*[ABC][12]\s*$", r"^\s*\p{L}[\p{L} '’-]{0,39}\s*$"
-    aggs = [a for c in df.columns for a in (F.avg(F.coalesce(F.col(f"`{c}`").rlike(label), F.lit(False)).cast("int")), F.avg(F.coalesce(F.col(f"`{c}`").rlike(word), F.lit(False)).cast("int")), F.countDistinct(f"`{c}`") / F.count("*"))]
-    figures = df.agg(*aggs).first() or []
-    by = {c: figures[3 * i : 3 * i + 3] for i, c in enumerate(df.columns)}
+    names = [c for c in df.columns if not re.search(EXCLUDED, c.strip(), re.IGNORECASE)]
+    share = lambda c, p: F.avg(F.coalesce(F.col(f"`{c}`").cast("string").rlike(p), F.lit(False)).cast("int"))
+    aggs = [a for c in names for a in (share(c, label), share(c, word), F.approx_count_distinct(f"`{c}`", 0.02) / F.count("*"))]
+    figures = df.agg(*aggs).first() if aggs else []
+    by = {c: figures[3 * i : 3 * i + 3] for i, c in enumerate(names)}
     level = next((c for c, (a, _, _) in by.items() if (a or 0) > 0.5), None)
     return level, next((c for c, (_, b, d) in by.items() if c != level and (b or 0) > 0.7 and (d or 0) >= 0.5), None)
 
 
+def rate_columns(columns: list[str], levels: tuple[str, ...]) -> tuple[str, dict[str, str]]:
+    """(column of words, {level: column of its rates}) of a table of rates by level, by the columns' names: a name that holds the level as a word of its own,
+    F@level before any with freq before others, and none with a name of other figures (EXCLUDED). Without either it is an error."""
+    plain = {c: c.strip().strip('"').lower() for c in columns}
+    word = next((c for c, name in plain.items() if re.fullmatch(WORD_NAMES, name)), None)
+    if word is None:
+        raise ValueError(f"no column of words among {columns}")
+    rates = {}
+    for level in levels:
+        held = [c for c, name in plain.items() if c != word and not re.search(EXCLUDED, name) and re.search(rf"(^|[@_\s]){level.lower()}([@_\s]|$)", name)]
+        if held:
+            rates[level] = min(held, key=lambda c: (plain[c] != f"f@{level.lower()}", "freq" not in plain[c]))
+    if not rates:
+        raise ValueError(f"no columns of rates among {columns}")
+    return word, rates
+
+
 def merged_dumps(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per result of several run dumps, with the file it came from."""
-    return spark.read.schema(DUMP).option("multiLine", True).json(paths).select("ranAt", F.input_file_name().alias("file"), F.explode("results").alias("r")).select("ranAt", "file", "r.*")
+    """One row per result of several run dumps, with the file it came from and its ranAt. Files are cut into results by many tasks, however large they are."""
+    result = DUMP[len("ranAt string, results array<struct<") : -len(">>")]
+    found = jsonarray.elements(spark, paths, result)
+    ran = jsonarray.frames(spark, paths, "ranAt string").select(F.col("file").alias("_file"), "r.ranAt")
+    return found.join(ran, F.col("file") == F.col("_file"), "left").select("ranAt", "file", "r.*")
 
 
 def checked_dumps(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -67,10 +95,10 @@ def vocab_rows(results: DataFrame) -> DataFrame:
 
 
 def summary_rows(results: DataFrame, levels: list[str]) -> DataFrame:
-    """One row per result with a column per level: the ladder first, then other keys that occur, by name."""
+    """One row per result with a column per level: the ladder first, then other keys that occur, by name. These become columns, so they must be few."""
     keys = [r[0] for r in results.select(F.explode(F.map_keys("levelDistribution")).alias("k")).distinct().collect()]
     order = [*levels, *sorted(set(keys) - set(levels))]
-    return results.select("url", "lang", "native", "ok", *(F.coalesce(F.expr(f"try_element_at(levelDistribution, '{k}')"), F.lit(0)).alias(k) for k in order))
+    return results.select("url", "lang", "native", "ok", *(F.coalesce(F.try_element_at("levelDistribution", F.lit(k)), F.lit(0)).alias(k) for k in order))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

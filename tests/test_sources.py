@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from glossa.sources import readers as R
 
 
@@ -19,6 +21,20 @@ def test_columns(spark, tmp_path):
     assert R.level_columns(R.sniffed_csv(spark, str(tmp_path / "s.csv"))) == ("level", "lemma")
 
 
+def test_rate_columns():
+    names = ["tag", '"Word"', "tf-idf@A1", "D@A1", "SFI@A1", "U@A1", "nb_doc_a1", "F@A1", "freq_A1", "level_freq@a2", "A2", "total@B1", "b1", "xb2x", "C1_freq"]
+    assert R.rate_columns(names, ("A1", "A2", "B1", "B2", "C1")) == ('"Word"', {"A1": "F@A1", "A2": "level_freq@a2", "B1": "b1", "C1": "C1_freq"})
+    for bad in (["tag", "F@A1"], ["lemma", "D@A1", "total_a1"]):
+        with pytest.raises(ValueError, match="no column"):
+            R.rate_columns(bad, ("A1",))
+
+
+def test_figures_are_no_words(spark, tmp_path):
+    for i in range(3):  # a table in several files, each with the header
+        (tmp_path / f"{i}.csv").write_text("tf-idf;total_word;lemma;level\n" + "".join(f"eins;wort{i}{k};haus{'abcdefghij'[k]}{'xyz'[i]};B2\n" for k in range(10)))
+    assert R.level_columns(R.sniffed_csv(spark, str(tmp_path))) == ("level", "lemma")
+
+
 def test_dumps(spark, tmp_path):
     for i in range(2):
         (tmp_path / f"d{i}.json").write_text(json.dumps({"ranAt": "t", "results": [{"url": f"u{i}", "lang": "de", "native": "en", "ok": True, "levelDistribution": {"A1": 2, "Q": i}, "vocab": [{"original": "a", "translation": "b", "level": "A1", "type": "noun", "source_forms": ["x", "y"]}]}]}))
