@@ -28,3 +28,5 @@ ENGLISH_NAMES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish
 COUNTRIES = {"de": "DE", "en": "GB", "fr": "FR", "es": "ES", "it": "IT", "pt": "PT", "nl": "NL", "sv": "SE", "no": "NO", "da": "DK", "pl": "PL", "cs": "CZ"}
 #: Families of the languages.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "no", "da"), "romance": ("fr", "es", "it", "pt"), "slavic": ("pl", "cs")}
+#: Languages by their codes of three letters; both forms of Norwegian are one.
+THREE_LETTERS = {"eng": "en", "deu": "de", "fra": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "swe": "sv", "nob": "no", "nno": "no", "dan": "da", "pol": "pl", "ces": "cs"}

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.functions import article as article_text
+from glossa.functions import constants as K
 from glossa.functions import text as X
 
 #: Elements that are no article text, those whose text ends a paragraph, and parts of class names of side matter.
 DROPPED = {"table", "figure", "figcaption", "svg", "nav", "aside"}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "blockquote", "pre", "section", "article", "header", "footer", "dt", "dd"}
 NOISE = ("infobox", "sidebar", "breadcrumb", "byline", "metadata", "share", "social", "navbox", "catlinks", "mw-editsection")
+#: Places of a profile of trigrams, letters that a text must have to be judged, and the distance beyond which it is none of the languages.
+PROFILE, LEAST_LETTERS, FURTHEST = 300, 10, 0.8
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _NUMBER = re.compile(r"\s*\[?\d+\]?\s*")
 _SENTENCE = re.compile(r"[.!?]\s+(?=\p{Lu})")
@@ -139,21 +142,40 @@ def route(url: Column, image: Column, text: Column) -> Column:
     return F.when(url.isNotNull(), "link").when(image.isNotNull(), "image").when(text.rlike(r"^\s*https?://\S+\s*$"), "link").when(text.isNotNull(), "text").otherwise("none")
 
 
-def trigram_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = 300) -> DataFrame:
-    """lang, gram, weight: the most frequent letter trigrams of each language and their share."""
-    s = F.lower(F.regexp_replace(text, r"[^\p{L}]+", " "))
-    grams = docs.select(lang, F.explode(F.regexp_extract_all(s, F.lit("(?=(.{3}))"), 1)).alias("gram"))
-    n = grams.groupBy(lang, "gram").agg(F.count("*").alias("n"))
-    return n.withColumn("r", F.expr(f"row_number() over (partition by {lang} order by n desc, gram)")).where(F.col("r") <= most).select(lang, "gram", (F.col("n") / F.expr(f"sum(n) over (partition by {lang})")).alias("weight"))
+def _grams(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """keep, gram: each three characters in a row of the letters of a text, in lower case, with one blank in place of all else, and around it."""
+    s = F.concat(F.lit(" "), F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " "))), F.lit(" "))
+    return docs.select(*keep, F.explode(F.regexp_extract_all(s, F.lit("(?=(.{3}))"), 1)).alias("gram"))
 
 
-def detect_language(docs: DataFrame, profiles: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, detected: the profile with the greatest weight over the trigrams of the first 500 characters; null without letters."""
-    s = F.lower(F.regexp_replace(F.substring(text, 1, 500), r"[^\p{L}]+", " "))
-    grams = docs.select(key, F.explode(F.regexp_extract_all(s, F.lit("(?=(.{3}))"), 1)).alias("gram"))
-    score = grams.join(F.broadcast(profiles), "gram").groupBy(key, lang).agg(F.sum("weight").alias("w"))
-    best = score.groupBy(key).agg(F.max_by(lang, F.struct("w", lang)).alias("detected"))
-    return docs.select(key).join(best, key, "left")
+def trigram_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = PROFILE) -> DataFrame:
+    """lang, gram, place: the most frequent trigrams of each language, over whole texts, by their places from 1 (equal counts: by the trigram)."""
+    n = _grams(docs.where(F.col(lang).isNotNull()), F.col(text), lang).groupBy(lang, "gram").agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.expr(f"row_number() over (partition by `{lang}` order by n desc, gram)")).where(F.col("place") <= most).select(lang, "gram", "place")
+
+
+def detect_language(docs: DataFrame, profiles: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = PROFILE, least: int = LEAST_LETTERS, furthest: float = FURTHEST) -> DataFrame:
+    """key, detected, distance of each row: the language whose profile is nearest to the trigrams of the first 500 characters.
+
+    The text's trigrams are ranked as the profiles' are; each is off by the difference of its places, or by most where the profile lacks
+    it; the distance is the mean of that as a share of most. Null for fewer than least letters, and where the nearest profile
+    is further than furthest or no trigram is in any; equal distances go to the first language by name. Rows that repeat a key with equal texts are one."""
+    some = F.substring(text, 1, 500)
+    rows = docs.where(F.length(F.regexp_replace(some, r"[^\p{L}]", "")) >= least).select(key, some.alias("_s"), F.xxhash64(key, some).alias("_row")).dropDuplicates(["_row"])
+    n = _grams(rows, F.col("_s"), "_row").groupBy("_row", "gram").agg(F.count("*").alias("n"))
+    placed = n.withColumn("_at", F.expr("row_number() over (partition by _row order by n desc, gram)")).withColumn("_all", F.expr("count(*) over (partition by _row)"))
+    off = placed.join(profiles, "gram").groupBy("_row", lang, "_all").agg(F.sum(F.least(F.lit(most), F.abs(F.col("_at") - F.col("place")))).alias("off"), F.count("*").alias("met"))
+    far = off.select("_row", F.struct(((F.col("off") + (F.col("_all") - F.col("met")) * most) / (F.col("_all") * most)).alias("distance"), F.col(lang).alias("l")).alias("b"))
+    best = far.groupBy("_row").agg(F.min("b").alias("b")).select(F.col("_row").alias("_r"), "b")
+    met = docs.select(key, F.xxhash64(key, some).alias("_row")).join(best, F.col("_row") == F.col("_r"), "left")
+    near = F.col("b.distance") <= furthest
+    return met.select(key, F.when(near, F.col("b.l")).alias("detected"), F.when(near, F.col("b.distance")).alias("distance"))
+
+
+def two_letters(code: Column) -> Column:
+    """A language in use by its code of three or two letters; null for others."""
+    low = F.lower(F.trim(code))
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in K.THREE_LETTERS.items() for x in kv)), low), F.when(low.isin(*K.LANGUAGES), low))
 
 
 def mismatched(rows: DataFrame, detected: str, wanted: str) -> DataFrame:

@@ -11,6 +11,7 @@ from glossa.functions import text as X
 from glossa.operators import adapters as A
 from glossa.operators import extract as E
 from glossa.operators import ingest as I
+from glossa.operators import mainpart as M
 from glossa.plans.base import query
 
 _NOISE = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
@@ -139,18 +140,54 @@ def ocr_pipeline(spark, sf):
     return I.scanned(A.spread(A.table(spark, sf, "documents")), known)
 
 
-@query(None)
+_HELD = "doc_id % 5 = 0"
+_LETTERS = lambda x: rf"' ' || trim(lower(regexp_replace({x}, '[^\p{{L}}]+', ' ', 'g'))) || ' '"
+_NEAREST = rf"""WITH p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, encode(gram)) AS place FROM (SELECT lang, unnest(list_transform(range(1, length(s) - 1), lambda i: s[i:i + 2])) AS gram FROM (SELECT lang, {_LETTERS("text")} AS s FROM documents WHERE NOT {_HELD})) GROUP BY lang, gram QUALIFY place <= {I.PROFILE}),
+g AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, encode(gram)) AS seat FROM (SELECT doc_id, unnest(list_transform(range(1, length(s) - 1), lambda i: s[i:i + 2])) AS gram FROM (SELECT doc_id, {_LETTERS("text[1:500]")} AS s FROM documents WHERE length(regexp_replace(text[1:500], '[^\p{{L}}]', '', 'g')) >= {I.LEAST_LETTERS})) GROUP BY doc_id, gram),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+f AS (SELECT doc_id, lang, (sum(least({I.PROFILE}, abs(seat - place))) + (n - count(*)) * {I.PROFILE})::DOUBLE / (n * {I.PROFILE}) AS d FROM g JOIN p USING (gram) JOIN n USING (doc_id) GROUP BY doc_id, lang, n),
+b AS (SELECT doc_id, lang AS detected, d FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, lang) = 1 AND d <= {I.FURTHEST})
+"""
+
+
+def _detected(spark, sf):
+    """Languages of all documents by profiles that the held-out fifth has no part in."""
+    d = A.spread(A.table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    return d, I.detect_language(d, I.trigram_profiles(d.where(f"not {_HELD}")))
+
+
+@query(_NEAREST + "SELECT doc_id, lang, detected FROM documents JOIN b USING (doc_id) WHERE detected <> lang")
 def language_mismatch(spark, sf):
     """Documents whose detected language is another than their own."""
-    d = A.table(spark, sf, "documents")
-    found = I.detect_language(d, I.trigram_profiles(d)).join(d.select("doc_id", "lang"), "doc_id")
-    return I.mismatched(found, "detected", "lang").select("doc_id", "lang", "detected")
+    d, found = _detected(spark, sf)
+    return I.mismatched(found.join(d.select("doc_id", "lang"), "doc_id"), "detected", "lang").select("doc_id", "lang", "detected")
 
 
-@query(None)
+@query(_NEAREST + f"SELECT doc_id, detected, round(d, 9) AS distance, {_HELD} AS held_out FROM documents LEFT JOIN b USING (doc_id)")
 def lang_detect(spark, sf):
-    d = A.spread(A.table(spark, sf, "documents"))
-    return I.detect_language(d, I.trigram_profiles(d))
+    return _detected(spark, sf)[1].select("doc_id", "detected", F.round("distance", 9).alias("distance"), F.expr(_HELD).alias("held_out"))
+
+
+@query(_NEAREST + f"SELECT lang, count(*) AS n, count(*) FILTER (detected = lang) AS right, count(*) FILTER (detected IS NULL) AS unknown FROM documents LEFT JOIN b USING (doc_id) WHERE {_HELD} GROUP BY lang")
+def language_accuracy(spark, sf):
+    """How many held-out documents of each language are told right, and how many are left open."""
+    d, found = _detected(spark, sf)
+    met = d.where(_HELD).select("doc_id", "lang").join(found, "doc_id")
+    return met.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("detected") == F.col("lang")).alias("right"), F.count_if(F.col("detected").isNull()).alias("unknown"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN CASE WHEN doc_id % 2 = 0 THEN 'no' END WHEN 'fr' THEN 'fr' ELSE 'no' END AS code FROM documents")
+def language_codes(spark, sf):
+    """Codes of three letters, some of them of languages that are not in use, as those of two."""
+    given = F.when(F.col("lang") == "en", " ENG ").when(F.col("lang") == "de", F.when(F.col("doc_id") % 2 == 0, "nno").otherwise("isl")).when(F.col("lang") == "fr", "fr").otherwise("nob")
+    return A.table(spark, sf, "documents").select("doc_id", I.two_letters(given).alias("code"))
+
+
+@query(None)
+def main_articles(spark, sf):
+    """Main parts of pages, told by their blocks alone: article elements count as any other."""
+    p = A.spread(A.table(spark, sf, "pages").select("page_id", F.regexp_replace("html", "(?i)(</?)article", "$1div").alias("html")))
+    return M.main_articles(p).select("page_id", "article")
 
 
 @query(r"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'link' WHEN doc_id % 4 = 1 THEN 'image' WHEN regexp_matches(t, '^\s*https?://\S+\s*$') THEN 'link' ELSE 'text' END AS route FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'https://example.com/' || doc_id ELSE text END AS t FROM documents)")
