@@ -198,3 +198,9 @@ def composed(low: Column) -> Column:
     table = F.create_map(*(F.lit(x) for kv in COMPOSED.items() for x in kv))
     whole = F.array_join(F.transform(F.regexp_extract_all(low, F.lit(r"(?s).\p{M}?"), 0), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     return F.when(low.rlike(r"\p{M}"), whole).otherwise(low)
+
+
+def source_forms(forms: Column, original: Column) -> Column:
+    """The forms of a card out of their JSON text; where that is missing, malformed or holds none, the search terms of its word."""
+    kept = F.filter(F.from_json(forms, "array<string>"), lambda x: x.isNotNull() & (trim(x) != ""))
+    return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(search_terms(original))

@@ -216,7 +216,11 @@ def json_parse_repair(spark, sf):
     return E.parsed(_answers(spark, sf)).select("doc_id", "part", "ordinal", "original", "translation", "level", "type")
 
 
-@query(A.oracle("tokens", "SELECT DISTINCT doc_id, tok, length(tok) AS n FROM tokens"))
+@query(A.oracle("vocabulary", "SELECT id, form FROM (SELECT id, unnest([CASE WHEN pos % 4 <> 3 OR length(original) >= 3 THEN original END, CASE pos % 4 WHEN 0 THEN reverse(original) WHEN 3 THEN 'große ' || original END, CASE WHEN pos % 4 = 3 THEN 'große' END]) AS form FROM vocabulary) WHERE form IS NOT NULL"))
 def source_forms_codec(spark, sf):
-    t = A.tokens(spark, sf).groupBy("doc_id").agg(F.to_json(F.collect_set("tok")).alias("forms"))
-    return t.select("doc_id", F.explode(F.from_json("forms", "array<string>")).alias("tok")).select("doc_id", "tok", F.length("tok").cast("long").alias("n"))
+    """Forms of cards as JSON; those that are cut off, empty or missing fall back to the search terms of the card."""
+    m, o = F.col("pos") % 4, F.col("original")
+    forms = F.to_json(F.array(o, F.reverse(o)))
+    said = F.when(m == 0, forms).when(m == 1, F.substring(forms, F.lit(1), F.length(forms) - 2)).when(m == 2, F.lit("[]"))
+    card = F.when(m == 3, F.concat(F.lit("der große "), o)).otherwise(o)
+    return A.vocabulary(spark, sf).select("id", F.explode(lex.source_forms(said, card)).alias("form"))

@@ -67,7 +67,7 @@ def cognate_adjust(spark, sf):
 
 #: Raw entries as an extraction gives them: lines of documents as words with articles, pairs and capitals.
 def _entries(spark, sf):
-    v = A.vocabulary(spark, sf).select("id", "lang", "original", "translation", "word_type", "doc_id", "pos")
+    v = A.vocabulary(spark, sf).select("id", "lang", "original", "translation", "word_type", "level", "doc_id", "pos")
     o, m = F.col("original"), F.col("pos") % 8
     plain = F.replace(o, F.lit("ß"), F.lit("ss"))
     made = F.when(m == 0, F.concat(F.lit("der "), o, F.lit(", die "), o, F.lit("in"))).when(m == 1, F.upper(plain)).when(m == 2, F.initcap(plain)).when(m == 3, F.concat(F.lit("the "), o, F.lit(" "), F.reverse(o))).when(m == 4, F.concat(o, F.lit(", "), o)).when(m == 5, F.concat(F.lit("l’"), o)).when(m == 6, F.concat(o, F.lit(", "), o, F.lit("e"))).otherwise(o)
@@ -75,7 +75,7 @@ def _entries(spark, sf):
 
 
 _ENTRIES = """, entries AS (SELECT id, lang, CASE pos % 8 WHEN 0 THEN 'der ' || original || ', die ' || original || 'in' WHEN 1 THEN upper(replace(original, 'ß', 'ss')) WHEN 2 THEN upper(replace(original, 'ß', 'ss')[1]) || replace(original, 'ß', 'ss')[2:] WHEN 3 THEN 'the ' || original || ' ' || reverse(original)
- WHEN 4 THEN original || ', ' || original WHEN 5 THEN 'l’' || original WHEN 6 THEN original || ', ' || original || 'e' ELSE original END AS original, translation, word_type, doc_id, pos FROM vocabulary)
+ WHEN 4 THEN original || ', ' || original WHEN 5 THEN 'l’' || original WHEN 6 THEN original || ', ' || original || 'e' ELSE original END AS original, translation, word_type, level, doc_id, pos FROM vocabulary)
 """
 
 
@@ -200,9 +200,9 @@ def lemmas(spark, sf):
     return _entries(spark, sf).select("id", L.lemma(F.col("original")).alias("lemma"))
 
 
-@query(entry_oracle(rf"SELECT id, upper(c) IN ('A1', 'A2', 'B1', 'B2', 'C1', 'C2') AS label, length(c) BETWEEN 2 AND 40 AND regexp_matches(c, '^\p{{L}}[\p{{L}}''\- ()]*$') AS word FROM (SELECT id, trim(regexp_replace(CASE WHEN pos % 3 = 0 THEN '“' || level || '”' ELSE '«' || original || '» ' END, '[‘’“”''\"`«»‹›]', '', 'g')) AS c FROM entries JOIN (SELECT id AS i, level FROM vocabulary) ON i = id)"))
+@query(entry_oracle(rf"SELECT id, upper(c) IN ('A1', 'A2', 'B1', 'B2', 'C1', 'C2') AS label, length(c) BETWEEN 2 AND 40 AND regexp_matches(c, '^\p{{L}}[\p{{L}}''\- ()]*$') AS word FROM (SELECT id, trim(regexp_replace(CASE WHEN pos % 3 = 0 THEN '“' || level || '”' ELSE '«' || original || '» ' END, '[‘’“”''\"`«»‹›]', '', 'g')) AS c FROM entries)"))
 def cell_tests(spark, sf):
-    e = _entries(spark, sf).join(A.vocabulary(spark, sf).select(F.col("id").alias("i"), "level"), F.col("id") == F.col("i"))
+    e = _entries(spark, sf)
     cell = L.clean_cell(F.when(F.col("pos") % 3 == 0, F.concat(F.lit("“"), "level", F.lit("”"))).otherwise(F.concat(F.lit("«"), "original", F.lit("» "))))
     return e.select("id", L.is_label(cell).alias("label"), L.is_lemma(cell).alias("word"))
 
