@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from glossa.llm.common import chunks
 
 #: Pre-tokens that a worker remembers, and the bytes of the longest of them.
-REMEMBERED, SHORT = 1_000_000, 64
+REMEMBERED, SHORT = 1 << 17, 64
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
