@@ -283,8 +283,8 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column
         picked = some if picked is None else picked.unionAll(some)
     picked = picked.select(F.col(key).alias("_key"), F.col("h").alias("_h"), "y")
     met = rows.join(F.broadcast(picked), (F.col(key) == F.col("_key")) & (F.xxhash64("text") == F.col("_h"))).groupBy(key, "text").agg(F.max("y").alias("y"))
-    some = sorted((r[key], r["text"], r["y"]) for r in met.toArrow().to_pylist())
-    return [t for _, t, _ in some], [y for _, _, y in some]
+    got = met.toArrow().sort_by([(key, "ascending"), ("text", "ascending")])
+    return got["text"].to_pylist(), got["y"].to_pylist()
 
 
 def scored(docs: DataFrame, model: dict | None, keep: list[str], text: str = "text") -> DataFrame:
