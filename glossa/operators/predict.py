@@ -88,8 +88,9 @@ def balanced_sample(rows: DataFrame, n: int, seed: int, word: str = "word") -> D
 
 
 def picked_entries(corpus: DataFrame, order: str, index: int | None = None, skip: int = 0, limit: int | None = None, seed: int = 42) -> DataFrame:
-    """Entries (lang, ...) of each language with their index by order (a whole number): the one asked for; else those behind skip, limit of them drawn without replacement if a limit is given."""
-    rows = running(corpus, ["lang"], [F.floor(F.col(order) / 1000)], [F.col(order)], "index").withColumn("index", F.col("index") - 1)
+    """Entries (lang, ...) of each language with their index by order (a text or a number): the one asked for; else those behind skip, limit of them drawn without replacement if a limit is given."""
+    block = letters(F.col(order)) if corpus.schema[order].dataType.typeName() == "string" else F.floor(F.col(order) / 1000)
+    rows = running(corpus, ["lang"], [block], [F.col(order)], "index").withColumn("index", F.col("index") - 1)
     if index is not None:
         return rows.where(F.col("index") == index)
     rows = rows.where(F.col("index") >= skip)
