@@ -238,6 +238,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
         w, bias = _svm(x, sign, weight)
         own = root @ w
         table = np.concatenate([columns[i : i + 4096] @ own for i in range(0, TABLE, 4096)]).astype(np.float32)  # in parts: doubles of all columns take 268 MB
+        del columns
         m = margins(letters, starts, table, bias)
         score = dict(zip(names, m.tolist()))
         hard = list(dict.fromkeys(hard + sorted(clean, key=lambda w: (-score[w], w))[:HARD]))
@@ -268,11 +269,11 @@ def score_texts(data: np.ndarray, offs: np.ndarray, model: dict | None) -> np.nd
     return 1 / (1 + np.exp(-np.clip(top @ model["curve"][:-1] + model["curve"][-1], -50, 50)))
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, key: str = "doc_id", text: str = "text", size: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most size documents of each label, where train holds and the text has at most most bytes.
+def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, key: str = "doc_id", text: str = "text", size: int = SAMPLE, most: int = SAMPLE_BYTES) -> DataFrame:
+    """key, text and y (the label) of at most size documents of each label, where train holds and the text has at most most bytes.
 
     The size labelled ids of each label with the least hashes are asked; their different texts, of which an id may have many,
-    are counted by hashes, and the first size of a label by (hash of the id, hash of the text) are fetched: no more is collected."""
+    are counted by hashes, and the first size of a label by (hash of the id, hash of the text) are fetched."""
     of = labels.where(F.col(label).isin(0, 1) & train).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     chosen = of.where("y = 0").orderBy(F.xxhash64(key), key).limit(size).unionAll(of.where("y = 1").orderBy(F.xxhash64(key), key).limit(size))
     rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") <= most)
@@ -282,11 +283,19 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column
         some = ids.where(F.col("y") == y).orderBy(F.xxhash64(key), key, "h").limit(size)
         picked = some if picked is None else picked.unionAll(some)
     picked = picked.select(F.col(key).alias("_key"), F.col("h").alias("_h"), "y")
-    met = rows.join(F.broadcast(picked), (F.col(key) == F.col("_key")) & (F.xxhash64("text") == F.col("_h"))).groupBy(key, "text").agg(F.max("y").alias("y"))
-    got = met.toArrow().sort_by([(key, "ascending"), ("text", "ascending")])
+    return rows.join(F.broadcast(picked), (F.col(key) == F.col("_key")) & (F.xxhash64("text") == F.col("_h"))).groupBy(key, "text").agg(F.max("y").alias("y"))
+
+
+def _in_order(rows: pa.Table, key: str) -> tuple[list[str], list[int]]:
+    got = rows.sort_by([(key, "ascending"), ("text", "ascending")])
     return got["text"].to_pylist(), got["y"].to_pylist()
 
 
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, key: str = "doc_id", text: str = "text", size: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """The texts and labels of such a sample, in the order of key and text."""
+    return _in_order(sample(docs, labels, label, train, key, text, size, most).toArrow(), key)
+
+
 def scored(docs: DataFrame, model: dict | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep of docs and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -313,12 +322,20 @@ def without(docs: DataFrame, model: dict | None, threshold: float = 0.5, text: s
     return docs.mapInArrow(run, kinds)
 
 
-def trained(docs: DataFrame, labels: DataFrame, train: Column) -> dict | None:
-    return fit(*bounded_sample(docs, labels, "toxic", train))
+def trained(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id") -> dict | None:
+    """The model of a bounded sample, fitted by one task, which can be repeated; the driver gets the table and the curve alone."""
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if got and (model := fit(*_in_order(pa.Table.from_batches(got), key))):
+            yield pa.RecordBatch.from_pydict({"table": [model["table"].tobytes()], "bias": [model["bias"]], "curve": [model["curve"].tolist()]})
+
+    found = sample(docs, labels, "toxic", train, key).repartition(1).mapInArrow(run, "table binary, bias double, curve array<double>").head()
+    return found and {"table": np.frombuffer(found["table"], np.float32), "bias": found["bias"], "curve": np.array(found["curve"])}
 
 
 def rated(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, key: str = "doc_id") -> DataFrame:
     """key, held_out, score, predicted of each document; rows whose fold is held are not learnt from."""
     fold = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(folds))
-    rows = scored(docs, trained(docs, labels, fold != held), [key])
+    rows = scored(docs, trained(docs, labels, fold != held, key), [key])
     return rows.select(key, F.coalesce(fold == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
