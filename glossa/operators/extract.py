@@ -58,9 +58,10 @@ def repaired(answers: pd.Series) -> pd.Series:
 def parsed(answers: DataFrame, column: str = "answer") -> DataFrame:
     """One row per extracted item with its ordinal; missing fields get their defaults; only answers that don't parse are repaired."""
     sliced = F.regexp_extract(column, r"(?s)(\[.*\])", 1)
-    quick = F.from_json(sliced, ITEMS)
-    rows = answers.withColumn("_items", F.coalesce(quick, F.from_json(F.when(quick.isNull(), repaired(F.col(column))), ITEMS)))
-    rows = rows.select(*answers.columns, F.posexplode("_items").alias("ordinal", "i"))
+    rows = answers.withColumn("_quick", F.from_json(sliced, ITEMS))
+    rows = rows.withColumn("_items", F.coalesce("_quick", F.from_json(repaired(F.when(F.col("_quick").isNull(), F.col(column))), ITEMS)))
+    # An inner posexplode would have its items made a second time, to filter by their size.
+    rows = rows.select(*answers.columns, F.posexplode_outer("_items").alias("ordinal", "i")).where("ordinal is not null")
     fields = {"original": "", "translation": "", "level": "", "type": "other"}
     return rows.select(*answers.columns, "ordinal", *(F.coalesce(F.col(f"i.{k}"), F.lit(v)).alias(k) for k, v in fields.items()), F.coalesce("i.source_forms", F.array().cast("array<string>")).alias("source_forms"))
 

@@ -205,9 +205,13 @@ def title_fallback(spark, sf):
 
 #: Recorded answers: a document's words, 500 to an answer, as JSON in prose; a third of the answers is cut off.
 def _answers(spark, sf):
-    t = A.tokens(spark, sf).withColumn("part", F.floor(F.col("pos") / 500))
-    item = F.to_json(F.struct(F.col("tok").alias("original"), F.reverse("tok").alias("translation"), F.when(F.col("pos") % 3 != 0, "noun").alias("type")))
-    a = t.groupBy("doc_id", "part").agg(F.concat(F.lit("Here you are:\n["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("j")))), lambda x: x["j"]), ","), F.lit("]")).alias("answer"))
+    d = A.spread(A.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0).alias("w"))
+    # A document's parts are cut where its text is, so nothing is shuffled.
+    parts = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 500).cast("int")))
+    p = d.select("doc_id", "w", F.explode_outer(parts).alias("part")).where("part is not null")
+    t = p.select("doc_id", F.col("part").cast("long").alias("part"), F.transform(F.slice("w", F.col("part") * 500 + 1, 500), F.lower).alias("w"))
+    item = lambda w, i: F.to_json(F.struct(w.alias("original"), F.reverse(w).alias("translation"), F.when((F.col("part") * 500 + i) % 3 != 0, "noun").alias("type")))
+    a = t.select("doc_id", "part", F.concat(F.lit("Here you are:\n["), F.array_join(F.transform("w", item), ","), F.lit("]")).alias("answer"))
     return a.withColumn("answer", F.when(F.col("doc_id") % 3 == 0, F.substring("answer", F.lit(1), F.length("answer") - 9)).otherwise(F.col("answer")))
 
 
