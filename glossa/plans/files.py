@@ -24,7 +24,9 @@ def corpus_tsv(spark, sf):
     """Counts of words as a corpus list (rank, word, count) with both cases of each word, and some lines that don't fit."""
     n = A.word_counts(A.tokens(spark, sf)).where("lang = 'fr'")
     one = lambda word, count: F.concat_ws("\t", F.lit("1"), word, count.cast("string"))
-    lines = n.select(F.explode(F.array(one(F.initcap("tok"), F.col("c") - 1), one(F.col("tok"), F.lit(1)), F.lit("no fit"), F.concat_ws("\t", F.lit("2"), "tok", F.lit("many")))).alias("value"))
+    title = F.initcap("tok")
+    title = F.when(F.lower(title) == F.col("tok"), title).otherwise(F.col("tok"))  # a title that doesn't fold back (of a double s) is another word
+    lines = n.select(F.explode(F.array(one(title, F.col("c") - 1), one(F.col("tok"), F.lit(1)), F.lit("no fit"), F.concat_ws("\t", F.lit("2"), "tok", F.lit("many")))).alias("value"))
     return R.corpus_counts(spark, _text(lines, R.scratch(spark, "tsv"), spark), "fr")
 
 
