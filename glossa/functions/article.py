@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossa.functions.lex import trim
+from glossa.functions.lex import let, trim
 
 #: Months, and words before a date, that end an article.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Janeiro|Fevereiro|Mar[cç]o|Abril|Maio|Junho|Julho|Agosto|Setembro|Outubro|Novembro|Dezembro|Januar|Februar|M[aä]rz|Mai|Juni|Juli|Oktober|Dezember"
@@ -25,18 +25,19 @@ PRINTED = r"(?iu)\A(?:En utskrift från[^\n]*\n+(?:Artikelns ursprungsadress:[^\
 
 def without_crumbs(text: Column) -> Column:
     """Paragraphs from the first that is long, empty, or has a mark of punctuation; the last one always stays."""
-    parts = F.split(text, r"\n+")
-    stays = F.transform(parts, lambda p: (p == "") | (F.length(p) >= CRUMB) | p.rlike("[.!?:,;]"))
-    first = F.array_position(stays, True)
-    gone = F.when(first == 0, F.size(parts) - 1).otherwise(F.least(first.cast("int"), F.size(parts)) - 1)
-    return F.regexp_replace(F.array_join(F.slice(parts, gone + 1, F.size(parts)), "\n\n"), r"\A\n+", "")
+
+    def kept(parts: Column) -> Column:
+        stays = F.transform(parts, lambda p: (p == "") | (F.length(p) >= CRUMB) | p.rlike("[.!?:,;]"))
+        gone = let(F.array_position(stays, True), lambda first: F.when(first == 0, F.size(parts) - 1).otherwise(F.least(first.cast("int"), F.size(parts)) - 1))
+        return F.array_join(F.slice(parts, gone + 1, F.size(parts)), "\n\n")
+
+    return F.regexp_replace(let(F.split(text, r"\n+"), kept), r"\A\n+", "")
 
 
 def once(line: Column) -> Column:
     """A line that says the same three times or twice in a row says it once."""
-    words = F.split(trim(line), r"\s+")
 
-    def part(n: int) -> tuple[Column, Column]:
+    def part(words: Column, n: int) -> tuple[Column, Column]:
         size = F.floor(F.size(words) / n).cast("int")
         first = F.slice(words, 1, F.greatest(size, F.lit(1)))
         same = (F.size(words) >= n) & (F.size(words) % n == 0)
@@ -44,22 +45,28 @@ def once(line: Column) -> Column:
             same = same & (F.slice(words, size * i + 1, F.greatest(size, F.lit(1))) == first)
         return same, F.array_join(first, " ")
 
-    (three, a), (two, b) = part(3), part(2)
-    return F.when(three, a).when(two, b).otherwise(line)
+    def said(words: Column) -> Column:
+        (three, a), (two, b) = part(words, 3), part(words, 2)
+        return F.when(three, a).when(two, b).otherwise(line)
+
+    return let(F.split(trim(line), r"\s+"), said)
 
 
 def word_overlap(a: Column, b: Column) -> Column:
     """The share of a's distinct words that b has too."""
     words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
-    return F.size(F.array_intersect(words(a), words(b))) / F.size(words(a))
+    return let(words(a), lambda w: F.size(F.array_intersect(w, words(b))) / F.size(w))
 
 
 def without_lead(text: Column) -> Column:
     """Without a first paragraph that the second begins with or has over 80 % of the words of."""
-    parts = F.split(text, r"\n\n+")
-    a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    repeated = (F.size(parts) >= 2) & (F.length(a) > LEAD) & (b.startswith(a) | (word_overlap(a, b) > 0.8))
-    return F.when(repeated, F.array_join(F.slice(parts, 2, F.size(parts)), "\n\n")).otherwise(text)
+
+    def kept(parts: Column) -> Column:
+        a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        repeated = (F.size(parts) >= 2) & (F.length(a) > LEAD) & (b.startswith(a) | (word_overlap(a, b) > 0.8))
+        return F.when(repeated, F.array_join(F.slice(parts, 2, F.size(parts)), "\n\n")).otherwise(text)
+
+    return let(F.split(text, r"\n\n+"), kept)
 
 
 def steps(c: str) -> list[tuple[str, Column]]:

@@ -15,7 +15,12 @@ STRIP_ALL = r"(?iu)^((" + "|".join(K.STRIPPED) + r")\s+)+"
 
 def trim(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def let(value: Column, body) -> Column:
+    """body of value, which is evaluated once however often body names it (branches of a condition share nothing else)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def parts(c: Column) -> Column:
