@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossa.functions.lex import trim
+from glossa.functions.lex import let, trim
 
+VOWEL, CONSONANT = "[aeiouáàâãäåéèêëíìîïóòôõöúùûüýÿœæ]", "[bcdfghjklmnpqrstvwxzçñß]"
 NOISE_TAGS = "script style noscript iframe svg nav footer".split()
 
 
@@ -33,12 +34,15 @@ def code_like(text: Column) -> Column:
 
 def ocr_reason(text: Column) -> Column:
     """Null if scanned text is usable, else the first test that it fails."""
-    t = trim(text)
-    words = F.filter(F.transform(F.split(t, r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
-    n, total = F.size(words), F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    letters, dark = F.regexp_count(t, F.lit(r"\p{L}")), F.length(F.regexp_replace(t, r"\s", ""))
-    longest = F.array_max(F.transform(words, F.length))
-    return F.when(F.length(t) < 20, "short").when(n < 3, "few words").when(longest < 5, "fragments").when(letters / dark < 0.4, "symbols").when((total / n < 2.5) & (n > 5), "garbled")
+
+    def judged(t: Column, words: Column) -> Column:
+        """words: the text without all but letters, digits and blanks."""
+        n, total = F.size(F.filter(F.split(words, r"\s+"), lambda w: w != "")), F.length(F.regexp_replace(words, r"\s+", ""))
+        letters, dark = F.length(F.regexp_replace(words, r"[^\p{L}]+", "")), F.length(F.regexp_replace(t, r"\s+", ""))
+        garbled = let(n, lambda n: F.when(n < 3, "few words").when(~words.rlike(r"\S{5}"), "fragments").when(letters / dark < 0.4, "symbols").when((total / n < 2.5) & (n > 5), "garbled"))
+        return F.when(F.length(t) < 20, "short").otherwise(garbled)
+
+    return let(trim(text), lambda t: let(F.regexp_replace(t, r"[^\p{L}\p{N}\s]+", ""), lambda w: judged(t, w)))
 
 
 def clean_lines(text: Column) -> Column:
@@ -62,6 +66,11 @@ def truncated(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
+def plain_word(t: Column) -> Column:
+    """A word of Latin letters in lower case, or with a capital in front, that holds a vowel and no five consonants in a row: never garbage."""
+    return t.rlike(rf"^(?=.*(?iu:{VOWEL}))(?!.*(?iu:{CONSONANT}{{5}}))[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+$")
+
+
 def dirty_mix(t: Column) -> Column:
     return t.rlike(r"\d") & t.rlike(r"\p{L}") & ~t.rlike(r"^\d+\p{Ll}+$") & ~t.rlike(r"^\p{L}+-?\d+$")
 
@@ -73,4 +82,4 @@ def odd_casing(t: Column) -> Column:
 
 def odd_sounds(t: Column) -> Column:
     s = F.lower(F.regexp_replace(t, r"[^\p{L}]", ""))
-    return (F.length(s) >= 5) & (~s.rlike("[aeiouáàâãäåéèêëíìîïóòôõöúùûüýÿœæ]") | s.rlike("[bcdfghjklmnpqrstvwxzçñß]{5}"))
+    return (F.length(s) >= 5) & (~s.rlike(VOWEL) | s.rlike(f"{CONSONANT}{{5}}"))
