@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from glossa.functions import article as article_text
 from glossa.functions import constants as K
 from glossa.functions import text as X
+from glossa.functions.lex import let
 
 #: Elements that are no article text, those whose text ends a paragraph, and parts of class names of side matter.
 DROPPED = {"table", "figure", "figcaption", "svg", "nav", "aside"}
@@ -20,6 +22,8 @@ BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "blockquot
 NOISE = ("infobox", "sidebar", "breadcrumb", "byline", "metadata", "share", "social", "navbox", "catlinks", "mw-editsection")
 #: Places of a profile of trigrams, letters that a text must have to be judged, and the distance beyond which it is none of the languages.
 PROFILE, LEAST_LETTERS, FURTHEST = 300, 10, 0.8
+#: Lines with other than blanks that a text must have to lose some.
+LEAST_LINES = 3
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _NUMBER = re.compile(r"\s*\[?\d+\]?\s*")
 _SENTENCE = re.compile(r"[.!?]\s+(?=\p{Lu})")
@@ -85,10 +89,9 @@ def article(pages: DataFrame, html: str = "html", name: str = "article") -> Data
 
 def scanned(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, reason, text: scanned texts in the order of the steps: those that are no usable text keep the reason and lose the text, the others lose stray lines, then garbage lines, then line wraps."""
-    judged = docs.select(key, F.col(text).alias("text"), X.ocr_reason(F.col(text)).alias("reason"))
-    good = judged.where("reason is null").select(key, X.clean_lines(F.col("text")).alias("text"))
-    kept = garbage_free(good, known, key).select(F.col(key).alias("_k"), F.col("text").alias("_t"))
-    return judged.select(key, "reason").join(kept, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, "reason", X.join_wraps(F.col("_t")).alias("text"))
+    judged = docs.select(key, F.col(text).alias("_t"), X.ocr_reason(F.col(text)).alias("reason")).select(key, "reason", F.when(F.col("reason").isNull(), X.clean_lines(F.col("_t"))).alias("text"))
+    gone = _garbage(judged, known, key, "text", LEAST_LINES)
+    return judged.join(gone, F.col(key) == F.col("_k"), "left").select(key, "reason", X.join_wraps(_without(F.col("text"))).alias("text"))
 
 
 def chunk(max_chars: int):
@@ -116,25 +119,36 @@ def chunk(max_chars: int):
     return run
 
 
-def garbage_free(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", least_lines: int = 3) -> DataFrame:
+def garbage_free(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", least_lines: int = LEAST_LINES) -> DataFrame:
     """key, text without lines that hold a garbage token and no known one (known: word); texts of few lines stay whole.
 
     Whether a line may hold garbage is told on the line itself; only the tokens of such lines meet the word list, and only
     the places of lines that go come back to the texts."""
+    gone = _garbage(docs, known, key, text, least_lines)
+    return docs.select(key, text).join(gone, F.col(key) == F.col("_k"), "left").select(key, _without(F.col(text)).alias("text"))
+
+
+def _without(text: Column) -> Column:
+    """text without the lines whose places are in _gone."""
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains("_gone", i)), "\n")
+    return F.when(F.col("_gone").isNull(), text).otherwise(kept)
+
+
+def _garbage(docs: DataFrame, known: DataFrame, key: str, text: str, least_lines: int) -> DataFrame:
+    """_k, _gone: the places of each text's lines that are to go. Outer explodes make their arrays once; inner ones would make them again, to filter by their sizes."""
     strip = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
     t, inside = F.col("t"), F.col("in_list")
     odd = lambda t: X.odd_casing(t) | ((F.length(t) >= 5) & (t == F.upper(t))) | X.odd_sounds(t)
     latin = lambda t: t.rlike(r"\p{IsLatin}")
-    judged = docs.where(F.size(F.filter(F.split(text, "\n"), lambda s: s.rlike(r"\S"))) >= least_lines)
-    lines = judged.select(key, F.posexplode(F.split(text, "\n")).alias("line", "s"))
-    lines = lines.select(key, "line", F.filter(F.transform(F.split("s", r"\s+"), lambda x: F.regexp_replace(x, strip, "")), lambda x: F.length(x) >= 4).alias("ts"))
-    toks = lines.where(F.exists("ts", lambda x: latin(x) & (X.dirty_mix(x) | odd(x)))).select(key, "line", F.explode("ts").alias("t"))
+    judged = let(F.split(text, "\n"), lambda p: F.when(F.size(F.filter(p, lambda s: s.rlike(r"\S"))) >= least_lines, p))
+    lines = docs.select(key, F.posexplode_outer(judged).alias("line", "s")).where("line is not null")
+    toks = F.filter(F.transform(F.split("s", r"\s+"), lambda x: F.regexp_replace(x, strip, "")), lambda x: F.length(x) >= 4)
+    some = let(toks, lambda ts: F.when(F.exists(ts, lambda x: ~X.plain_word(x) & latin(x) & (X.dirty_mix(x) | odd(x))), ts))
+    toks = lines.select(key, "line", F.explode_outer(some).alias("t")).where("t is not null")
     met = toks.join(known.select(F.col("word").alias("w")).distinct(), F.lower("t") == F.col("w"), "left").withColumn("in_list", F.col("w").isNotNull())
     bad = latin(t) & (X.dirty_mix(t) | (~inside & odd(t)))
     gone = met.groupBy(key, "line").agg((F.max(bad.cast("int")) == 1).alias("bad"), F.bool_or(inside).alias("known")).where("bad and not known")
-    gone = gone.groupBy(F.col(key).alias("_k")).agg(F.collect_set("line").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains("_gone", i)), "\n")
-    return docs.select(key, text).join(gone, F.col(key) == F.col("_k"), "left").select(key, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias("text"))
+    return gone.groupBy(F.col(key).alias("_k")).agg(F.collect_set("line").alias("_gone"))
 
 
 def route(url: Column, image: Column, text: Column) -> Column:
@@ -142,10 +156,27 @@ def route(url: Column, image: Column, text: Column) -> Column:
     return F.when(url.isNotNull(), "link").when(image.isNotNull(), "image").when(text.rlike(r"^\s*https?://\S+\s*$"), "link").when(text.isNotNull(), "text").otherwise("none")
 
 
+def _letters(text: Column) -> Column:
+    """The letters of a text, in lower case, with one blank in place of all else, and around it."""
+    return F.concat(F.lit(" "), F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " "))), F.lit(" "))
+
+
 def _grams(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """keep, gram: each three characters in a row of the letters of a text, in lower case, with one blank in place of all else, and around it."""
-    s = F.concat(F.lit(" "), F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " "))), F.lit(" "))
-    return docs.select(*keep, F.explode(F.regexp_extract_all(s, F.lit("(?=(.{3}))"), 1)).alias("gram"))
+    """keep, gram: each three characters in a row of the letters of a text (an inner explode would have them made twice)."""
+    return docs.select(*keep, F.explode_outer(F.regexp_extract_all(_letters(text), F.lit("(?=(.{3}))"), 1)).alias("gram")).where("gram is not null")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def ranked_grams(letters: pd.Series) -> pd.Series:
+    """The distinct trigrams of short texts, the most frequent first (equal counts: by the trigram)."""
+
+    def one(s: str | None) -> list[str] | None:
+        if s is None:
+            return None
+        n = Counter(s[i : i + 3] for i in range(len(s) - 2))
+        return sorted(n, key=lambda g: (-n[g], g))
+
+    return letters.map(one)
 
 
 def trigram_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = PROFILE) -> DataFrame:
@@ -159,12 +190,13 @@ def detect_language(docs: DataFrame, profiles: DataFrame, key: str = "doc_id", t
 
     The text's trigrams are ranked as the profiles' are; each is off by the difference of its places, or by most where the profile lacks
     it; the distance is the mean of that as a share of most. Null for fewer than least letters, and where the nearest profile
-    is further than furthest or no trigram is in any; equal distances go to the first language by name. Rows that repeat a key with equal texts are one."""
+    is further than furthest or no trigram is in any; equal distances go to the first language by name. Rows that repeat a key with equal texts are one.
+    A text's trigrams are ranked in its row and meet the profiles (at most `most` rows a language) there, so one row per text and language is shuffled."""
     some = F.substring(text, 1, 500)
-    rows = docs.where(F.length(F.regexp_replace(some, r"[^\p{L}]", "")) >= least).select(key, some.alias("_s"), F.xxhash64(key, some).alias("_row")).dropDuplicates(["_row"])
-    n = _grams(rows, F.col("_s"), "_row").groupBy("_row", "gram").agg(F.count("*").alias("n"))
-    placed = n.withColumn("_at", F.expr("row_number() over (partition by _row order by n desc, gram)")).withColumn("_all", F.expr("count(*) over (partition by _row)"))
-    off = placed.join(profiles, "gram").groupBy("_row", lang, "_all").agg(F.sum(F.least(F.lit(most), F.abs(F.col("_at") - F.col("place")))).alias("off"), F.count("*").alias("met"))
+    rows = docs.where(F.length(F.regexp_replace(some, r"[^\p{L}]", "")) >= least).select(key, some.alias("_s"), F.xxhash64(key, some).alias("_row"), F.monotonically_increasing_id().alias("_id"))
+    ranked = rows.select("_id", "_row", ranked_grams(_letters(F.col("_s"))).alias("_g"))
+    placed = ranked.select("_id", "_row", F.size("_g").alias("_all"), F.posexplode_outer("_g").alias("_at", "gram")).where("gram is not null").withColumn("_at", F.col("_at") + 1)
+    off = placed.join(F.broadcast(profiles), "gram").groupBy("_id", "_row", lang, "_all").agg(F.sum(F.least(F.lit(most), F.abs(F.col("_at") - F.col("place")))).alias("off"), F.count("*").alias("met"))
     far = off.select("_row", F.struct(((F.col("off") + (F.col("_all") - F.col("met")) * most) / (F.col("_all") * most)).alias("distance"), F.col(lang).alias("l")).alias("b"))
     best = far.groupBy("_row").agg(F.min("b").alias("b")).select(F.col("_row").alias("_r"), "b")
     met = docs.select(key, F.xxhash64(key, some).alias("_row")).join(best, F.col("_row") == F.col("_r"), "left")
