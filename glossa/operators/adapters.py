@@ -30,7 +30,16 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"))
-    return d.select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0)).alias("pos", "w")).select("lang", "doc_id", F.col("pos").cast("long").alias("pos"), F.lower("w").alias("tok"))
+    # An inner posexplode would have the words made a second time, to filter by their number.
+    return d.select("lang", "doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0)).alias("pos", "w")).where("pos is not null").select("lang", "doc_id", F.col("pos").cast("long").alias("pos"), F.lower("w").alias("tok"))
+
+
+def word_parts(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """doc_id, part, w: a document's words in lower case, so many to a part. They are cut where the text is, so nothing is shuffled."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0).alias("w"))
+    parts = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int")))
+    p = d.select("doc_id", "w", F.explode_outer(parts).alias("part")).where("part is not null")
+    return p.select("doc_id", F.col("part").cast("long").alias("part"), F.transform(F.slice("w", F.col("part") * size + 1, size), F.lower).alias("w"))
 
 
 def word_counts(toks: DataFrame) -> DataFrame:

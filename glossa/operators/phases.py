@@ -66,6 +66,13 @@ def labels(answer: Column) -> Column:
     return F.transform_values(good, lambda k, v: F.upper(lex.trim(v)))
 
 
+def rated(ratings_of: Column, labels_of: Column) -> Column:
+    """Word to (rating, level) of two answers about the same words; a word that one of them lacks has null there."""
+    none = lambda kind: F.from_json(F.lit("{}"), f"map<string, {kind}>")
+    both = F.coalesce(ratings(ratings_of), none("double")), F.coalesce(labels(labels_of), none("string"))
+    return F.map_zip_with(*both, lambda k, r, l: F.struct(r.alias("rating"), l.alias("level")))
+
+
 def text_key(text: Column, lang: Column) -> Column:
     """The key under which a text's terms are kept."""
     return F.concat(lang, F.lit(":"), djb2(text))

@@ -56,7 +56,7 @@ def _post(table: str, key: str) -> str:
 
 @query(_post("documents", "doc_id"))
 def article_post(spark, sf):
-    return R.cleaned(A.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return R.cleaned(A.spread(A.table(spark, sf, "documents").select("doc_id", "text")), "text")
 
 
 _ANSWER = r"(CASE WHEN doc_id % 3 = 0 THEN 'TITLE: ' || regexp_replace(text[1:20], '[-\s]+', ' ', 'g') || e'\n---\n' ELSE '' END) || CASE WHEN doc_id % 7 = 0 THEN 'NO_ARTICLE_CONTENT' ELSE text END"
@@ -87,7 +87,7 @@ _T = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
  WHEN len(regexp_extract_all(t, '\p{{L}}')) / length(regexp_replace(t, '\s', '', 'g')) < 0.4 THEN 'symbols' WHEN list_sum(list_transform(w, lambda x: length(x))) / len(w) < 2.5 AND len(w) > 5 THEN 'garbled' END AS reason
 FROM (SELECT doc_id, {_T} AS t, list_filter(list_transform(regexp_split_to_array({_T}, '\s+'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: x <> '') AS w FROM documents)""")
 def ocr_valid(spark, sf):
-    return A.table(spark, sf, "documents").select("doc_id", X.ocr_reason(F.col("text")).alias("reason"))
+    return A.spread(A.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.ocr_reason(F.col("text")).alias("reason"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) <> 1 AND (s = '' OR NOT regexp_matches(s, '^[\d\p{P}\p{S}\s]+$'))), chr(10)), '\n{3,}', e'\n\n', 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents""")
@@ -205,11 +205,7 @@ def title_fallback(spark, sf):
 
 #: Recorded answers: a document's words, 500 to an answer, as JSON in prose; a third of the answers is cut off.
 def _answers(spark, sf):
-    d = A.spread(A.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0).alias("w"))
-    # A document's parts are cut where its text is, so nothing is shuffled.
-    parts = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 500).cast("int")))
-    p = d.select("doc_id", "w", F.explode_outer(parts).alias("part")).where("part is not null")
-    t = p.select("doc_id", F.col("part").cast("long").alias("part"), F.transform(F.slice("w", F.col("part") * 500 + 1, 500), F.lower).alias("w"))
+    t = A.word_parts(spark, sf, 500)
     item = lambda w, i: F.to_json(F.struct(w.alias("original"), F.reverse(w).alias("translation"), F.when((F.col("part") * 500 + i) % 3 != 0, "noun").alias("type")))
     a = t.select("doc_id", "part", F.concat(F.lit("Here you are:\n["), F.array_join(F.transform("w", item), ","), F.lit("]")).alias("answer"))
     return a.withColumn("answer", F.when(F.col("doc_id") % 3 == 0, F.substring("answer", F.lit(1), F.length("answer") - 9)).otherwise(F.col("answer")))

@@ -167,8 +167,7 @@ def half_overlap(spark, sf):
 
 @query(oracle("tokens", "SELECT doc_id, pos::INTEGER AS ordinal, tok AS item FROM tokens"))
 def chunks_in_order(spark, sf):
-    t = A.tokens(spark, sf).groupBy("doc_id", F.floor(F.col("pos") / 100).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("items"))
-    return E.in_order(t, ["doc_id"], "part", "items")
+    return E.in_order(A.word_parts(spark, sf, 100).withColumnRenamed("w", "items"), ["doc_id"], "part", "items")
 
 
 _TERMS = "SELECT content_id AS doc_id, lang, original, word_type AS type, row_number() OVER (PARTITION BY content_id ORDER BY pos) - 1 AS ordinal, pos, level FROM vocabulary"
@@ -221,9 +220,8 @@ def object_answers(spark, sf):
 @query(oracle("tokens", "SELECT doc_id, tok AS word, CASE WHEN length(tok) <= 20 THEN floor((length(tok) + 0.25) * 10 + 0.5) / 10 END AS rating, CASE length(tok) % 4 WHEN 1 THEN 'A1' WHEN 2 THEN 'C2' END AS level FROM (SELECT DISTINCT doc_id, tok FROM tokens) WHERE length(tok) < 20 OR length(tok) % 4 IN (1, 2)"))
 def rating_maps(spark, sf):
     """Ratings and levels of a document's words, as answers give them: objects in prose, some values out of range."""
-    w = A.tokens(spark, sf).select("doc_id", "tok").distinct()
-    of = lambda value: F.concat(F.lit("Sure! "), F.to_json(F.map_from_entries(F.collect_list(F.struct("tok", value)))), F.lit(" Done."))
-    level = F.element_at(F.array(F.lit("high"), F.lit(" a1"), F.lit("C2"), F.lit("D1")), (F.length("tok") % 4 + 1).cast("int"))
-    a = w.groupBy("doc_id").agg(of((F.length("tok") + 0.25).cast("string")).alias("r"), of(level).alias("l"))
-    r = a.select("doc_id", F.explode(E.ratings(F.col("r"))).alias("word", "rating"))
-    return r.join(a.select("doc_id", F.explode(E.labels(F.col("l"))).alias("word", "level")), ["doc_id", "word"], "full_outer")
+    w = A.word_parts(spark, sf, 1 << 30).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("w")))).alias("w"))
+    of = lambda value: F.concat(F.lit("Sure! "), F.to_json(F.map_from_entries(F.transform("w", lambda t: F.struct(t.alias("tok"), value(t).alias("v"))))), F.lit(" Done."))
+    level = lambda t: F.element_at(F.array(F.lit("high"), F.lit(" a1"), F.lit("C2"), F.lit("D1")), (F.length(t) % 4 + 1).cast("int"))
+    a = w.select("doc_id", of(lambda t: (F.length(t) + 0.25).cast("string")).alias("r"), of(level).alias("l"))
+    return a.select("doc_id", F.explode_outer(E.rated(F.col("r"), F.col("l"))).alias("word", "v")).where("word is not null").select("doc_id", "word", "v.rating", "v.level")
