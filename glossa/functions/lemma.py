@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glossa.functions import constants as K
-from glossa.functions.lex import trim
+from glossa.functions.lex import let, trim
 
 #: First words that a list's lemma drops.
 DROPPED = "der die das le la les l el los las lo i gli un una um uma o os as de het een en ett sich se si".split()
@@ -84,11 +84,15 @@ def chapter_lemma(cell: Column) -> Column:
     s = F.regexp_replace(trim(cell), r"^\d+[a-z]?\s+", "")
     for _ in range(4):
         s = F.regexp_replace(s, r"\([^()]*\)", " ")
-    s = trim(F.split(trim(F.regexp_replace(s, r"\s+", " ")), ",")[0])
-    pair = F.regexp_extract(s, r"^(der|die|das)/(?:der|die|das)\s+(.+)$", 1)
-    noun = trim(F.split(F.regexp_extract(s, r"^(der|die|das)/(?:der|die|das)\s+(.+)$", 2), "/")[0])
-    s = F.when(pair != "", F.concat(pair, F.lit(" "), noun)).otherwise(s)
+    s = let(trim(F.split(trim(F.regexp_replace(s, r"\s+", " ")), ",")[0]), _first_of_pair)
     s = F.regexp_replace(s, r"(\S*?)/\S*$", "$1")
     s = trim(F.regexp_replace(s, "[.;:!?\"'„“”]+$", ""))
-    s = F.when(s.rlike(r"^[A-Za-zÄÖÜäöüß][\wÄÖÜäöüß-]*( [A-Za-zÄÖÜäöüß][\wÄÖÜäöüß-]*)?$") & F.length(s).between(2, 50), F.lower(s))
-    return _good(without_article(s))
+    plain = r"^[A-Za-zÄÖÜäöüß][\wÄÖÜäöüß-]*( [A-Za-zÄÖÜäöüß][\wÄÖÜäöüß-]*)?$"
+    s = let(s, lambda x: F.when(x.rlike(plain) & F.length(x).between(2, 50), F.lower(x)))
+    return let(let(s, without_article), _good)
+
+
+def _first_of_pair(s: Column) -> Column:
+    both = r"^(der|die|das)/(?:der|die|das)\s+(.+)$"
+    noun = trim(F.split(F.regexp_extract(s, both, 2), "/")[0])
+    return F.when(s.rlike(both), F.concat(F.regexp_extract(s, both, 1), F.lit(" "), noun)).otherwise(s)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glossa.functions import constants as K
+from glossa.functions.lex import let
 
 
 def clamp01(x: Column) -> Column:
@@ -22,14 +23,17 @@ def aoa_norm(aoa: Column, zipf: Column) -> Column:
 
 
 def difficulty(zipf: Column, aoa: Column) -> Column:
-    return K.W_ZIPF * zipf_norm(zipf) + K.W_AOA * aoa_norm(aoa, zipf)
+    return let(zipf, lambda z: K.W_ZIPF * zipf_norm(z) + K.W_AOA * aoa_norm(aoa, z))
 
 
 def level(eta: Column) -> Column:
-    out = F.lit(K.LEVELS[-1])
-    for name, t in reversed(list(zip(K.LEVELS, K.THRESHOLDS))):
-        out = F.when(eta < t, name).otherwise(out)
-    return out
+    def of(x: Column) -> Column:
+        out = F.lit(K.LEVELS[-1])
+        for name, t in reversed(list(zip(K.LEVELS, K.THRESHOLDS))):
+            out = F.when(x < t, name).otherwise(out)
+        return out
+
+    return let(eta, of)
 
 
 def confidence(zipf: Column, aoa: Column) -> Column:

@@ -67,18 +67,19 @@ def features(toks: DataFrame) -> DataFrame:
     return f.select("*", model.zipf_norm(F.col("zipf")).alias("zipf_norm"), model.aoa_norm(F.col("aoa"), F.col("zipf")).alias("aoa_norm"), eta.alias("eta"), model.level(eta).alias("level"), model.confidence(F.col("zipf"), F.col("aoa")).alias("confidence"))
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One card per language and word, at its first place."""
+def vocabulary(spark: SparkSession, sf_dir: str, levels: bool = True) -> DataFrame:
+    """One card per language and word, at its first place; without levels, which need the sums of languages, they are null."""
     toks = tokens(spark, sf_dir)
     n, d, p = F.length("tok"), F.col("doc_id"), F.col("pos")
     # A place as one number: least documents first, then least positions (a text has fewer than 2**31 words).
     place = F.shiftleft(d, 31) + p
-    agg = with_total(toks.groupBy("lang", "tok").agg(F.min(place).alias("at"), F.count("*").alias("c")), "lang", "c", "total")
+    agg = toks.groupBy("lang", "tok").agg(F.min(place).alias("at"), F.count("*").alias("c"))
+    agg = with_total(agg, "lang", "c", "total", "at") if levels else agg.withColumn("total", F.lit(None).cast("long"))
     kind = F.element_at(F.array(*map(F.lit, ("noun", "verb", "adjective", "phrase", "other"))), (n % 5 + 1).cast("int"))
     at = F.col("at")
     return agg.select("lang", "tok", F.shiftright(at, 31).alias("doc_id"), at.bitwiseAND(F.lit((1 << 31) - 1)).alias("pos"), zipf(F.col("c"), F.col("total")).alias("zipf")).select(
         F.concat("lang", F.lit(":"), "tok").alias("id"), "lang", d.alias("content_id"), F.col("tok").alias("original"), F.reverse("tok").alias("translation"), kind.alias("word_type"),
-        model.level(model.difficulty(F.col("zipf"), aoa(F.col("tok")))).alias("level"), (1 + (n + d) % 5).cast("int").alias("leitner_box"),
+        (model.level(model.difficulty(F.col("zipf"), aoa(F.col("tok")))) if levels else F.lit(None).cast("string")).alias("level"), (1 + (n + d) % 5).cast("int").alias("leitner_box"),
         F.when(n % 7 != 0, BASE_MS + ((d * 37 + p) % 30) * K.DAY_MS).alias("last_reviewed"), ((d + p) % 6).cast("int").alias("correct_count"), ((d * p) % 4).cast("int").alias("incorrect_count"),
         (BASE_MS + d * 3_600_000).alias("created_at"), F.when((d + p) % 11 == 0, 1).otherwise(0).alias("user_added"), d.alias("doc_id"), p.alias("pos"),
     )

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_total(counts: DataFrame, group: str | list[str], value: str, name: str) -> DataFrame:
+def with_total(counts: DataFrame, group: str | list[str], value: str, name: str, beside: str | None = None) -> DataFrame:
     """counts with the sum of value over each group. The sums are aggregated, so no group is gathered, and meet the counts in a
-    join, which adaptive execution turns into a broadcast where the sums, as they have come out, are small; else it splits large groups."""
+    join, which adaptive execution turns into a broadcast where the sums, as they have come out, are small; else it splits large groups.
+
+    beside: a column of whole numbers that is aggregated with value. The sums then read it too, so both sides of the join share
+    one shuffle, and what the counts come from is read once."""
     group = [group] if isinstance(group, str) else group
-    totals = counts.groupBy(*(F.col(c).alias(f"_g_{c}") for c in group)).agg(F.sum(value).alias(name))
+    read = counts.where(F.col(beside).isNull() | (F.col(beside) >= F.lit(-(1 << 63)))) if beside else counts  # holds for every row
+    totals = read.groupBy(*(F.col(c).alias(f"_g_{c}") for c in group)).agg(F.sum(value).alias(name))
     return counts.join(totals, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]).drop(*(f"_g_{c}" for c in group))
 
 

@@ -19,8 +19,8 @@ _REJECTED, _SKIPPED = (p.replace("(?iu)", "(?i)").replace("'", "''") for p in (L
 _WORD = r"original, '^\p{L}[\p{L}''\- ]*\p{L}?$'"
 
 
-def _cards(spark, sf):
-    return A.vocabulary(spark, sf).select("content_id", "pos", "original", "level")
+def _cards(spark, sf, levels=False):
+    return A.vocabulary(spark, sf, levels).select("content_id", "pos", "original", "level")
 
 
 @query(oracle("vocabulary", rf"SELECT DISTINCT original AS word, 'de' AS language, 'A1' AS cefr, 'list' AS source FROM vocabulary WHERE pos % 4 <> 1 AND pos % 4 <> 2 AND length(original) BETWEEN 2 AND 36 AND NOT (pos % 4 = 0 AND regexp_matches(original, '{_REJECTED}')) AND regexp_matches({_WORD})"))
@@ -55,7 +55,7 @@ def chapter_list(spark, sf):
 @query(oracle("vocabulary", "SELECT original AS word, min_by(cefr, (ordinal, original)) AS cefr FROM (SELECT original, content_id * 100000 + pos AS ordinal, CASE WHEN pos % 2 = 0 AND level > 'B1' THEN 'B1' ELSE level END AS cefr FROM vocabulary WHERE regexp_matches(original, '^[a-z]{2,40}$')) GROUP BY original"))
 def labelled_list(spark, sf):
     """Cells of a head word and its labels, of which the lowest counts; the first cell of a word wins."""
-    some = _cards(spark, sf).where(F.col("original").rlike("^[a-z]{2,40}$"))
+    some = _cards(spark, sf, levels=True).where(F.col("original").rlike("^[a-z]{2,40}$"))
     cell = F.concat(F.col("original"), F.when(F.length("original") == 5, "2").otherwise(""), F.lit(" n. "), F.col("level"), F.when(F.col("pos") % 2 == 0, ", adj. B1").otherwise(""))
     rows = some.select((F.col("content_id") * 100_000 + F.col("pos")).alias("ordinal"), F.concat(F.lit("no label      "), cell).alias("value"))
     return G.labelled_cells(rows, "list").select("word", "cefr")

@@ -29,7 +29,7 @@ def opened(spark, sf, cards="true") -> TableStore:
         tx.insert("content_adds_log", contents.select("id", F.col("created_at").alias("added_at")))
         tx.upsert("settings", events.select(F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("value"), F.struct("ts", "event_id").alias("seq")), "seq")
         tx.insert("review_days", events.select(F.to_date("ts").alias("day")).distinct())
-        tx.insert_or_ignore("vocabulary", A.vocabulary(spark, sf).where(cards), ["doc_id", "pos", "id"])
+        tx.insert_or_ignore("vocabulary", A.vocabulary(spark, sf, levels=False).where(cards), ["doc_id", "pos", "id"])
 
     store.run(fill)
     return store
@@ -59,7 +59,7 @@ def clear_all(spark, sf):
 def batch_inserted(spark, sf):
     """How many cards of a batch come in, and what the table holds then."""
     store = opened(spark, sf, "content_id % 3 = 0")
-    n = store.run(lambda tx: tx.insert_or_ignore("vocabulary", A.vocabulary(spark, sf).where("content_id % 3 <> 0"), ["doc_id", "pos", "id"]))
+    n = store.run(lambda tx: tx.insert_or_ignore("vocabulary", A.vocabulary(spark, sf, levels=False).where("content_id % 3 <> 0"), ["doc_id", "pos", "id"]))
     return store.read("vocabulary").agg(F.lit(n).cast("long").alias("inserted"), F.count("*").alias("held"), F.sum("content_id").alias("contents"), F.countDistinct("original").alias("originals"))
 
 
