@@ -64,8 +64,9 @@ def _dumps(spark, sf):
     """Runs of an extraction as dumps, a hundred documents to a file, of three days, seeds and versions."""
     v = A.vocabulary(spark, sf)
     item = F.struct("original", "translation", "level", F.col("word_type").alias("type"), F.array("original", F.reverse("original")).alias("source_forms"))
-    n = v.groupBy("content_id", "level").agg(F.count("*").alias("c")).groupBy("content_id").agg(F.map_from_entries(F.collect_list(F.struct("level", "c"))).alias("levels"))
-    words = v.groupBy("content_id").agg(F.collect_list(item).alias("vocab")).join(n, "content_id")
+    n = F.array(*(F.struct(F.lit(k).alias("level"), F.col(k).alias("c")) for k in K.LEVELS))
+    words = v.groupBy("content_id").agg(F.collect_list(item).alias("vocab"), *(F.count_if(F.col("level") == k).alias(k) for k in K.LEVELS))
+    words = words.select("content_id", "vocab", F.map_from_entries(F.filter(n, lambda x: x["c"] > 0)).alias("levels"))
     runs = A.table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(words, F.col("doc_id") == F.col("content_id"))
     each = runs.select((F.col("doc_id") % 3).alias("part"), F.floor(F.col("doc_id") / 300).alias("chunk"), F.struct(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), "lang", F.lit("en").alias("native"), (F.col("doc_id") % 4 != 0).alias("ok"), F.col("n_chars").alias("elapsedMs"), F.col("n_chars").alias("textLength"), F.size("vocab").cast("long").alias("vocabCount"), F.col("levels").alias("levelDistribution"), "vocab").alias("r"))
     path, part = R.scratch(spark, "dumps"), F.col("part").cast("string")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.sources import jsonarray
+from glossa.sources.scratch import scratch as scratch
 
 DUMP = "ranAt string, results array<struct<url string, lang string, native string, ok boolean, error string, elapsedMs long, textLength long, processedTextLength long, vocabCount long, levelDistribution map<string, long>, vocab array<struct<original string, translation string, level string, type string, source_forms array<string>>>>>"
 #: Names of columns of words, and parts of names of columns that hold other figures than rates.
@@ -72,8 +71,9 @@ def rate_columns(columns: list[str], levels: tuple[str, ...]) -> tuple[str, dict
 def merged_dumps(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per result of several run dumps, with the file it came from and its ranAt. Files are cut into results by many tasks, however large they are."""
     result = DUMP[len("ranAt string, results array<struct<") : -len(">>")]
-    found = jsonarray.elements(spark, paths, result)
-    ran = jsonarray.frames(spark, paths, "ranAt string").select(F.col("file").alias("_file"), "r.ranAt")
+    records = jsonarray.records(spark, paths)
+    found = jsonarray.parsed(records, result)
+    ran = jsonarray.framed(records, "ranAt string").select(F.col("file").alias("_file"), "r.ranAt")
     return found.join(ran, F.col("file") == F.col("_file"), "left").select("ranAt", "file", "r.*")
 
 
@@ -105,17 +105,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("error").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir); where none is set and all is one process, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-glossa-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def with_kept_oracle(new: DataFrame, old: DataFrame, source: str = "LLM-oracle") -> DataFrame:
     """A rebuilt gold list that keeps the old rows of one source."""
     return new.unionByName(old.where(F.col("source") == source))
