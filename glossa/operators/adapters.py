@@ -52,8 +52,12 @@ def zipf(c: Column, total: Column) -> Column:
 
 def zipf_table(toks: DataFrame) -> DataFrame:
     """lang, tok, c, zipf: counts per word and its frequency on the Zipf scale."""
-    counts = with_total(word_counts(toks), "lang", "c", "total")
-    return counts.select("lang", "tok", "c", zipf(F.col("c"), F.col("total")).alias("zipf"))
+    return with_zipf(word_counts(toks))
+
+
+def with_zipf(counts: DataFrame) -> DataFrame:
+    """zipf_table() of word_counts()."""
+    return with_total(counts, "lang", "c", "total").select("lang", "tok", "c", zipf(F.col("c"), F.col("total")).alias("zipf"))
 
 
 def aoa(tok: Column) -> Column:

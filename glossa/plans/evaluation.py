@@ -15,13 +15,17 @@ from glossa.operators.ranking import letters, tiles
 from glossa.plans.base import query
 from glossa.sources import goldlists as G
 from glossa.sources.readers import rate_columns, scratch, sniffed_csv
+from glossa.sources.scratch import stored
 
 
 def gold(spark, sf):
     """lang, tok, gold 1..6, pred 1..6 (null if the other half of the documents lacks the word), zipf: words of even documents, levels by frequency rank."""
-    t = A.tokens(spark, sf)
-    g = tiles(A.word_counts(t.where("doc_id % 2 = 0")), ["lang"], [-F.col("c"), letters(F.col("tok"))], [F.desc("c"), F.col("tok")], 6, "gold")
-    f = A.zipf_table(t.where("doc_id % 2 = 1")).select("lang", "tok", "zipf")
+    # Both halves are counted at once and written, for ranks and sums read the counts several times.
+    half = lambda r: F.count_if(F.col("doc_id") % 2 == r).alias(f"c{r}")
+    n = stored(A.tokens(spark, sf).groupBy("lang", "tok").agg(half(0), half(1)), "counts")
+    of = lambda r: n.where(F.col(f"c{r}") > 0).select("lang", "tok", F.col(f"c{r}").alias("c"))
+    g = tiles(of(0), ["lang"], [-F.col("c"), letters(F.col("tok"))], [F.desc("c"), F.col("tok")], 6, "gold")
+    f = A.with_zipf(of(1)).select("lang", "tok", "zipf")
     eta = model.difficulty(F.col("zipf"), A.aoa(F.col("tok")))
     rank = F.array_position(F.array(*map(F.lit, K.LEVELS)), model.level(eta))
     return g.join(f, ["lang", "tok"], "left").select("lang", "tok", "gold", F.when(F.col("zipf").isNotNull(), rank).alias("pred"), "zipf")

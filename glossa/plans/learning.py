@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.functions import article, lex
@@ -14,6 +15,7 @@ from glossa.operators import store as S
 from glossa.operators.adapters import oracle
 from glossa.operators.ranking import running
 from glossa.plans.base import query
+from glossa.sources.scratch import stored
 
 _HOST = r"coalesce(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1)), '^www\.', ''), '')"
 _STATUS = "CASE WHEN page_id % 10 = 0 THEN 404 WHEN page_id % 10 = 1 THEN 503 WHEN page_id % 10 = 2 THEN 304 WHEN page_id % 10 < 5 THEN NULL ELSE 200 END"
@@ -155,7 +157,7 @@ def display_segments(spark, sf):
 @query(oracle("vocabulary", r", runs AS (SELECT doc_id, w, (sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(w))::INTEGER AS start FROM (SELECT doc_id, unnest(s) AS w, unnest(range(len(s))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS s FROM documents))) SELECT v.content_id, start, start + length(w) AS end, v.id AS vocab_id FROM runs JOIN vocabulary v ON v.content_id = runs.doc_id AND v.original = lower(runs.w) WHERE length(v.original) >= 2").replace("AS end,", 'AS "end",'))
 def highlights(spark, sf):
     """Where a content's own words stand in it (each is one word, so none overlap)."""
-    terms = A.vocabulary(spark, sf).select("content_id", F.col("id").alias("vocab_id"), F.col("pos").alias("ordinal"), F.col("original").alias("term"))
+    terms = A.vocabulary(spark, sf, levels=False).select("content_id", F.col("id").alias("vocab_id"), F.col("pos").alias("ordinal"), F.col("original").alias("term"))
     return M.highlights(A.contents(spark, sf).select("id", F.col("original_text").alias("text")), terms)
 
 
@@ -178,8 +180,9 @@ sizes AS (SELECT doc_id, native, batch, bool_or(gone) AS short FROM got GROUP BY
 
 def _terms(spark, sf):
     """(terms of each document, recorded translations into two languages: of some documents answers are missing, some lack their original)."""
-    v = A.vocabulary(spark, sf)
-    terms = running(v, ["content_id"], [F.lit(0)], [F.col("pos")], "ordinal").select(F.col("content_id").alias("doc_id"), "lang", (F.col("ordinal") - 1).alias("ordinal"), "original", F.col("word_type").alias("type"), "pos", "level")
+    v = A.vocabulary(spark, sf).select(F.col("content_id").alias("doc_id"), "lang", "original", F.col("word_type").alias("type"), "pos", "level")
+    # A document's terms are few enough to be ranked together; written, for phases and answers read them several times.
+    terms = stored(v.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long") - 1), "terms")
     each = E.batched(terms.select("doc_id", "ordinal", "original", "pos", F.explode(F.array(F.lit("de"), F.lit("en"))).alias("native")))
     given = each.where("not (doc_id % 3 = 0 and pos % 7 = 0)")
     place = F.row_number().over(_by("doc_id", "native", "batch")) - 1
@@ -187,8 +190,6 @@ def _terms(spark, sf):
 
 
 def _by(*group: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*group).orderBy("at")
 
 
