@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 #: A word to be shown and pressed, with its apostrophes; and what stands between two of them.
 SHOWN, BETWEEN = r"[\p{L}\p{N}]+(?:['’]\p{L}+)*", r"[^\p{L}\p{N}]+"
-_RUN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+#: A run of letters and digits with what stands behind it, or what stands at the start.
+_RUN, _WORD = r"[\p{L}\p{N}]+[^\p{L}\p{N}]*|[^\p{L}\p{N}]+", r"^[\p{L}\p{N}]*"
 
 
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -18,10 +19,13 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def word_places(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, start (characters before it), w: the runs of letters and digits of each text, in lower case."""
-    runs = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(_RUN), 0)).alias("at", "w"))
-    before = F.sum(F.length("w")).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    return runs.select(key, F.coalesce(before, F.lit(0)).cast("int").alias("start"), F.lower("w").alias("w")).where(F.col("w").rlike(r"^[\p{L}\p{N}]"))
+    """key, start (characters before it), w: the runs of letters and digits of each text, in lower case.
+
+    Texts are dealt by key before they are cut, so what is summed up lies together and the runs aren't shuffled."""
+    dealt = docs.select(key, text).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    runs = dealt.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(_RUN), 0)).alias("at", "run"))
+    before = F.sum(F.length("run")).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    return runs.select(key, F.coalesce(before, F.lit(0)).cast("int").alias("start"), F.lower(F.regexp_extract("run", _WORD, 0)).alias("w")).where("w <> ''")
 
 
 def highlights(contents: DataFrame, terms: DataFrame) -> DataFrame:
@@ -31,10 +35,13 @@ def highlights(contents: DataFrame, terms: DataFrame) -> DataFrame:
     touches it, whatever its case. Of what begins at one place the longest counts, and places don't overlap, from the left. Terms
     meet the text's words by their first word, then the text itself; a term without letters and digits is nowhere."""
     low = F.lower("term")
-    first = terms.where(F.length("term") >= 2).groupBy("content_id", low.alias("term")).agg(F.min_by("vocab_id", F.struct("ordinal", "vocab_id")).alias("vocab_id"))
-    parts = first.withColumns({"lead": F.regexp_extract("term", r"^([^\p{L}\p{N}]*)([\p{L}\p{N}]+)", 1), "head": F.regexp_extract("term", r"^([^\p{L}\p{N}]*)([\p{L}\p{N}]+)", 2)}).where("head <> ''")
+    first = terms.groupBy("content_id", low.alias("term")).agg(F.min_by("vocab_id", F.struct("ordinal", "vocab_id")).alias("vocab_id"))
+    # Tested in an array: tests of the term itself are moved below the grouping, to every word that the terms come from.
+    part = lambda i: F.regexp_extract("term", r"^([^\p{L}\p{N}]*)([\p{L}\p{N}]+)", i)
+    cut = F.filter(F.array(F.struct(part(1).alias("lead"), part(2).alias("head"))), lambda x: (x["head"] != "") & (F.length("term") >= 2))
+    parts = first.select("content_id", "term", "vocab_id", F.explode(cut).alias("p")).select("content_id", "term", "vocab_id", "p.*")
     words = word_places(contents.select(F.col("id").alias("c"), "text"), "c")
-    met = words.join(parts, (F.col("c") == F.col("content_id")) & (F.col("w") == F.col("head")))
+    met = words.join(parts.hint("shuffle_hash"), (F.col("c") == F.col("content_id")) & (F.col("w") == F.col("head")))
     met = met.select("c", "vocab_id", "term", (F.col("start") - F.length("lead")).alias("start"), (F.col("start") - F.length("lead") + F.length("term")).alias("end"), (F.col("term") == F.col("head")).alias("whole")).where("start >= 0")
     # Terms of one word fit where their word stands; the others meet the text.
     alone = met.where("whole")
