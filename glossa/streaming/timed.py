@@ -1,7 +1,8 @@
 """Streams that decide about each event in the order of event time, with state that ends.
 
-Events are dealt by their key and packed, many in one value, before they come to its state. They wait there until the watermark says that no earlier one can come, so an event that is late by up to
-the stated delay is placed where it belongs, whatever micro-batch brings it. A timer at the least waiting time then folds what is due; another
+Events are dealt by their key and packed, many in one value, before they come to its state. They wait there until the watermark says
+that no earlier one can come, so an event that is late by up to the stated delay is placed where it belongs, whatever micro-batch brings
+it; one that is later than that is left out. A timer at the least waiting time then folds what is due; another
 one clears what is kept once it is as good as nothing. So the state of a key holds the events of one delay and a few numbers, and none
 when it has been idle. The state store must be RocksDB (state_store())."""
 
